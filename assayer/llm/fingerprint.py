@@ -16,9 +16,12 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import stored
 
@@ -73,7 +76,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` and fingerprint; a null text counts as empty."""
 
     @F.pandas_udf("string")
-    def digests(batches: Iterator) -> Iterator:
+    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield texts.map(digest, na_action=None)
 
@@ -98,12 +101,9 @@ def with_successor(docs: DataFrame, prepare: Callable, combine: Callable, schema
     def row_of(kind: int, pid: int, doc_id, text, made) -> dict:
         return {"kind": kind, "pid": pid, "text": text, "doc_id": doc_id} | dict(zip(names, made or [None] * len(names)))
 
-    arrow = ranged.select("doc_id").sparkSession.createDataFrame([], full)
-    types = _arrow_schema(arrow)
+    types = to_arrow_schema(docs.sparkSession.createDataFrame([], full).schema)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         pid, before = TaskContext.get().partitionId(), None
         for b in batches:
             out = []
@@ -134,12 +134,6 @@ def with_successor(docs: DataFrame, prepare: Callable, combine: Callable, schema
     return made.where("kind = 0").union(ends.mapInArrow(last, full)).drop("kind", "pid", "text")
 
 
-def _arrow_schema(df: DataFrame) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(df.schema)
-
-
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Every document's fingerprint beside that of its text with the second half replaced.
 

@@ -47,6 +47,16 @@ def source_targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, share:
     return leveled.withColumn("target", F.when(F.col("open"), final * F.col("weight")).otherwise(F.col("cap"))).select("skey", "source_size", "target")
 
 
+def copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them; all columns stay.
+
+    mixed: what ``mix`` returned for ``docs``. Rows that share a doc_id are taken alike:
+    as often as the most taken of them.
+    """
+    often = mixed.where("taken > 0").groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("__often"))
+    return docs.join(often, "doc_id").withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__often")))).select(docs.columns)
+
+
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = 11) -> DataFrame:
     """doc_id, size, source_size, target and taken of every row of ``docs`` (doc_id, text, source).
 
