@@ -1,9 +1,9 @@
 """URL filters: rules by host and path, and trust propagated over the host link graph.
 
 A url that a rule fits has the rule's verdict. For every other host, personalised PageRank
-runs twice over the links between hosts: trust flows from the hosts of allowed urls along
-the links, distrust flows from the hosts of blocked urls against them, for who links to a
-blocked host shares its blame. A host whose distrust outweighs its trust is blocked.
+runs twice over the links between hosts: trust flows along the links from hosts most of
+whose urls are allowed, distrust flows against them from hosts most of whose urls are
+blocked, for who links to a blocked host shares its blame. A host whose distrust outweighs its trust is blocked.
 
 Links are counted per pair of hosts before anything is joined, so a page full of links
 or a host that everyone links to is one edge a pair; rank is summed before it is shuffled.
@@ -98,7 +98,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, dampi
     host, path = F.coalesce(host_of(F.col("url")), F.lit("")), F.coalesce(path_of(F.col("url")), F.lit(""))
     parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), path.alias("path")).withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
     edges = stored(host_links(pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))), "url-links")
-    seeds = stored(parsed.where("fit is not null and host <> ''").groupBy("host", "fit.verdict").agg(F.count(F.lit(1)).cast("double").alias("weight")), "url-seeds")
+    ruled = parsed.where("host <> ''").groupBy("host").agg(*[F.sum(F.when(F.col("fit.verdict") == v, 1.0).otherwise(0.0)).alias(v) for v in ("allow", "block")], F.count(F.lit(1)).alias("urls"))
+    verdict = F.when(F.col("allow") > F.col("urls") / 2, "allow").when(F.col("block") > F.col("urls") / 2, "block")
+    seeds = stored(ruled.select("host", verdict.alias("verdict"), F.greatest("allow", "block").alias("weight")).where("verdict is not null"), "url-seeds")
     trust = personalised_rank(edges, seeds.where("verdict = 'allow'").select("host", "weight"), damping, rounds)
     against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     distrust = personalised_rank(against, seeds.where("verdict = 'block'").select("host", "weight"), damping, rounds)
