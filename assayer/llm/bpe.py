@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 
 #: Characters of text that a block has at most, unless one document alone has more.
 BLOCK_CHARS = 32_000_000
+#: Positions that are filled at once, unless one document alone has more.
+SLICE = 250_000
 Blocks = Iterator[tuple[str, list, np.ndarray, np.ndarray, list[str]]]
 
 
@@ -144,12 +146,17 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
             planes = np.frombuffer(seq_of(order.column("seq")[row].as_py()), np.uint8).reshape(4, -1)
             seq = np.ascontiguousarray(planes.T).view(np.int32).ravel()
             of_doc = np.concatenate(([0], np.cumsum(order.column("lengths")[row].values.to_numpy())))
-            size = sizes[seq]
-            ends = np.concatenate(([0], np.cumsum(size)))
-            ids = flat[np.repeat(starts[seq] - ends[:-1], size) + np.arange(ends[-1])]
-            offsets = pa.array(ends[of_doc].astype(np.int64))
-            lists = pa.LargeListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
-            made.append(pa.table({"doc_id": order.column("doc_ids")[row].values, "ids": lists.cast(pa.list_(pa.int32())), "n_tokens": pa.array(np.diff(ends[of_doc]), pa.int64())}))
+            doc_ids = order.column("doc_ids")[row].values
+            first = 0
+            while first < len(doc_ids):
+                last = max(first + 1, int(np.searchsorted(of_doc, of_doc[first] + SLICE, side="right")) - 1)
+                some = seq[of_doc[first] : of_doc[last]]
+                ends = np.concatenate(([0], np.cumsum(sizes[some])))
+                ids = flat[np.repeat(starts[some] - ends[:-1], sizes[some]) + np.arange(ends[-1])]
+                cuts = ends[of_doc[first : last + 1] - of_doc[first]]
+                lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids, pa.int32()))
+                made.append(pa.table({"doc_id": doc_ids.slice(first, last - first), "ids": lists, "n_tokens": pa.array(np.diff(cuts), pa.int64())}))
+                first = last
         return pa.concat_tables(made)
 
     by_block = texts.mapInArrow(positions, "block string, doc_ids array<long>, lengths array<int>, n_words int, seq binary").groupBy("block")

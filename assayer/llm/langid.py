@@ -25,9 +25,11 @@ UNDETERMINED = "und"
 DOCS_PER_LANG = 400
 TRAIN_BYTES = 100_000
 BUCKETS, WIDTH, WINDOW = 1 << 16, 16, 256
-EPOCHS, BATCH, RATE = 2, 16, 20.0
-#: Share of the calibration rows that may be rejected, and the score that is never rejected.
-REJECTED, SURE = 0.002, 0.5
+#: Passes over the windows and least steps, windows a step, first learning rate.
+EPOCHS, STEPS, BATCH, RATE = 2, 800, 16, 20.0
+#: The rejection threshold is this quantile of the calibration rows' scores, times a slack
+#: for rows that differ from them, and at most SURE.
+REJECTED, SLACK, SURE = 0.002, 0.8, 0.5
 #: Bytes of a text whose n-grams are hashed at once.
 CHUNK = 1 << 20
 
@@ -96,8 +98,10 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> LanguageModel | No
     emb = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     out = np.zeros((WIDTH, len(labels)), np.float32)
     bias = np.zeros(len(labels), np.float32)
-    steps, step = max(1, EPOCHS * -(-len(windows) // BATCH)), 0
-    for _ in range(EPOCHS):
+    per_epoch = max(1, -(-len(windows) // BATCH))
+    epochs, step = max(EPOCHS, -(-STEPS // per_epoch)), 0
+    steps = epochs * per_epoch
+    for _ in range(epochs if windows else 0):
         order = rng.permutation(len(windows))
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
@@ -125,10 +129,14 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> LanguageModel | No
             p = np.exp((z - z.max(1, keepdims=True)) / t)
             return p / p.sum(1, keepdims=True)
 
-        tried = np.geomspace(0.2, 20, 60)
-        loss = [-np.log(np.maximum(scores(t)[np.arange(len(lang)), lang], 1e-12)).mean() for t in tried]
+        tried = np.geomspace(0.1, 20, 60)
+        # Smoothed targets: rows without an error don't prove that there are none.
+        wrong = (np.count_nonzero(z.argmax(1) != lang) + 1) / (len(lang) + 2)
+        goal = np.full(z.shape, wrong / max(1, len(labels) - 1))
+        goal[np.arange(len(lang)), lang] = 1 - wrong
+        loss = [-(goal * np.log(np.maximum(scores(t), 1e-12))).sum(1).mean() for t in tried]
         model.temperature = float(tried[int(np.argmin(loss))])
-        model.reject_below = float(min(SURE, np.quantile(scores(model.temperature).max(1), REJECTED)))
+        model.reject_below = float(min(SURE, SLACK * np.quantile(scores(model.temperature).max(1), REJECTED)))
     return model
 
 

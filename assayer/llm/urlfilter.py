@@ -3,7 +3,8 @@
 A url that a rule fits has the rule's verdict. For every other host, personalised PageRank
 runs twice over the links between hosts: trust flows along the links from hosts most of
 whose urls are allowed, distrust flows against them from hosts most of whose urls are
-blocked, for who links to a blocked host shares its blame. A host whose distrust outweighs its trust is blocked.
+blocked, for who links to a blocked host shares its blame. Blocked seeds take no trust and trusted ones no distrust,
+so neither passes any on. A host whose distrust outweighs its trust is blocked.
 
 Links are counted per pair of hosts before anything is joined, so a page full of links
 or a host that everyone links to is one edge a pair; rank is summed before it is shuffled.
@@ -101,9 +102,10 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, dampi
     ruled = parsed.where("host <> ''").groupBy("host").agg(*[F.sum(F.when(F.col("fit.verdict") == v, 1.0).otherwise(0.0)).alias(v) for v in ("allow", "block")], F.count(F.lit(1)).alias("urls"))
     verdict = F.when(F.col("allow") > F.col("urls") / 2, "allow").when(F.col("block") > F.col("urls") / 2, "block")
     seeds = stored(ruled.select("host", verdict.alias("verdict"), F.greatest("allow", "block").alias("weight")).where("verdict is not null"), "url-seeds")
-    trust = personalised_rank(edges, seeds.where("verdict = 'allow'").select("host", "weight"), damping, rounds)
+    apart = lambda links, kind: links.join(seeds.where(F.col("verdict") == kind).select(F.col("host").alias("dst")), "dst", "left_anti")
+    trust = personalised_rank(apart(edges, "block"), seeds.where("verdict = 'allow'").select("host", "weight"), damping, rounds)
     against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = personalised_rank(against, seeds.where("verdict = 'block'").select("host", "weight"), damping, rounds)
+    distrust = personalised_rank(apart(against, "allow"), seeds.where("verdict = 'block'").select("host", "weight"), damping, rounds)
     scores = trust.select("host", F.col("rank").alias("trust"), F.lit(0.0).alias("distrust")).union(distrust.select("host", F.lit(0.0), "rank")).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
     judged = parsed.join(scores, "host", "left").withColumns({"trust": F.coalesce("trust", F.lit(0.0)), "distrust": F.coalesce("distrust", F.lit(0.0))})
     blocked = (F.col("distrust") > LEAST_DISTRUST) & (F.col("distrust") > DISTRUST_RATIO * F.col("trust"))
