@@ -438,7 +438,44 @@ def test_components_of_a_long_chain(spark):
 
 def test_keep_one(spark):
     docs = documents(spark, [(3, "a b c d e"), (1, "a b c d e"), (2, "w x y z"), (2, "w x y z"), (None, "q r s t"), (9, None), (8, "")])
-    kept = simhash.keep_one(docs)
+    kept = simhash.keep_one(docs, simhash.near_duplicates(docs))
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 2, 8, None]
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
+
+
+def brute_similar(rows, at=0.8):
+    sets, ids = [], []
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else {()})
+        ids.append(i)
+    near = [[j for j in range(len(ids)) if len(sets[i] & sets[j]) >= at * len(sets[i] | sets[j])] for i in range(len(ids))]
+    out = list(range(len(ids)))
+    for i in range(len(ids)):
+        todo, seen = [i], {i}
+        while todo:
+            for j in near[todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        out[i] = min(ids[j] for j in seen)
+    return out
+
+
+def test_similar_groups(spark):
+    rng = random.Random(6)
+    base = [" ".join(f"{rng.choice(WORDS)}{rng.randint(0, 99)}" for _ in range(200)) for _ in range(30)]
+
+    def edited(t, n):
+        w = t.split()
+        for i in rng.sample(range(len(w)), n):
+            w[i] = "changed"
+        return " ".join(w)
+
+    rows = list(enumerate(base + [edited(t, 2) for t in base] + [edited(t, 30) for t in base] + [base[0].upper(), base[0], None, "", " ", "one", "one two", "one two"]))
+    rows.append(rows[3])
+    found = sorted((r["doc_id"], r["component_id"]) for r in simhash.similar_groups(documents(spark, rows)).collect())
+    rows = sorted(rows, key=lambda r: r[0])
+    assert found == list(zip([i for i, _ in rows], brute_similar(rows)))
+    assert simhash.similar_groups(documents(spark, [])).count() == 0

@@ -9,7 +9,7 @@ import tiktoken
 
 from assayer.llm import bpe
 
-from .test_operators import brute_components, brute_fingerprint, language_rows
+from .test_operators import brute_similar, language_rows
 
 
 def test_stages(spark):
@@ -27,7 +27,7 @@ def test_stages(spark):
     assert {r["doc_id"] for r in languages} == clean
     text = {r[0]: r[1] for r in rows}
     ids = sorted(clean)
-    expected = {c for c in brute_components([brute_fingerprint(text[i]) for i in ids], ids)}
+    expected = set(brute_similar([(i, text[i]) for i in ids]))
     assert sorted(r["doc_id"] for r in singles) == sorted(expected)
     assert {r["doc_id"] for r in mixed} <= expected and len(mixed) >= len(expected)
     words = lambda table: sum(len(r["text"].split()) for r in table)
