@@ -26,6 +26,8 @@ from .common import stored
 BLOCK, QUERY_BLOCK, SLICE = 8192, 2048, 1024
 #: Share of the coordinates in the partial sums.
 HEAD = 0.5
+#: Share of candidates left by the bounds from which all of a slice are scored at once.
+DENSE = 0.02
 #: Products of lengths below this give exact sums in doubles; margin of the bounds.
 EXACT, MARGIN = 2.0**52, 1e-9
 LONGEST = (1 << 63) - 1
@@ -99,7 +101,6 @@ def _search(q_ids, q, floor, x_ids, x, turn: np.ndarray, k: int) -> tuple[np.nda
     q_len, x_len = np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)
     q_rest, x_rest = np.linalg.norm(qr[:, head:], axis=1), np.linalg.norm(xr[:, head:], axis=1)
     safe = bool(q_len.max() * x_len.max() < EXACT)
-    best_s = np.full((len(q), k), -np.inf)
     best = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))]
     limit = floor.copy()
     for at in range(0, len(x), SLICE):
@@ -109,24 +110,24 @@ def _search(q_ids, q, floor, x_ids, x, turn: np.ndarray, k: int) -> tuple[np.nda
         if not len(alive):
             break  # all that follow are shorter
         bound = qr[alive, :head] @ xr[part, :head].T + q_rest[alive, None] * x_rest[None, part] + margin[alive, None]
-        row, col = np.nonzero(bound >= limit[alive, None])
-        row, col = alive[row], col + at
-        other = q_ids[row] != x_ids[col]
-        row, col = row[other], col[other]
-        if not len(row):
-            continue
-        s = _scores(q[row], x[col], safe)
-        best.append((row, x_ids[col], s))
-        order = np.lexsort((~s, row))
-        row, s = row[order], s[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row)
-        top = rank < k
-        new = np.full((len(q), k), -np.inf)
-        new[row[top], rank[top]] = s[top]
-        best_s = -np.sort(-np.concatenate([best_s, new], 1), axis=1)[:, :k]
-        limit = np.maximum(floor, best_s[:, k - 1])
-        if sum(len(b[0]) for b in best) > 64 * k * len(q):
+        near = (bound >= limit[alive, None]) & (q_ids[alive, None] != x_ids[None, part])
+        if safe and near.mean() > DENSE:
+            # Many are left: their scores by one product, and a higher threshold at once.
+            score = np.where(near, q[alive] @ x[part].T, -np.inf)
+            if score.shape[1] > k:
+                limit[alive] = np.maximum(limit[alive], np.partition(score, -k, axis=1)[:, -k])
+            row, col = np.nonzero(near & (score >= limit[alive, None]))
+            s = score[row, col].astype(np.int64)
+        else:
+            row, col = np.nonzero(near)
+            s = _scores(q[alive[row]], x[at + col], safe)
+        best.append((alive[row], x_ids[at + col], s))
+        if sum(len(b[0]) for b in best) > 4 * k * len(q):
             best = [_top(*(np.concatenate(c) for c in zip(*best)), k)]
+            full = np.bincount(best[0][0], minlength=len(q)) == k
+            least = np.full(len(q), np.inf)
+            np.minimum.at(least, best[0][0], best[0][2].astype(np.float64))
+            limit = np.where(full, np.maximum(limit, least), limit)
     return _top(*(np.concatenate(c) for c in zip(*best)), k)
 
 
