@@ -79,9 +79,30 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Blocks:
         yield close()
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+class TokenBytes:
+    """The token-byte table: bytes of all tokens, with the place and length of each."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.start = np.cumsum(self.size) - self.size
+        self.joined = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray, cuts: np.ndarray) -> pa.Array:
+        """Bytes of the ids between each two cuts, as an Arrow array of binaries."""
+        if len(ids) and (self.size[ids] == 0).any():
+            raise ValueError("an id is not in the vocabulary")
+        ends = np.concatenate(([0], np.cumsum(self.size[ids])))
+        at = np.repeat(self.start[ids] - ends[:-1], self.size[ids]) + np.arange(ends[-1])
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(ends[cuts]), pa.py_buffer(self.joined[at])]).cast(pa.binary())
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_bytes: bool = False) -> DataFrame:
     """doc_id, ids (array<int>) and n_tokens of every row of ``docs`` (doc_id, text).
 
+    With ``with_bytes`` the ids are decoded again where they are, as column decoded.
     A null text is empty and has no ids. Whole texts are encoded, each match of
     ``pattern`` by itself, without special tokens. Repeated rows are rows of their own;
     null doc_ids stay; other columns are ignored; an empty table gives an empty result.
@@ -132,6 +153,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
         if order.num_rows == 0:
             raise ValueError("two reads of the documents differ: store the table first")
         seq_of = zstandard.ZstdDecompressor().decompress
+        tokens = TokenBytes(shared.value) if with_bytes else None
         made = []
         # Equal blocks (the same documents, stored twice) have equal words; any of the answers will do.
         slots = answers.column("slots").combine_chunks().flatten().to_numpy()
@@ -155,14 +177,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
                 ids = flat[np.repeat(starts[some] - ends[:-1], sizes[some]) + np.arange(ends[-1])]
                 cuts = ends[of_doc[first : last + 1] - of_doc[first]]
                 lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids, pa.int32()))
-                made.append(pa.table({"doc_id": doc_ids.slice(first, last - first), "ids": lists, "n_tokens": pa.array(np.diff(cuts), pa.int64())}))
+                columns = {"doc_id": doc_ids.slice(first, last - first), "ids": lists, "n_tokens": pa.array(np.diff(cuts), pa.int64())}
+                made.append(pa.table(columns | ({"decoded": tokens.decode(ids, cuts)} if tokens else {})))
                 first = last
         return pa.concat_tables(made)
 
     by_block = texts.mapInArrow(positions, "block string, doc_ids array<long>, lengths array<int>, n_words int, seq binary").groupBy("block")
     words = texts.mapInArrow(dictionaries, "block string, bucket int, slots array<int>, words array<string>")
     answers = words.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(encoded, "block string, slots array<int>, lens array<int>, flat array<int>")
-    return by_block.cogroup(answers.groupBy("block")).applyInArrow(put_together, "doc_id long, ids array<int>, n_tokens long")
+    return by_block.cogroup(answers.groupBy("block")).applyInArrow(put_together, "doc_id long, ids array<int>, n_tokens long" + ", decoded binary" * with_bytes)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -170,15 +193,15 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
     Null ids give null. An id that the vocabulary lacks is an error.
     """
-    tokens = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        tokens[rank] = token
-    shared = encoded.sparkSession.sparkContext.broadcast(tokens)
+    shared = encoded.sparkSession.sparkContext.broadcast(ranks)
 
     @F.pandas_udf("binary")
     def joined(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = np.array(shared.value, object)
+        tokens = TokenBytes(shared.value)
         for some in batches:
-            yield some.map(lambda ids: None if ids is None else b"".join(table[ids].tolist()) if len(ids) else b"", na_action=None)
+            lists = [np.empty(0, np.int32) if ids is None else np.asarray(ids) for ids in some]
+            cuts = np.cumsum([0, *map(len, lists)])
+            made = tokens.decode(np.concatenate([np.empty(0, np.int32), *lists]), cuts).to_pylist()
+            yield pd.Series([None if ids is None else b for ids, b in zip(some, made)], some.index, object)
 
     return encoded.withColumn("decoded", joined("ids"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extract, fingerprint, langid, mixing, sharding, simhash, topk, urlfilter, warc
+from . import bpe, extract, fingerprint, langid, mixing, oracles, sharding, simhash, topk, urlfilter, warc
 from .common import shared_dir, table
 
 
@@ -50,8 +50,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return token_digests(bpe.decode(encoded, ranks))
+    return token_digests(bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_bytes=True))
 
 
 def token_digests(decoded: DataFrame) -> DataFrame:
@@ -60,7 +59,7 @@ def token_digests(decoded: DataFrame) -> DataFrame:
 
 
 def op9_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+    return urlfilter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +72,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.SQL

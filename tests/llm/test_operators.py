@@ -310,6 +310,9 @@ def test_bpe_equals_tiktoken_and_round_trips(spark, ranks, monkeypatch):
     expected = sorted(((i, one.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows), key=str)
     assert sorted(((r["doc_id"], list(r["ids"]), bytes(r["decoded"])) for r in found), key=str) == expected
     assert all(r["n_tokens"] == len(r["ids"]) for r in found)
+    both = bpe.encode(docs, ranks, public_tokenizers.PATTERN, with_bytes=True).collect()
+    assert sorted(((r["doc_id"], list(r["ids"]), bytes(r["decoded"])) for r in both), key=str) == expected
+    assert bpe.decode(spark.sql("select cast(null as array<int>) ids"), ranks).first()["decoded"] is None
     assert bpe.encode(documents(spark, []), ranks, public_tokenizers.PATTERN).count() == 0
 
 
