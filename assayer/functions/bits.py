@@ -64,7 +64,7 @@ def netmask_prefix(mask: Column) -> Column:
     for i in range(4):
         word = word * 256 + F.try_element_at(octets, F.lit(i + 1)).try_cast("long")
     ones = F.bit_count(word)
-    whole = F.lit(0xFFFFFFFF) - F.shiftright(F.lit(0xFFFFFFFF), ones)
+    whole = F.lit(0xFFFFFFFF) - F.call_function("shiftright", F.lit(0xFFFFFFFF), ones)
     valid = (F.size(octets) == 4) & mask.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & (word <= 0xFFFFFFFF)
     return F.when(valid & (word == whole), ones)
 

@@ -298,7 +298,7 @@ def retentive_timer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rtc_pulse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _scans(spark, sf_dir)[0].withColumn("clock", F.when(F.col("event_id") % 29 != 0, F.unix_millis("ts")))
+    rows = _scans(spark, sf_dir)[0].withColumn("clock", F.when(F.col("event_id") % 29 != 0, F.unix_millis(F.col("ts").cast("timestamp"))))
     return scan_cycle.rtc_pulse(rows, "user_id", ["ts", "event_id"], "held", "clock", 86_400_000).select("event_id", "pulse")
 
 
@@ -352,7 +352,8 @@ def tumbling_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.coalesce(F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w) > 3_600_000_000 * 24, F.lit(True))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    gap = F.coalesce(at - F.lag(at).over(w) > 3_600_000_000 * 24, F.lit(True))
     e = _table(spark, sf_dir, "events").select("user_id", "event_id", "ts", gap.cast("int").alias("starts"))
     sessions = e.withColumn("session", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return sessions.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"))

@@ -35,9 +35,9 @@ x AS (SELECT ch.s_suppkey, CAST(ch.channel AS INTEGER) AS channel, assigned, CAS
       FROM ch LEFT JOIN us ON ch.s_suppkey = us.s_suppkey AND ch.channel = us.channel)
 """
 
-_TOKENS = r"list_filter(string_split_regex(lower(regexp_replace({0}, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+'), w -> w <> '')"
+_TOKENS = r"list_filter(string_split_regex(lower(regexp_replace({0}, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda w: w <> '')"
 _NAME_TOKENS = _TOKENS.format("p_name || ' ' || p_type")
-_IDENTIFIERS = r"list_filter(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_:]*(?:\.[A-Za-z_0-9]+|\[[^\]]*\])*)', 1), w -> lower(w) NOT IN ('true', 'false'))"
+_IDENTIFIERS = r"list_filter(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_:]*(?:\.[A-Za-z_0-9]+|\[[^\]]*\])*)', 1), lambda w: lower(w) NOT IN ('true', 'false'))"
 
 _PRICE = "CASE WHEN lines IS NULL THEN 'u' WHEN (o_totalprice > 100000) = (lines > 4) THEN 'm' ELSE 'c' END"
 _PRIORITY = "CASE WHEN NULLIF(o_orderpriority, '3-MEDIUM') IS NULL THEN 'u' WHEN o_orderpriority = '1-URGENT' THEN 'm' ELSE 'c' END"

@@ -43,7 +43,7 @@ FAMILIES: Sequence[tuple[str, str]] = (
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """recording, line_no and line. A recording that isn't UTF-8 is read as Latin-1."""
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     text = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
     lines = whole.select(F.col("_metadata.file_path").alias("recording"), F.posexplode(F.split(text, "\r\n|\n|\r")).alias("n", "line"))
     return lines.select("recording", (F.col("n") + 1).alias("line_no"), "line").where("line <> ''")
