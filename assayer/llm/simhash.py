@@ -82,49 +82,90 @@ def _masks(bits: list[int], most: int) -> np.ndarray:
     return np.array(found, np.uint64)
 
 
-def _links(fp: np.ndarray, spent: np.ndarray, free: list[int], radius: int, chain: bool = False) -> np.ndarray:
-    """Rows (smallest owner of a shared variant, another that shares it).
+def _shared(own: np.ndarray, moved: np.ndarray, spent: np.ndarray, free: list[int], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Slot and owner of every variant that several owners have, by slot and owner.
 
-    fp: owner and fingerprint, already moved into the cell by ``spent`` flips of the bits
-    that are not ``free``; each may still flip ``radius - spent`` free bits. With
-    ``chain``, owners that follow each other at a variant are linked too.
+    moved: the owners' fingerprints, already moved into the cell by ``spent`` flips of
+    the bits that are not ``free``; each may still flip ``radius - spent`` free bits. Too
+    many variants to sort at once are split by a free bit; each part counts slots anew.
     """
-    home, moved = fp[:, 0], fp[:, 1]
     per = [sum(math.comb(len(free), k) for k in range(radius - s + 1)) for s in range(radius + 1)]
-    if free and len(home) > 1 and sum(per[s] * int((spent == s).sum()) for s in range(radius + 1)) > SORT_VARIANTS:
-        bit, rest, out = np.uint64(1 << free[0]), free[1:], []
+    if free and len(own) > 1 and sum(per[s] * int((spent == s).sum()) for s in range(radius + 1)) > SORT_VARIANTS:
+        bit = np.uint64(1 << free[0])
         for side in (np.uint64(0), bit):
             flip = (moved & bit) != side
             keep = spent + flip <= radius
-            inside = np.stack([home, np.where(flip, moved ^ bit, moved)], 1)[keep]
-            out.append(_links(inside, (spent + flip)[keep], rest, radius, chain))
-        return np.concatenate(out)
+            yield from _shared(own[keep], np.where(flip, moved ^ bit, moved)[keep], (spent + flip)[keep], free[1:], radius)
+        return
     variants, owners = [], []
     for s in range(radius + 1):
         at = np.flatnonzero(spent == s)
         if len(at):
             masks = _masks(free, radius - s)
             variants.append((moved[at, None] ^ masks[None, :]).ravel())
-            owners.append(np.repeat(home[at], len(masks)))
+            owners.append(np.repeat(own[at], len(masks)))
     if not variants:
-        return np.empty((0, 2), np.uint64)
-    v, own = np.concatenate(variants), np.concatenate(owners)
+        return
+    v, who = np.concatenate(variants), np.concatenate(owners)
     ordered = np.sort(v)
     shared = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     if not len(shared):
-        return np.empty((0, 2), np.uint64)
+        return
     slot = np.searchsorted(shared, v)
     hit = np.flatnonzero(shared[np.minimum(slot, len(shared) - 1)] == v)
-    slot, own = slot[hit], own[hit]
-    order = np.lexsort((own, slot))
-    slot, own = slot[order], own[order]
-    first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
-    least = own[first][np.cumsum(np.concatenate(([True], slot[1:] != slot[:-1]))) - 1]
-    pairs = np.stack([least, own], 1)[least != own]
-    if chain:
-        follows = (slot[1:] == slot[:-1]) & (own[1:] != own[:-1])
-        pairs = np.concatenate([pairs, np.stack([own[:-1], own[1:]], 1)[follows]])
-    return np.unique(pairs, axis=0)
+    slot, who = slot[hit], who[hit]
+    order = np.lexsort((who, slot))
+    yield slot[order], who[order]
+
+
+def _starts(slot: np.ndarray) -> np.ndarray:
+    return np.concatenate(([True], slot[1:] != slot[:-1]))
+
+
+def _to_least(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Pairs of each slot's smallest owner and every other one."""
+    found = [np.empty((0, 2), np.uint64)]
+    for slot, own in parts:
+        new = _starts(slot)
+        least = own[np.flatnonzero(new)][np.cumsum(new) - 1]
+        found.append(np.unique(np.stack([least, own], 1)[least != own], axis=0))
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def _to_few(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """At most two pairs an owner: with the most popular and the rarest of those that it meets.
+
+    The most popular one meets the most others: in a crowd of near copies that is their
+    original, which is nearer to each of them than they are to each other. The rarest
+    one is a neighbour at the variant that the fewest share: outside of crowds, or at
+    their edge, that is the copy itself. So a crowd costs no more than its size.
+    """
+    slots, owners, base = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
+    for slot, own in parts:
+        slots.append(slot + base)
+        owners.append(own)
+        base = int(slots[-1][-1]) + 1
+    if not base:
+        return np.empty((0, 2), np.uint64)
+    slot = np.concatenate(slots)
+    names, who = np.unique(np.concatenate(owners), return_inverse=True)
+    crowd = np.bincount(slot)
+    popular = np.bincount(who, weights=crowd[slot] - 1.0)
+    order = np.lexsort((who, -popular[who], slot))
+    slot, who = slot[order], who[order]
+    starts = _starts(slot)
+    new, place = np.flatnonzero(starts), np.cumsum(starts) - 1
+    first, second = who[new][place], who[new + 1][place]
+    leader = np.where(first == who, second, first)
+    at = np.arange(len(who)) - new[place]
+    beside = who[np.where(at > 0, np.arange(len(who)) - 1, np.arange(len(who)) + 1)]
+    pairs = []
+    for partner, by in ((leader, (leader, -popular[leader])), (beside, (beside, crowd[slot]))):
+        order = np.lexsort((*by, who))
+        best = order[_starts(who[order])]
+        pairs.append(np.stack([who[best], partner[best]], 1))
+    pairs = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
+    return names[pairs[pairs[:, 0] != pairs[:, 1]]]
 
 
 def ball_links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
@@ -150,7 +191,7 @@ def ball_links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
         fp = cell.column("fp").to_numpy().astype(np.int64).view(np.uint64)
         flip = cell.column("flip").to_numpy().astype(np.int64).view(np.uint64)
         spent = np.unpackbits(flip.view(np.uint8).reshape(-1, 8), axis=1).sum(1).astype(np.int64)
-        pairs = _links(np.stack([fp, fp ^ flip], 1), spent, free, radius).view(np.int64)
+        pairs = _to_least(_shared(fp, fp ^ flip, spent, free, radius)).view(np.int64)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     cells = distinct.select("fp", F.explode(F.lit(flips)).alias("flip")).withColumn("cell", F.col("fp").bitwiseXOR(F.col("flip")).bitwiseAND(F.lit(picked_mask)))
@@ -223,6 +264,11 @@ def shingle_set(text: str | None, shingle_words: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, last)), np.uint64, len(last)))
 
 
+def class_of(shingles: np.ndarray) -> int:
+    """Hash of a whole shingle set."""
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).astype(np.int64))
+
+
 def short_fingerprints(shingles: np.ndarray, tables: int, width: int) -> list[int]:
     """SimHashes of ``width`` bits each; every bit is of another hash of the shingles."""
     ones = []
@@ -239,8 +285,12 @@ def short_fingerprints(shingles: np.ndarray, tables: int, width: int) -> list[in
     return (bits.astype(np.int64) << np.arange(width, dtype=np.int64)).sum(1).tolist()
 
 
-def _meetings(classes: DataFrame, n: int, tables: int, width: int, radius: int) -> DataFrame:
-    """Pairs a, b of classes that share a variant of one of their fingerprints."""
+def _meetings(classes: DataFrame, n: int, width: int, radius: int) -> DataFrame:
+    """Pairs a, b of classes that share a variant of one of their fingerprints.
+
+    classes: cls and fps. In every cell a class is paired with two of those that it
+    meets there at most; it is in several cells of each table.
+    """
     per = sum(math.comb(width, k) for k in range(radius + 1))
     chosen = min(width // 2, max(0, math.ceil(math.log2(max(1, n * per / TABLE_CELL_VARIANTS)))))
     flips = _masks(list(range(chosen)), radius).astype(np.int64).tolist()
@@ -248,7 +298,7 @@ def _meetings(classes: DataFrame, n: int, tables: int, width: int, radius: int)
 
     def in_cell(cell: pa.Table) -> pa.Table:
         own, moved = (cell.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("cls", "moved"))
-        pairs = _links(np.stack([own, moved], 1), cell.column("spent").to_numpy().astype(np.int64), free, radius, chain=True).view(np.int64)
+        pairs = _to_few(_shared(own, moved, cell.column("spent").to_numpy().astype(np.int64), free, radius)).view(np.int64)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     one = classes.select("cls", F.posexplode("fps").alias("t", "fp")).withColumn("flip", F.explode(F.lit(flips)))
@@ -257,17 +307,25 @@ def _meetings(classes: DataFrame, n: int, tables: int, width: int, radius: int)
     return cells.groupBy("t", "cell").applyInArrow(in_cell, "a long, b long").distinct()
 
 
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b whose whole shingle sets are as similar."""
+    one = lambda c: sets.select(F.col("cls").alias(c), F.col("shingles").alias(f"of_{c}"))
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    return pairs.join(one("a"), "a").join(one("b"), "b").where(both >= similarity * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
+
+
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle_words: int = SIMILAR_WORDS, tables: int = TABLES, radius: int = 2) -> DataFrame:
     """doc_id and component_id of every row of ``docs`` (doc_id, text).
 
     Texts with equal shingle sets are a class. Classes whose fingerprints of one table
-    are within 2 * radius bits meet and are linked if the Jaccard similarity of their
-    whole shingle sets reaches ``similarity``; component_id is the smallest doc_id
-    reachable over links. Every link is exact; of pairs just at 0.8 about nine in ten
-    meet, of pairs at 0.9 all but one in a thousand. The fingerprints get a bit longer
+    are within 2 * radius bits meet. Each is held against the most popular and the rarest
+    that it meets in every cell, and linked if the Jaccard similarity of their whole
+    shingle sets reaches ``similarity``; component_id is the smallest doc_id reachable
+    over links. Every link is exact; of pairs just at 0.8 about nine in ten meet, of
+    pairs at 0.9 all but one in a thousand. The fingerprints get a bit longer
     each time the classes double, so the pairs that meet by chance grow as the classes.
-    Null and wordless texts are one class; repeated rows stay; null doc_ids never name a
-    component unless no other row is in it; other columns are ignored.
+    Null and wordless texts are one class; repeated rows stay; classes of rows with null
+    doc_ids alone are linked to no other; other columns are ignored.
     """
     n = docs.count()
     width = min(60, max(32, math.ceil(math.log2(max(2, n))) + 22))
@@ -277,27 +335,25 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle_word
             cls, fps = [], []
             for text in b.column("text"):
                 shingles = shingle_set(text.as_py(), shingle_words)
-                cls.append(int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).astype(np.int64)))
+                cls.append(class_of(shingles))
                 fps.append(short_fingerprints(shingles, tables, width) if len(shingles) else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cls, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "cls", "fps"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingle_set(text.as_py(), shingle_words).view(np.int64) for text in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array(found, pa.list_(pa.int64()))], ["cls", "shingles"])
+            found = [shingle_set(text.as_py(), shingle_words) for text in b.column("text")]
+            names = [class_of(x) for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["cls", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = stored(texts.mapInArrow(classed, "doc_id long, cls long, fps array<long>"), "similar-rows")
     classes = stored(rows.groupBy("cls").agg(F.min("doc_id").alias("least_doc"), F.first("fps").alias("fps")), "similar-classes")
-    met = stored(_meetings(classes.where("fps is not null"), n, tables, width, radius), "similar-met")
+    met = stored(_meetings(classes.where("fps is not null"), n, width, radius), "similar-met")
     # Whole shingle sets, of the classes that met anyone only, from the text of one row each.
-    named = met.select(F.col("a").alias("cls")).union(met.select("b")).distinct().join(classes.select("cls", "least_doc"), "cls").where("least_doc is not null")
-    wanted = named.select("cls", F.col("least_doc").alias("doc_id"))
-    whole = texts.join(wanted, "doc_id").select("cls", "text").mapInArrow(sets, "cls long, shingles array<long>").dropDuplicates(["cls"])
-    whole = stored(whole, "similar-sets")
-    pairs = met.join(whole.select(F.col("cls").alias("a"), F.col("shingles").alias("of_a")), "a").join(whole.select(F.col("cls").alias("b"), F.col("shingles").alias("of_b")), "b")
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    links = pairs.where(both >= similarity * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
+    named = met.select(F.col("a").alias("cls")).union(met.select("b")).distinct()
+    wanted = named.join(classes, "cls").where("least_doc is not null").select(F.col("least_doc").alias("doc_id")).distinct()
+    whole = texts.join(wanted, "doc_id").select("text").mapInArrow(sets, "cls long, shingles array<long>").dropDuplicates(["cls"])
+    links = _similar(met, stored(whole, "similar-sets"), similarity)
     roots = components(links)
     grouped = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least_doc", F.coalesce("root", "cls").alias("root"))
     least = grouped.groupBy("root").agg(F.min("least_doc").alias("component_id"))
