@@ -39,25 +39,36 @@ MARKS = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _set_aside(name: str, attributes: str) -> bool:
+#: A class like has-sidebar speaks of something else than the element itself.
+ABOUT_OTHERS = {"has", "with", "without", "no", "is", "not"}
+
+
+def _set_aside(name: str, attributes: str, inside: bool, by_class: bool) -> bool:
+    """True for elements whose text isn't the article's. A header inside the article is its own."""
     if name in DROPPED:
-        return True
+        return not (inside and name == "header")
     if not attributes or name in ("html", "body", *ARTICLE):
         return False
+    words = ASIDE_WORDS - {"header"} if inside else ASIDE_WORDS
     for m in MARKS.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True
         if key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if key in ("class", "id", "role") and any(w.lower() in ASIDE_WORDS for w in WORDS.findall(value)):
-            return True
+        if key in ("class", "id", "role") and by_class:
+            for one in value.split():
+                said = [w.lower() for w in WORDS.findall(one)]
+                if said and said[0] not in ABOUT_OTHERS and not words.isdisjoint(said):
+                    return True
     return False
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
+def lines_of(page: str, by_class: bool = True) -> tuple[list[tuple[str, int, bool]], bool]:
     """Lines of a page, and whether it has an article or main element.
 
+    by_class: elements are set aside by their class, id and role too.
+
     A line is its text, the number of its characters outside links, and whether it is in
     an article or main element. Stripped elements leave GAP empty lines.
     """
@@ -127,7 +138,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             end_line()
         if name in VOID or (m[3] or "").endswith("/") and name not in INLINE and name not in CLOSED_BY and name not in ("div", "section", *ARTICLE):
             continue
-        if not aside_at and _set_aside(name, m[3] or ""):
+        if not aside_at and _set_aside(name, m[3] or "", inside > 0, by_class):
             aside_at = len(stack) + 1
             lines.extend([("", 0, False)] * GAP)
         stack.append(name)
@@ -144,10 +155,15 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
 
 
 def main_text(page: str | None) -> str:
-    """The page's article: blocks joined by a space, "" if there is none."""
-    if not page:
-        return ""
-    lines, marked = lines_of(page)
+    """The page's article: blocks joined by a space, "" if there is none.
+
+    A page that classes leave nothing of is read again without them.
+    """
+    return page and (_kept(*lines_of(page)) or _kept(*lines_of(page, by_class=False))) or ""
+
+
+def _kept(lines: list[tuple[str, int, bool]], marked: bool) -> str:
+    """Lines between the surge and dive points."""
     # Where the page marks its article, other lines weigh nothing.
     weight = [len(text) * inside if marked else plain for text, plain, inside in lines]
     n = len(weight)

@@ -177,6 +177,9 @@ def test_main_text():
     assert extract.main_text("<div><p>One paragraph of the story that is long.</p><p>Short.</p></div><div class='sidebar'>no</div>") == "One paragraph of the story that is long. Short."
     assert extract.main_text("<p>" * 3000 + "deep") == "deep"
     assert extract.main_text("<article><p>cut off <b") == "cut off"
+    assert extract.main_text("<body class='sidebar'><div class='layout has-sidebar'><p>Story</p><div class='sidebar'>no</div></div>") == "Story"
+    assert extract.main_text("<article><header class='entry-header'><h1>Head</h1></header><p>Text</p><footer>by me</footer></article><header>Site</header>") == "Head Text"
+    assert extract.main_text("<div class='widget'><p>All that there is</p></div>") == "All that there is"
 
 
 def test_extract_pages(spark):
