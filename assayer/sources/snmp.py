@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bits import netmask_prefix
 from ..functions.text import mac_from_octets
+from ..operators.aggregate import family_of
 from ..operators.ordering import first_of
 
 # Object identifiers of the standard tables, and type codes of recordings.
@@ -35,9 +36,12 @@ WALK_NAMES = {
     "lldpLocPortId": LOCAL_PORT, "lldpRemChassisId": f"{REMOTE}.5", "lldpRemPortId": f"{REMOTE}.7", "lldpRemSysName": f"{REMOTE}.9",
 }
 ENTITY_COLUMNS = {"2": "description", "3": "vendor_type_oid", "4": "contained_in", "5": "physical_class", "6": "parent_relative_position", "7": "name", "8": "hardware_revision", "9": "firmware_revision", "10": "software_revision", "11": "serial_number", "12": "manufacturer_name", "13": "model_name", "14": "alias", "15": "asset_id", "17": "manufacturing_date", "19": "uuid"}
-#: Families of object identifiers, the first that fits; what none fits goes by its branch.
-FAMILIES: Sequence[tuple[str, str]] = (
-    (SYSTEM_BASE, "system"), ("1.3.6.1.2.1.2", "interfaces"), ("1.3.6.1.2.1.31", "interface-extensions"), ("1.3.6.1.2.1.4", "ip"), ("1.3.6.1.2.1.17", "bridge"), ("1.3.6.1.2.1.47", "entity"), ("1.0.8802.1.1.2", "lldp"),
+#: Families of object identifiers: prefix, name, and whether the tables below read it.
+FAMILIES: Sequence[tuple[str, str, bool]] = (
+    ("1.0.8802.1.1.2", "ieee-lldp", True), ("1.3.6.1.2.1.1", "mib-2.system", True), ("1.3.6.1.2.1.2", "mib-2.interfaces", True), ("1.3.6.1.2.1.4", "mib-2.ip", True),
+    ("1.3.6.1.2.1.5", "mib-2.icmp", False), ("1.3.6.1.2.1.6", "mib-2.tcp", False), ("1.3.6.1.2.1.7", "mib-2.udp", False), ("1.3.6.1.2.1.11", "mib-2.snmp", False),
+    ("1.3.6.1.2.1.14", "ospf-mib", False), ("1.3.6.1.2.1.16", "rmon-mib", False), ("1.3.6.1.2.1.17", "mib-2.bridge", True), ("1.3.6.1.2.1.25", "host-resources", False),
+    ("1.3.6.1.2.1.31", "if-mib", True), ("1.3.6.1.2.1.47", "entity-mib", True), ("1.3.6.1.2.1.55", "ipv6-mib-historic", False), ("1.3.6.1.2.1.191", "ospfv3-mib", False),
 )
 
 
@@ -102,11 +106,12 @@ def require_intact(rows: DataFrame) -> DataFrame:
 
 
 def family(oid: Column) -> Column:
-    """Family of an object identifier: a standard one, enterprise.N, mib-2.N or other."""
-    rest = F.when(oid.startswith("1.3.6.1.4.1."), F.concat(F.lit("enterprise."), F.element_at(F.split(oid, r"\."), 7))).when(oid.startswith("1.3.6.1.2.1."), F.concat(F.lit("mib-2."), F.element_at(F.split(oid, r"\."), 7))).otherwise("other")
-    for prefix, name in reversed(FAMILIES):
-        rest = F.when((oid == prefix) | oid.startswith(f"{prefix}."), name).otherwise(rest)
-    return rest
+    """Family of an object identifier: a named one, enterprise.N, mib-2.N or other."""
+    plain = F.regexp_replace(F.trim(oid), r"^\.+", "")
+    enterprise = F.regexp_extract(plain, r"^1\.3\.6\.1\.4\.1\.(\d+)(?:\.|$)", 1)
+    branch = F.regexp_extract(plain, r"^1\.3\.6\.1\.2\.1\.([^.]*)", 1)
+    rest = F.when(enterprise != "", F.concat(F.lit("enterprise."), enterprise)).when(plain.startswith("1.3.6.1.2.1."), F.concat(F.lit("mib-2."), branch)).otherwise("other")
+    return family_of(plain, [(prefix, name) for prefix, name, _ in FAMILIES], rest)
 
 
 def _column(rows: DataFrame, entry: str) -> DataFrame:

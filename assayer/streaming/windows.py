@@ -15,7 +15,7 @@ def windowed(events: DataFrame, at: str, late: str, length: str, keys: Sequence[
 
 
 def sessions(events: DataFrame, at: str, late: str, gap: str, keys: Sequence[str], measures: Sequence[Column]) -> DataFrame:
-    """Measures by session: rows of a key with no gap as long as ``gap`` between them."""
+    """Measures by session: rows of a key with no gap as long as ``gap`` between them. A stream needs a key."""
     out = events.withWatermark(at, late).groupBy(F.session_window(at, gap), *keys).agg(*measures)
     return out.select(F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), *[c for c in out.columns if c != "session_window"])
 

@@ -39,7 +39,7 @@ def test_windows_and_sessions(spark, tmp_path):
     read = lambda: spark.readStream.schema("id int, kind string, ts timestamp").parquet(str(tmp_path / "in"))
     finished(windows.windowed(read(), "ts", "5 minutes", "10 minutes", ["kind"], [F.count("id").alias("n")]), "tumbling", "complete", tmp_path / "c1")
     assert {(r["window_start"].minute, r["kind"], r["n"]) for r in spark.table("tumbling").where("window_start < '2024-01-01 00:20:00'").collect()} == {(0, "a", 1), (0, "b", 2), (10, "a", 1), (10, "b", 1)}
-    finished(windows.sessions(read(), "ts", "5 minutes", "15 minutes", [], [F.count("id").alias("n")]), "sessions", "complete", tmp_path / "c2")
+    finished(windows.sessions(read().withColumn("all", F.lit(1)), "ts", "5 minutes", "15 minutes", ["all"], [F.count("id").alias("n")]), "sessions", "complete", tmp_path / "c2")
     assert sorted(r["n"] for r in spark.table("sessions").collect()) == [1, 1, 1, 5]
     finished(windows.first_seen(read(), "ts", "20 hours", ["kind"]), "first", tmp=tmp_path / "c3")
     assert spark.table("first").count() == 2
