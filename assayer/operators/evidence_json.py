@@ -34,16 +34,16 @@ def flatten(docs: DataFrame, doc: str, text: str) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(f.split()[0], pa.int64() if f.endswith("long") else pa.string()) for f in NODE.split(", ")])
+        out = []
         for b in batches:
             for name, body in zip(b.column("doc").to_pylist(), b.column("text").to_pylist()):
-                out = []
                 for node in _nodes(name, body):
                     out.append(node)
                     if len(out) == 10_000:
                         yield pa.RecordBatch.from_pylist(out, schema)
                         out = []
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, schema)
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema)
 
     return docs.where(F.col(text).isNotNull()).select(F.col(doc).cast("string").alias("doc"), F.col(text).alias("text")).mapInArrow(rows, NODE)
 
