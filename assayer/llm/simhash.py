@@ -246,7 +246,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, max_bits: int = 4)
 
 
 #: Similarity of near copies, words of their shingles, and fingerprints a text has for it.
-SIMILARITY, SIMILAR_WORDS, TABLES = 0.8, 5, 8
+SIMILARITY, SIMILAR_WORDS, TABLES = 0.8, 5, 10
 #: Variants of a table that a cell may hold on average.
 TABLE_CELL_VARIANTS = 1 << 23
 
@@ -321,8 +321,8 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle_word
     are within 2 * radius bits meet. Each is held against the most popular and the rarest
     that it meets in every cell, and linked if the Jaccard similarity of their whole
     shingle sets reaches ``similarity``; component_id is the smallest doc_id reachable
-    over links. Every link is exact; of pairs just at 0.8 about nine in ten meet, of
-    pairs at 0.9 all but one in a thousand. The fingerprints get a bit longer
+    over links. Every link is exact; of pairs just at 0.8 about nineteen in twenty
+    meet, of pairs at 0.9 all but one in ten thousand. The fingerprints get a bit longer
     each time the classes double, so the pairs that meet by chance grow as the classes.
     Null and wordless texts are one class; repeated rows stay; classes of rows with null
     doc_ids alone are linked to no other; other columns are ignored.
