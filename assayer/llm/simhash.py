@@ -135,7 +135,7 @@ def _to_least(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 def _to_few(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """At most two pairs an owner: with the most popular and the rarest of those that it meets.
 
-    The most popular one meets the most others: in a crowd of near copies that is their
+    An owner that meets others besides is in a pair with itself too. The most popular one meets the most others: in a crowd of near copies that is their
     original, which is nearer to each of them than they are to each other. The rarest
     one is a neighbour at the variant that the fewest share: outside of crowds, or at
     their edge, that is the copy itself. So a crowd costs no more than its size.
@@ -164,8 +164,57 @@ def _to_few(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         order = np.lexsort((*by, who))
         best = order[_starts(who[order])]
         pairs.append(np.stack([who[best], partner[best]], 1))
-    pairs = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
-    return names[pairs[pairs[:, 0] != pairs[:, 1]]]
+    pairs = np.concatenate(pairs)
+    pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
+    # Of two owners at every variant, and always the same two, no meeting is left.
+    partner = np.where(crowd[slot] == 2, leader, -1)
+    order = np.lexsort((partner, who))
+    starts = _starts(who[order])
+    least, most = partner[order][starts], partner[order][np.append(starts[1:], True)]
+    more = np.flatnonzero((least < 0) | (least != most))
+    return names[np.concatenate([pairs, np.stack([more, more], 1)])]
+
+
+def _to_all(parts: Iterator[tuple[np.ndarray, np.ndarray]], names: np.ndarray, fp: np.ndarray, root: np.ndarray, size: np.ndarray, similarity: float, max_bits: int) -> np.ndarray:
+    """Every pair of owners that meet, of different roots, and of sizes as similar.
+
+    The owners are places in the other arrays. Sets whose sizes are less similar can't
+    be as similar themselves. Owners that meet in a crowd are held against each other by
+    their bits, so that a pair is made once and not at each of its variants; those of the
+    crowd's largest group against the others only.
+    """
+    found, crowded = [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)]
+
+    def fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keep = (root[a] != root[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]))
+        return np.sort(np.stack([a[keep], b[keep]], 1), axis=1)
+
+    for slot, own in parts:
+        own = own.astype(np.int64)
+        starts = np.flatnonzero(_starts(slot))
+        sizes = np.diff(np.append(starts, len(slot)))
+        mixed = np.repeat(np.minimum.reduceat(root[own], starts) != np.maximum.reduceat(root[own], starts), sizes)
+        slot, own, many = slot[mixed], own[mixed], np.repeat(sizes, sizes)[mixed]
+        crowded.append(np.unique(own[many > CROWD]))
+        slot, own = slot[many <= CROWD], own[many <= CROWD]
+        some = []
+        for apart in range(1, min(CROWD, len(own))):
+            same = np.flatnonzero(slot[apart:] == slot[:-apart])
+            if not len(same):
+                break
+            some.append(fit(own[same], own[same + apart]))
+        if some:
+            found.append(np.unique(np.concatenate(some), axis=0))
+    crowd = np.unique(np.concatenate(crowded))
+    groups, counts = np.unique(root[crowd], return_counts=True)
+    smaller = crowd[root[crowd] != groups[counts.argmax()]] if len(crowd) else crowd
+    for at in range(0, len(smaller), CROWD_ROWS):
+        a = smaller[at : at + CROWD_ROWS]
+        for beside in range(0, len(crowd), CROWD_ROWS):
+            b = crowd[beside : beside + CROWD_ROWS]
+            i, j = np.nonzero(np.bitwise_count(fp[a, None] ^ fp[None, b]) <= max_bits)
+            found.append(np.unique(fit(a[i], b[j]), axis=0))
+    return np.sort(names[np.unique(np.concatenate(found), axis=0)], axis=1)
 
 
 def ball_links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
@@ -249,6 +298,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, max_bits: int = 4)
 SIMILARITY, SIMILAR_WORDS, TABLES = 0.8, 5, 10
 #: Variants of a table that a cell may hold on average.
 TABLE_CELL_VARIANTS = 1 << 23
+#: Owners of a variant from which they are held against each other at once, and how many are.
+CROWD, CROWD_ROWS = 16, 2048
 
 
 def shingle_set(text: str | None, shingle_words: int) -> np.ndarray:
@@ -285,25 +336,64 @@ def short_fingerprints(shingles: np.ndarray, tables: int, width: int) -> list[in
     return (bits.astype(np.int64) << np.arange(width, dtype=np.int64)).sum(1).tolist()
 
 
-def _meetings(classes: DataFrame, n: int, width: int, radius: int) -> DataFrame:
-    """Pairs a, b of classes that share a variant of one of their fingerprints.
+def _cells(classes: DataFrame, n: int, width: int, radius: int) -> tuple[DataFrame, list[int]]:
+    """The rows of ``classes`` once for each cell of a table that they fall into, and the free bits.
 
-    classes: cls and fps. In every cell a class is paired with two of those that it
-    meets there at most; it is in several cells of each table.
+    classes: cls, fps and whatever else the cells need.
     """
     per = sum(math.comb(width, k) for k in range(radius + 1))
     chosen = min(width // 2, max(0, math.ceil(math.log2(max(1, n * per / TABLE_CELL_VARIANTS)))))
     flips = _masks(list(range(chosen)), radius).astype(np.int64).tolist()
-    free = list(range(chosen, width))
+    rest = [c for c in classes.columns if c != "fps"]
+    one = classes.select(*rest, F.posexplode("fps").alias("t", "fp")).withColumn("flip", F.explode(F.lit(flips)))
+    moved = one.select(*rest, "t", F.col("fp").bitwiseXOR(F.col("flip")).alias("moved"), "flip")
+    return moved.withColumn("cell", F.col("moved").bitwiseAND(F.lit((1 << chosen) - 1))), list(range(chosen, width))
+
+
+def _numbers(cell: pa.Table, *columns: str) -> list[np.ndarray]:
+    return [cell.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in columns]
+
+
+def _ones(flip: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(flip).astype(np.int64)
+
+
+def _pair_table(pairs: np.ndarray) -> pa.Table:
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def _meetings(classes: DataFrame, n: int, width: int, radius: int) -> DataFrame:
+    """Pairs a, b of classes that share a variant of one of their fingerprints.
+
+    classes: cls and fps. In every cell a class is paired with two of those that it
+    meets there at most; it is in several cells of each table. Classes with further
+    meetings, which ``_other_meetings`` finds, come as a pair with themselves as well.
+    """
+    cells, free = _cells(classes, n, width, radius)
 
     def in_cell(cell: pa.Table) -> pa.Table:
-        own, moved = (cell.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("cls", "moved"))
-        pairs = _to_few(_shared(own, moved, cell.column("spent").to_numpy().astype(np.int64), free, radius)).view(np.int64)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        own, moved, flip = _numbers(cell, "cls", "moved", "flip")
+        return _pair_table(_to_few(_shared(own, moved, _ones(flip), free, radius)).view(np.int64))
+
+    return cells.groupBy("t", "cell").applyInArrow(in_cell, "a long, b long").distinct()
+
+
+def _other_meetings(classes: DataFrame, n: int, width: int, radius: int, similarity: float) -> DataFrame:
+    """All pairs a < b of classes of different roots that meet and whose sizes are as similar.
+
+    classes: cls, fps, size (of the shingle set) and root. Pairs inside a group never
+    leave their cell.
+    """
+    cells, free = _cells(classes, n, width, radius)
+
+    def in_cell(cell: pa.Table) -> pa.Table:
+        names, moved, flip, root = _numbers(cell, "cls", "moved", "flip", "root")
+        if (root == root[0]).all():
+            return _pair_table(np.empty((0, 2), np.int64))
+        size = cell.column("size").to_numpy().astype(np.int64)
+        parts = _shared(np.arange(len(names), dtype=np.uint64), moved, _ones(flip), free, radius)
+        return _pair_table(_to_all(parts, names, moved ^ flip, root, size, similarity, 2 * radius).view(np.int64))
 
-    one = classes.select("cls", F.posexplode("fps").alias("t", "fp")).withColumn("flip", F.explode(F.lit(flips)))
-    moved = one.select("cls", "t", F.col("fp").bitwiseXOR(F.col("flip")).alias("moved"), F.bit_count("flip").alias("spent"))
-    cells = moved.withColumn("cell", F.col("moved").bitwiseAND(F.lit((1 << chosen) - 1)))
     return cells.groupBy("t", "cell").applyInArrow(in_cell, "a long, b long").distinct()
 
 
@@ -318,10 +408,12 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle_word
     """doc_id and component_id of every row of ``docs`` (doc_id, text).
 
     Texts with equal shingle sets are a class. Classes whose fingerprints of one table
-    are within 2 * radius bits meet. Each is held against the most popular and the rarest
-    that it meets in every cell, and linked if the Jaccard similarity of their whole
+    are within 2 * radius bits meet and are linked if the Jaccard similarity of their whole
     shingle sets reaches ``similarity``; component_id is the smallest doc_id reachable
-    over links. Every link is exact; of pairs just at 0.8 about nineteen in twenty
+    over links. Each is first held against the most popular and the rarest that it meets
+    in every cell, then against all that it meets in other groups than its own, but those
+    whose size alone rules the similarity out, so that no meeting that could join two
+    groups is left. Every link is exact; of pairs just at 0.8 about nineteen in twenty
     meet, of pairs at 0.9 all but one in ten thousand. The fingerprints get a bit longer
     each time the classes double, so the pairs that meet by chance grow as the classes.
     Null and wordless texts are one class; repeated rows stay; classes of rows with null
@@ -332,12 +424,13 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle_word
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cls, fps = [], []
+            cls, fps, size = [], [], []
             for text in b.column("text"):
                 shingles = shingle_set(text.as_py(), shingle_words)
                 cls.append(class_of(shingles))
                 fps.append(short_fingerprints(shingles, tables, width) if len(shingles) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cls, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "cls", "fps"])
+                size.append(len(shingles))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cls, pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(size, pa.int64())], ["doc_id", "cls", "fps", "size"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -346,15 +439,21 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle_word
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["cls", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stored(texts.mapInArrow(classed, "doc_id long, cls long, fps array<long>"), "similar-rows")
-    classes = stored(rows.groupBy("cls").agg(F.min("doc_id").alias("least_doc"), F.first("fps").alias("fps")), "similar-classes")
+    rows = stored(texts.mapInArrow(classed, "doc_id long, cls long, fps array<long>, size long"), "similar-rows")
+    classes = stored(rows.groupBy("cls").agg(F.min("doc_id").alias("least_doc"), F.first("fps").alias("fps"), F.first("size").alias("size")), "similar-classes")
     met = stored(_meetings(classes.where("fps is not null"), n, width, radius), "similar-met")
     # Whole shingle sets, of the classes that met anyone only, from the text of one row each.
     named = met.select(F.col("a").alias("cls")).union(met.select("b")).distinct()
     wanted = named.join(classes, "cls").where("least_doc is not null").select(F.col("least_doc").alias("doc_id")).distinct()
     whole = texts.join(wanted, "doc_id").select("text").mapInArrow(sets, "cls long, shingles array<long>").dropDuplicates(["cls"])
-    links = _similar(met, stored(whole, "similar-sets"), similarity)
+    whole = stored(whole, "similar-sets")
+    links = stored(_similar(met.where("a <> b"), whole, similarity), "similar-links")
+    # What those few partners leave: the meetings between different groups.
     roots = components(links)
+    more = met.where("a = b").select(F.col("a").alias("cls")).distinct().join(classes, "cls").join(roots, F.col("cls") == F.col("node"), "left")
+    others = _other_meetings(more.select("cls", "fps", "size", F.coalesce("root", "cls").alias("root")), n, width, radius, similarity)
+    others = stored(others.join(met, ["a", "b"], "left_anti"), "similar-others")
+    roots = components(links.union(_similar(others, whole, similarity)))
     grouped = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least_doc", F.coalesce("root", "cls").alias("root"))
     least = grouped.groupBy("root").agg(F.min("least_doc").alias("component_id"))
     return rows.select("doc_id", "cls").join(grouped.join(least, "root").select("cls", "component_id"), "cls").select("doc_id", "component_id")

@@ -485,3 +485,32 @@ def test_similar_groups(spark):
     rows = sorted(rows, key=lambda r: r[0])
     assert found == list(zip([i for i, _ in rows], brute_similar(rows)))
     assert simhash.similar_groups(documents(spark, [])).count() == 0
+
+
+def test_similar_groups_in_a_crowd(spark):
+    """In a crowd without its original, every pair that meets is held against whole sets."""
+    rng = random.Random(11)
+    base = [f"{rng.choice(WORDS)}{k}" for k in range(100)]
+    rows = []
+    for i in range(600):
+        w = list(base)
+        for k in rng.sample(range(100), rng.choice((2, 2, 3, 4))):
+            w[k] = f"x{rng.randint(0, 9)}"
+        rows.append((i, " ".join(w)))
+    sets = [simhash.shingle_set(t, 5) for _, t in rows]
+    fps = np.array([simhash.short_fingerprints(x, simhash.TABLES, 32) for x in sets])
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in np.flatnonzero((np.bitwise_count(fps[i] ^ fps[:i]) <= 4).any(1)).tolist():
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    found = sorted(map(tuple, simhash.similar_groups(documents(spark, rows)).collect()))
+    assert found == [(i, find(i)) for i in range(len(rows))]
