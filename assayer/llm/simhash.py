@@ -296,6 +296,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, max_bits: int = 4)
 
 #: Similarity of near copies, words of their shingles, and fingerprints a text has for it.
 SIMILARITY, SIMILAR_WORDS, TABLES = 0.8, 5, 10
+#: Share of the pairs just at the similarity that meet, whatever the number of texts.
+RECALL = 0.98
 #: Variants of a table that a cell may hold on average.
 TABLE_CELL_VARIANTS = 1 << 23
 #: Owners of a variant from which they are held against each other at once, and how many are.
@@ -315,6 +317,17 @@ def shingle_set(text: str | None, shingle_words: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, last)), np.uint64, len(last)))
 
 
+def tables_for(width: int, radius: int, similarity: float, least: int, recall: float = RECALL) -> int:
+    """Tables, ``least`` or more, in one of which ``recall`` of the pairs at ``similarity`` meet.
+
+    A bit differs with probability acos(c) / pi, c being the cosine of the sets; for a
+    given similarity it is the greatest for sets of equal size.
+    """
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    meet = sum(math.comb(width, k) * p**k * (1 - p) ** (width - k) for k in range(2 * radius + 1))
+    return least if meet >= 1 else max(least, math.ceil(math.log(1 - recall) / math.log1p(-meet)))
+
+
 def class_of(shingles: np.ndarray) -> int:
     """Hash of a whole shingle set."""
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).astype(np.int64))
@@ -413,14 +426,16 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle_word
     over links. Each is first held against the most popular and the rarest that it meets
     in every cell, then against all that it meets in other groups than its own, but those
     whose size alone rules the similarity out, so that no meeting that could join two
-    groups is left. Every link is exact; of pairs just at 0.8 about nineteen in twenty
-    meet, of pairs at 0.9 all but one in ten thousand. The fingerprints get a bit longer
-    each time the classes double, so the pairs that meet by chance grow as the classes.
+    groups is left. Every link is exact. The fingerprints get a bit longer each time the rows
+    double, so the pairs that meet by chance grow as the rows; there are ``tables`` of
+    them, and as many more as the longer ones need for RECALL of the pairs just at
+    ``similarity`` to meet.
     Null and wordless texts are one class; repeated rows stay; classes of rows with null
     doc_ids alone are linked to no other; other columns are ignored.
     """
     n = docs.count()
     width = min(60, max(32, math.ceil(math.log2(max(2, n))) + 22))
+    tables = tables_for(width, radius, similarity, tables)
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -487,6 +487,33 @@ def test_similar_groups(spark):
     assert simhash.similar_groups(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("width", [32, 40, 46, 52])
+def test_tables_hold_recall(width):
+    """Pairs of equal sets at 0.8 meet as often at the widths of larger inputs."""
+    rng = np.random.default_rng(3)
+    tables = simhash.tables_for(width, 2, simhash.SIMILARITY, simhash.TABLES)
+    met = 0
+    for _ in range(400):
+        x = rng.integers(0, 1 << 63, 1000).astype(np.uint64)
+        a, b = (np.array(simhash.short_fingerprints(y, tables, width)) for y in (x[:900], x[100:]))
+        met += (np.bitwise_count(a ^ b) <= 4).any()
+    assert met >= 0.96 * 400
+    assert tables >= simhash.TABLES
+
+
+def test_similar_groups_makes_tables_for_the_width(spark, monkeypatch):
+    asked = []
+
+    def stop(classes, n, width, radius):
+        asked.append((width, classes.select(F.size("fps")).first()[0]))
+        raise InterruptedError
+
+    monkeypatch.setattr(simhash, "_meetings", stop)
+    with pytest.raises(InterruptedError):
+        simhash.similar_groups(spark.range(1 << 16).selectExpr("id as doc_id", "concat('w', id) as text"))
+    assert asked == [(38, 12)]
+
+
 def test_similar_groups_in_a_crowd(spark):
     """In a crowd without its original, every pair that meets is held against whole sets."""
     rng = random.Random(11)
