@@ -160,9 +160,13 @@ def lexical_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def identifier_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identifier_extraction_whole(spark, sf_dir).where("n >= 50")
+
+
+def identifier_extraction_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     words = docs.select("doc_id", F.explode(text.identifiers(F.col("text"))).alias("identifier"))
-    return words.groupBy("identifier").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs")).where("n >= 50")
+    return words.groupBy("identifier").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
 def unit_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,11 +367,19 @@ def rollup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
 
 
-def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = _table(spark, sf_dir, "part").where("p_partkey < 2000").select("p_partkey", F.concat(F.lit("N"), F.col("p_partkey").cast("string")).alias("name"))
+def _natural_order(parts: DataFrame) -> DataFrame:
+    named = parts.select("p_partkey", F.concat(F.lit("N"), F.col("p_partkey").cast("string")).alias("name"))
     return ordering.numbered(named.withColumn("key", ordering.natural_key(F.col("name"))), ["key"], "position").select("p_partkey", "position")
 
 
+def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _natural_order(_table(spark, sf_dir, "part").where("p_partkey < 2000"))
+
+
+def natural_order_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _natural_order(_table(spark, sf_dir, "part"))
+
+
 QUERIES = (
     unique_resolution, scoped_lookup, bound_unbound_edges, colocation_cause_effect, relationship_key, drift_full_outer, drift_domain_gated, drift_sanitized,
     inventory_reconcile, field_comparison_status, key_verdict, theta_identity_match, multi_basis_correlation, topology_corroboration, channel_expansion,
@@ -381,3 +393,11 @@ QUERIES = (
 
 def queries() -> dict:
     return {f.__name__: f for f in QUERIES}
+
+
+#: The whole of what two queries' SQL twins cut; they have no twins.
+WHOLE = (identifier_extraction_whole, natural_order_whole)
+
+
+def whole_queries() -> dict:
+    return {f.__name__: f for f in WHOLE}

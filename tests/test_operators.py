@@ -156,3 +156,17 @@ def test_bit_functions(spark):
     assert one(bits.status_nibble(F.lit(0xA123))) == 10
     name = uuid.UUID("6ba7b810-9dad-11d1-80b4-00c04fd430c8")
     assert one(hashing.name_uuid(F.lit(str(name)), F.lit("größe"))) == str(uuid.uuid5(name, "größe"))
+
+
+def test_whole_queries(spark, tmp_path):
+    """Neither keys from 2000 on nor identifiers of few mentions are left out."""
+    import __spark_entry__
+
+    whole = __spark_entry__.queries()
+    keys = [3000, 2, 10, 1999, 2000, 100_000]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    found = whole["natural_order_whole"](spark, str(tmp_path)).collect()
+    assert sorted((r["position"], r["p_partkey"]) for r in found) == list(enumerate(sorted(keys), 1))
+    spark.createDataFrame([(1, "pump_1 valve pump_1"), (2, "pump_1")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["identifier"]: (r["n"], r["docs"]) for r in whole["identifier_extraction_whole"](spark, str(tmp_path)).collect()}
+    assert found == {"pump_1": (3, 2), "valve": (1, 1)}
