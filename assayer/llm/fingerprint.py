@@ -16,7 +16,6 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -72,17 +71,6 @@ def likeness(a: str, b: str) -> float:
     return 1.0 - difference(a, b) / MAX_DIFFERENCE
 
 
-def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` and fingerprint; a null text counts as empty."""
-
-    @F.pandas_udf("string")
-    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(digest, na_action=None)
-
-    return docs.withColumn("fingerprint", digests(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-
-
 def with_successor(docs: DataFrame, prepare: Callable, combine: Callable, schema: str, rows: int = ROWS) -> DataFrame:
     """One row ``combine(doc_id, a, b)`` for every row of ``docs`` and the row after it.
 

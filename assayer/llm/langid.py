@@ -162,13 +162,16 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike("\\p{L}"), F.lit(False))
 
 
-def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """All rows and columns of ``docs`` plus language: struct<lang, score, accepted>.
+def identify(docs: DataFrame, model: LanguageModel | None, name: str = "language") -> DataFrame:
+    """All rows and columns of ``docs`` plus ``name``: struct<lang, score, accepted>.
 
-    A null text or one without a letter is ``und`` with score 0 and not accepted, as is
+    ``docs`` may not have a column of that name. Repeated rows are rows of their own; an
+    empty table gives an empty result. A null text or one without a letter is ``und`` with score 0 and not accepted, as is
     every text if there is no model. Any other text gets a learned language; it is
     accepted if its calibrated score reaches the model's threshold.
     """
+    if name.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"docs has a column {name}")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double, accepted boolean")
@@ -179,7 +182,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
             yield pd.DataFrame({"lang": [f[0] for f in found], "score": [f[1] for f in found], "accepted": [f[0] != UNDETERMINED and f[1] >= own.reject_below for f in found]})
 
     text = F.col("text").cast("string")
-    return docs.withColumn("language", predicted(text, has_letter(text)))
+    return docs.withColumn(name, predicted(text, has_letter(text)))
 
 
 def held_out(doc_id: Column) -> Column:
