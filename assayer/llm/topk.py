@@ -24,6 +24,8 @@ from .common import stored
 
 #: Candidates in a block, queries in a block, candidates whose bounds are computed at once.
 BLOCK, QUERY_BLOCK, SLICE = 8192, 2048, 1024
+#: Blocks at most: beyond BLOCK times as many candidates, blocks get larger.
+MOST_BLOCKS = 1 << 16
 #: Share of the coordinates in the partial sums.
 HEAD = 0.5
 #: Share of candidates left by the bounds from which all of a slice are scored at once.
@@ -57,9 +59,10 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 def _rotations(vectors: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
     """By dimension: number of vectors and eigenvectors of their Gram matrix, largest first.
 
-    Each task adds up its own products, Spark adds up the tasks'; the driver sees one
-    matrix a dimension.
+    Each task adds up its own products, and the lines of a matrix are added up by as many
+    tasks; the driver sees one matrix a dimension.
     """
+    line = "dim int, line int, n long, v array<double>"
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list] = {}
@@ -72,14 +75,20 @@ def _rotations(vectors: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
                 own[0] += len(x)
                 own[1] += x.T @ x
         for d, (n, g) in found.items():
-            yield pa.RecordBatch.from_pydict({"dim": pa.array([d] * (d * d), pa.int32()), "cell": pa.array(range(d * d), pa.int64()), "n": pa.array([n] * (d * d), pa.int64()), "v": g.ravel()})
+            yield pa.RecordBatch.from_pydict({"dim": pa.array([d] * d, pa.int32()), "line": pa.array(range(d), pa.int32()), "n": pa.array([n] * d, pa.int64()), "v": pa.array(list(g), pa.list_(pa.float64()))})
 
-    cells = vectors.select("dim", "vec").mapInArrow(grams, "dim int, cell long, n long, v double").groupBy("dim", "cell").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    def added(rows: pa.Table) -> pa.Table:
+        v = _matrix(rows.column("v")).sum(0)
+        n = int(rows.column("n").to_numpy().sum())
+        return pa.table({"dim": rows.column("dim")[:1], "line": rows.column("line")[:1], "n": pa.array([n], pa.int64()), "v": pa.array([v], pa.list_(pa.float64()))})
+
+    lines = vectors.select("dim", "vec").mapInArrow(grams, line).groupBy("dim", "line").applyInArrow(added, line).collect()
     out = {}
-    for d, rows in cells.toPandas().groupby("dim"):
-        gram = rows.sort_values("cell")["v"].to_numpy().reshape(d, d)
+    for d in {r["dim"] for r in lines}:
+        own = sorted((r for r in lines if r["dim"] == d), key=lambda r: r["line"])
+        gram = np.array([r["v"] for r in own])
         _, vectors_of = np.linalg.eigh((gram + gram.T) / 2)
-        out[int(d)] = (int(rows["n"].iloc[0]), np.ascontiguousarray(vectors_of[:, ::-1]))
+        out[d] = (own[0]["n"], np.ascontiguousarray(vectors_of[:, ::-1]))
     return out
 
 
@@ -157,7 +166,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
     rows = stored(rows, "topk-vectors")
     turns = _rotations(rows)
     total = sum(n for n, _ in turns.values())
-    blocks = max(1, math.ceil(total / BLOCK))
+    blocks = max(1, math.ceil(total / max(BLOCK, total / MOST_BLOCKS)))
     # Of equal vectors only the k + 1 smallest ids can be among a query's k best.
     same = Window.partitionBy("vec").orderBy("vec_id")
     candidates = rows.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1)
@@ -183,18 +192,23 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
         return pa.table({"query_id": q_ids[row], "vec_id": ids, "score": s}, schema)
 
     def compared(some_queries: DataFrame, candidates: DataFrame) -> DataFrame:
-        spread = candidates.select("dim", "cb", "vec_id", "vec", "len2", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
-        return some_queries.groupBy("dim", "qb", "cb").cogroup(spread.groupBy("dim", "qb", "cb")).applyInArrow(cell, "query_id long, vec_id long, score long")
+        """candidates: the rows of the blocks, once for each query block (qb) that wants them."""
+        sent = candidates.select("dim", "qb", "cb", "vec_id", "vec", "len2")
+        return some_queries.groupBy("dim", "qb", "cb").cogroup(sent.groupBy("dim", "qb", "cb")).applyInArrow(cell, "query_id long, vec_id long, score long")
 
     nothing = F.lit(float("-inf"))
-    first = stored(compared(queries.join(longest, "dim").withColumn("floor", nothing), placed.join(longest, ["dim", "cb"], "left_semi")), "topk-first")
+    every_qb = F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
+    first = stored(compared(queries.join(longest, "dim").withColumn("floor", nothing), placed.join(longest, ["dim", "cb"], "left_semi").withColumn("qb", every_qb)), "topk-first")
     reached = first.groupBy("query_id").agg(F.when(F.count("score") >= k, F.min("score")).otherwise(None).alias("kth"))
     known = queries.join(reached, "query_id", "left").withColumn("floor", F.coalesce(F.col("kth").cast("double"), nothing))
-    # A cell is set up only for queries that the block's greatest length could help.
+    # A cell is set up only if the block's greatest length could help one of its queries. There
+    # are MOST_BLOCKS lengths at most.
     block_len = placed.groupBy("dim", "cb").agg(F.sqrt(F.max("len2")).alias("block_len")).join(longest, ["dim", "cb"], "left_anti")
     lengths = block_len.groupBy("dim").agg(F.collect_list(F.struct("cb", "block_len")).alias("blocks"))
     q_len = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v))
-    wanted = known.join(lengths, "dim").withColumn("b", F.explode("blocks")).where(q_len * F.col("b.block_len") * (1 + MARGIN) >= F.col("floor")).select("dim", "qb", F.col("b.cb").alias("cb"), "query_id", "vec", "floor")
-    rest = compared(wanted, placed.join(longest, ["dim", "cb"], "left_anti"))
+    helped = F.transform(F.filter("blocks", lambda b: F.col("q_len") * b["block_len"] * (1 + MARGIN) >= F.col("floor")), lambda b: b["cb"])
+    wanted = known.withColumn("q_len", q_len).join(F.broadcast(lengths), "dim").select("dim", "qb", F.explode(helped).alias("cb"), "query_id", "vec", "floor")
+    cells = stored(wanted.select("dim", "qb", "cb").distinct(), "topk-cells")
+    rest = compared(wanted, placed.join(cells, ["dim", "cb"]))
     ranked = first.union(rest).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
