@@ -1,46 +1,66 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped so that every block of text is a line, and what can't be article text
-by its markup (scripts, menus, forms, notices and so on) is an empty line. The lengths of
-the lines, without the text of their links, are summed over a sliding window. Where the
-sum surges, text begins; where it dives to nothing, text ends; all lines between the two
-points are kept. A page may have several such stretches.
+Markup is stripped so that every block of text is a line. A line's length counts without
+the text of its links, and not at all where markup says that it is a menu, a notice, a
+form and so on; such elements stand between empty lines. The lengths are summed over a
+sliding window of lines. Where the sum surges from nothing, text begins; where it dives
+to nothing again, text ends; all lines between the two points are kept, and no others. A
+page has as many such stretches as it has breaks.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lines in a window, and empty lines that stand for what was stripped between two lines.
+#: Lines in a window, and empty lines around an element that is set aside.
 WINDOW = 3
 GAP = WINDOW + 1
-#: A stretch surges if its densest window reaches this share of the page's densest one.
-SURGE = 0.1
 
 # Names of HTML elements by their role.
-RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "noembed", "noframes"}
-DROPPED = {"head", "nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "textarea", "fieldset", "label", "input", "audio", "video"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "canvas", "noembed", "noframes"}
+DROPPED = {"head", "nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "textarea", "fieldset", "label", "audio", "video"}
+BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "col", "colgroup", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "frameset", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+#: Void elements that end a line.
+BREAKS = {"br", "hr"}
 #: Elements whose end tag may be left out, and the tags that then end them.
 CLOSED_BY = {"p": {"p", "div", "ul", "ol", "table", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "form", "footer", "header", "aside", "nav", "hr", "main"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-#: Words in class, id or role that mark what is no article text.
-ASIDE_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "cookie", "cookies", "consent", "disclaimer", "disqus", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "navigationlist", "newsletter", "notice", "notification", "notices", "pager", "pagination", "popup", "promo", "promoted", "promotion", "related", "reply", "replies", "search", "share", "sharing", "sidebar", "sidebars", "sitenav", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget", "widgets", "alert", "contentinfo", "complementary", "topnav", "subnav", "respond", "responses", "discussion"}
 ARTICLE = {"article", "main"}
 
+#: Words that name what is no article text in a class, id or role.
+ASIDE_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertisements", "advertising", "adsense", "alert", "banner", "breadcrumb", "breadcrumbs", "comment", "commentlist", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "disclaimer", "discussion", "disqus", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pager", "pagination", "popup", "promo", "promoted", "promotion", "related", "replies", "reply", "respond", "responses", "search", "share", "sharing", "sidebar", "sidebars", "signup", "skip", "social", "sponsor", "sponsored", "subnav", "subscribe", "subscription", "toolbar", "topbar", "topnav", "widget", "widgets"}
+#: Those that do so as the first word of several, whatever follows.
+FIRST_WORDS = {"ad", "ads", "advert", "advertisement", "comments", "cookie", "cookies", "disqus", "footer", "gdpr", "menu", "nav", "navbar", "newsletter", "sidebar", "sponsored", "widget"}
+#: Words after such a word that say no more than that it is an element.
+SHAPES = {"area", "articles", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "content", "copy", "group", "holder", "icons", "inner", "item", "items", "left", "links", "list", "main", "message", "module", "outer", "overlay", "panel", "posts", "region", "right", "row", "section", "slot", "stories", "text", "thread", "top", "trail", "unit", "wrap", "wrapper"}
+#: A class that begins so speaks of something else than the element itself.
+ABOUT_OTHERS = {"has", "with", "without", "no", "is", "not"}
+
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 MARKS = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
+#: Text, its characters outside links, whether it is in an article, and whether it is set aside.
+Line = tuple[str, int, bool, bool]
 
-#: A class like has-sidebar speaks of something else than the element itself.
-ABOUT_OTHERS = {"has", "with", "without", "no", "is", "not"}
+
+def _says_aside(name: str, inside: bool) -> bool:
+    """True if one class, id or role names what is no article text: share-bar, not share-price."""
+    words = [w.lower() for w in WORDS.findall(name)]
+    if not words or words[0] in ABOUT_OTHERS:
+        return False
+    while len(words) > 1 and words[-1] in SHAPES:
+        words.pop()
+    if inside and words[-1] == "header":
+        return False
+    return words[-1] in ASIDE_WORDS or words[0] in FIRST_WORDS
 
 
 def _set_aside(name: str, attributes: str, inside: bool, by_class: bool) -> bool:
@@ -49,142 +69,168 @@ def _set_aside(name: str, attributes: str, inside: bool, by_class: bool) -> bool
         return not (inside and name == "header")
     if not attributes or name in ("html", "body", *ARTICLE):
         return False
-    words = ASIDE_WORDS - {"header"} if inside else ASIDE_WORDS
     for m in MARKS.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True
         if key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if key in ("class", "id", "role") and by_class:
-            for one in value.split():
-                said = [w.lower() for w in WORDS.findall(one)]
-                if said and said[0] not in ABOUT_OTHERS and not words.isdisjoint(said):
-                    return True
+        if key in ("class", "id", "role") and by_class and any(_says_aside(one, inside) for one in value.split()):
+            return True
     return False
 
 
-def lines_of(page: str, by_class: bool = True) -> tuple[list[tuple[str, int, bool]], bool]:
-    """Lines of a page, and whether it has an article or main element.
+class _Page:
+    """Open elements and lines of one page, tag by tag."""
 
-    by_class: elements are set aside by their class, id and role too.
+    def __init__(self, by_class: bool) -> None:
+        self.by_class = by_class
+        self.lines: list[Line] = []
+        self.text: list[tuple[str, bool]] = []
+        # Open elements; None for one that was closed out of turn. Places by name and of blocks.
+        self.stack: list[str | None] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+        self.aside_at = self.links = self.inside = 0
+        self.any_inside = False
 
-    A line is its text, the number of its characters outside links, and whether it is in
-    an article or main element. Stripped elements leave GAP empty lines.
-    """
-    lines: list[tuple[str, int, bool]] = []
-    text: list[tuple[str, bool]] = []
-    stack: list[str] = []
-    aside_at = links = inside = 0
-    any_inside = False
-
-    def end_line() -> None:
-        if text:
-            whole = " ".join(entities.unescape("".join(t for t, _ in text)).split())
+    def add(self, text: str) -> None:
+        self.text.append((text, self.links > 0))
+
+    def end_line(self) -> None:
+        if self.text:
+            whole = " ".join(entities.unescape("".join(t for t, _ in self.text)).split())
             if whole:
-                plain = " ".join(entities.unescape("".join(t for t, linked in text if not linked)).split())
-                lines.append((whole, len(plain), inside > 0))
-            text.clear()
-
-    def pop() -> None:
-        nonlocal aside_at, links, inside
-        name = stack.pop()
-        if len(stack) < aside_at:
-            aside_at = 0
-            lines.extend([("", 0, False)] * GAP)
-        links -= name == "a"
-        if name not in INLINE:
-            end_line()
-        inside -= name in ARTICLE
-
-    at, n = 0, len(page)
+                plain = " ".join(entities.unescape("".join(t for t, linked in self.text if not linked)).split())
+                self.lines.append((whole, len(plain), self.inside > 0, self.aside_at > 0))
+            self.text.clear()
+
+    def gap(self) -> None:
+        self.lines.extend([("", 0, False, False)] * GAP)
+
+    def pop(self) -> None:
+        name = self.stack[-1]
+        if name is not None:
+            if name in BLOCK or len(self.stack) == self.aside_at:
+                self.end_line()
+            self.places[name].pop()
+            if name in BLOCK:
+                self.blocks.pop()
+            self.links -= name == "a"
+            self.inside -= name in ARTICLE
+        self.stack.pop()
+        if len(self.stack) < self.aside_at:
+            self.aside_at = 0
+            self.gap()
+
+    def end_tag(self, name: str) -> None:
+        if not self.places[name]:
+            if name in BLOCK:
+                self.end_line()
+            return
+        at = self.places[name][-1]
+        # An inline end tag doesn't close the blocks opened after its start.
+        if name not in BLOCK and self.blocks and self.blocks[-1] > at:
+            if at + 1 != self.aside_at:
+                self.places[name].pop()
+                self.links -= name == "a"
+                self.stack[at] = None
+            return
+        while len(self.stack) > at:
+            self.pop()
+
+    def start_tag(self, name: str, attributes: str) -> None:
+        while self.blocks and name in CLOSED_BY.get(self.stack[self.blocks[-1]], ()):
+            for _ in range(len(self.stack) - self.blocks[-1]):
+                self.pop()
+        if name in BLOCK or name in BREAKS:
+            self.end_line()
+        if name in VOID or attributes.endswith("/") and name not in BLOCK:
+            return
+        if not self.aside_at and _set_aside(name, attributes, self.inside > 0, self.by_class):
+            self.end_line()
+            self.aside_at = len(self.stack) + 1
+            self.gap()
+        self.places[name].append(len(self.stack))
+        if name in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(name)
+        self.links += name == "a"
+        self.inside += name in ARTICLE
+        self.any_inside |= name in ARTICLE and not self.aside_at
+
+
+def lines_of(page: str, by_class: bool = True) -> tuple[list[Line], bool]:
+    """Lines of a page, and whether it has an article or main element.
+
+    by_class: elements are set aside by their class, id and role too. Elements that are
+    set aside stand between GAP empty lines.
+    """
+    state, at, n = _Page(by_class), 0, len(page)
     while at < n:
         m = TOKEN.search(page, at)
         if m is None:
-            if not aside_at:
-                text.append((page[at:], links > 0))
+            state.add(page[at:])
             break
-        if m.start() > at and not aside_at:
-            text.append((page[at : m.start()], links > 0))
+        if m.start() > at:
+            state.add(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         name = m[2].lower()
         if m[1]:
-            if name in stack:
-                # An inline end tag doesn't close blocks around it.
-                if name not in INLINE or all(s in INLINE for s in stack[len(stack) - stack[::-1].index(name) :]):
-                    while stack[-1] != name:
-                        pop()
-                    pop()
-                else:
-                    i = len(stack) - 1 - stack[::-1].index(name)
-                    if not aside_at or i >= aside_at:
-                        del stack[i]
-                        links -= name == "a"
-            elif name not in INLINE and not aside_at:
-                end_line()
-            continue
-        if name in RAW:
+            state.end_tag(name)
+        elif name in RAW:
             close = re.compile(rf"</{re.escape(name)}\s*(?:>|$)", re.I).search(page, at)
             at = close.end() if close else n
-            end_line() if not aside_at else None
-            continue
-        while stack and name in CLOSED_BY.get(next((s for s in reversed(stack) if s not in INLINE), ""), ()):
-            while stack[-1] in INLINE:
-                pop()
-            pop()
-        if name not in INLINE and not aside_at:
-            end_line()
-        if name in VOID or (m[3] or "").endswith("/") and name not in INLINE and name not in CLOSED_BY and name not in ("div", "section", *ARTICLE):
-            continue
-        if not aside_at and _set_aside(name, m[3] or "", inside > 0, by_class):
-            aside_at = len(stack) + 1
-            lines.extend([("", 0, False)] * GAP)
-        stack.append(name)
-        links += name == "a"
-        if name in ARTICLE and not aside_at:
-            inside += 1
-            any_inside = True
-        elif name in ARTICLE:
-            inside += 1
-    while stack and not aside_at:
-        pop()
-    end_line()
-    return lines, any_inside
+        else:
+            state.start_tag(name, m[3] or "")
+    while state.stack:
+        state.pop()
+    state.end_line()
+    return state.lines, state.any_inside
 
 
-def main_text(page: str | None) -> str:
-    """The page's article: blocks joined by a space, "" if there is none.
+def weights(lines: list[Line], marked: bool) -> list[int]:
+    """What each line counts for. Where the page marks its article, other lines count nothing."""
+    return [0 if aside else len(text) * inside if marked else plain for text, plain, inside, aside in lines]
 
-    A page that classes leave nothing of is read again without them.
-    """
-    return page and (_kept(*lines_of(page)) or _kept(*lines_of(page, by_class=False))) or ""
 
+def stretches(weight: list[int]) -> list[tuple[int, int]]:
+    """Places of the first line and after the last one between each surge and the dive after it.
 
-def _kept(lines: list[tuple[str, int, bool]], marked: bool) -> str:
-    """Lines between the surge and dive points."""
-    # Where the page marks its article, other lines weigh nothing.
-    weight = [len(text) * inside if marked else plain for text, plain, inside in lines]
-    n = len(weight)
-    sums = [sum(weight[i : i + WINDOW]) for i in range(n)]
-    stretches, start = [], None
+    The window sum of a line is that of the WINDOW lines from it on. It surges where it
+    leaves nothing and dives where it is nothing again; a stretch begins and ends with a
+    line that counts.
+    """
+    found, start, n = [], None, len(weight)
+    window = sum(weight[:WINDOW])
     for i in range(n + 1):
-        dense = i < n and sums[i] > 0
-        if dense and start is None:
+        if start is None and i < n and window and weight[i]:
             start = i
-        elif not dense and start is not None:
-            stretches.append((start, i))
+        elif start is not None and not window:
+            end = i
+            while not weight[end - 1]:
+                end -= 1
+            found.append((start, end))
             start = None
-    if not stretches:
+        window += (weight[i + WINDOW] if i + WINDOW < n else 0) - (weight[i] if i < n else 0)
+    return found
+
+
+def main_text(page: str | None) -> str:
+    """The page's article: blocks joined by a space, "" for a null, empty or textless page.
+
+    A page that classes leave nothing of is read again without them.
+    """
+    if not page:
         return ""
-    level = SURGE * max(sums)
-    kept = []
-    for start, end in stretches:
-        # Inside a marked article every stretch is text; elsewhere it has to surge.
-        if marked or max(sums[start:end]) >= level:
-            kept += [lines[i][0] for i in range(start, end) if lines[i][0] and (not marked or lines[i][2])]
-    return " ".join(kept)
+    for by_class in (True, False):
+        lines, marked = lines_of(page, by_class)
+        kept = [lines[i][0] for start, end in stretches(weights(lines, marked)) for i in range(start, end) if lines[i][0] and (lines[i][2] or not marked)]
+        if kept:
+            return " ".join(kept)
+    return ""
 
 
 def extracted(html: Column) -> Column:
@@ -198,6 +244,13 @@ def extracted(html: Column) -> Column:
     return texts(F.coalesce(html.cast("string"), F.lit("")))
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
-    """All rows and columns of ``pages`` plus main_text; repeated rows stay."""
-    return pages.withColumn("main_text", extracted(F.col("html")))
+def extract_pages(pages: DataFrame, name: str = "main_text") -> DataFrame:
+    """All rows and columns of ``pages`` (html) plus ``name``, the page's main text.
+
+    A null, empty or textless html gives "". Pages of any length are read whole; repeated
+    rows stay; an empty table gives an empty result. ``pages`` may not have a column
+    ``name``.
+    """
+    if name.lower() in (c.lower() for c in pages.columns):
+        raise ValueError(f"pages has a column {name}")
+    return pages.withColumn(name, extracted(F.col("html")))
