@@ -3,28 +3,38 @@
 Headers (ids, urls, digests and lengths, no payloads) are shuffled by payload digest. Of
 the records of a digest the one with the smallest page_id is the original; the others
 become revisit records that refer to it. Payloads are shuffled once, by record and not
-by digest, so a payload that a third of all pages share is no hot group. The archives
-are gzipped text files that Spark writes in parallel, so they can lie in any store that
-Spark reaches; a record ends with two line ends, as the format asks.
+by digest, so a payload that a third of all pages share is no hot group, and what meets
+its digest is dealt to many tasks. Each task writes archives of a bounded size, every
+record gzipped by itself as the format asks; a table beside them names those that belong
+to the result, so what a lost task left behind is never read. Archives are read record
+by record.
 """
 
 from __future__ import annotations
 
 import gzip
 import io
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import join_hot, stored
 
 #: Smaller payloads are always written whole.
 LEAST_BYTES = 100
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 EOL = "\r\n"
+#: Bytes after which an archive is closed and the next one begun.
+ARCHIVE_BYTES = 1 << 28
+#: Bytes of payload that are handed on at once by a reader, about.
+READ_BYTES = 1 << 24
+#: The table of an archive folder that names its archives.
+CONTENTS = "contents"
 
 
 def _header_value(text: Column) -> Column:
@@ -53,30 +63,64 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES,
 
     A null html is an empty payload. Records with equal payloads of ``least_bytes`` or
     more: the first by page_id (nulls last), then url, is a response, the others are
-    revisits of it; of identical rows one is. Smaller payloads are all responses. Other
-    columns are ignored; an empty table gives archives without records.
+    revisits of it; of identical rows one is. Smaller payloads are all responses. A
+    payload of any length is one record. Other columns are ignored; an empty table gives
+    no archives.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("bytes"), F.sha2(payload, 256).alias("digest"))
     rows = rows.withColumn("pk", F.xxhash64("page_id", "url", "digest"))
     headers = stored(rows.drop("payload"), "warc-headers")
     place = F.struct(F.isnull("page_id").alias("no_id"), F.col("page_id").alias("id"), F.isnull("url").alias("no_url"), F.col("url").alias("at"))
-    originals = headers.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min(place).alias("o"))
-    originals = originals.select("digest", F.col("o.id").alias("o_id"), F.col("o.at").alias("o_url")).withColumn("o_pk", F.xxhash64("o_id", "o_url", "digest")).withColumn("o_record", _record_id(F.col("o_id"), F.col("o_url"), F.col("digest"), F.lit(1)))
+    originals = headers.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min(place).alias("o"), F.count(F.lit(1)).alias("copies"))
+    originals = originals.select("digest", "copies", F.col("o.id").alias("o_id"), F.col("o.at").alias("o_url")).withColumn("o_pk", F.xxhash64("o_id", "o_url", "digest")).withColumn("o_record", _record_id(F.col("o_id"), F.col("o_url"), F.col("digest"), F.lit(1)))
     nth = F.row_number().over(Window.partitionBy("pk", "digest").orderBy(F.lit(0)))
     again = headers.withColumn("nth", nth).withColumn("record_id", _record_id(F.col("page_id"), F.col("url"), F.col("digest"), F.col("nth")))
-    revisits = again.where(F.col("bytes") >= least_bytes).join(originals, "digest").where((F.col("pk") != F.col("o_pk")) | (F.col("nth") > 1))
+    originals = stored(originals, "warc-originals")
+    revisits = join_hot(again.where(F.col("bytes") >= least_bytes), originals, "digest", F.col("copies"), headers.count()).where((F.col("pk") != F.col("o_pk")) | (F.col("nth") > 1))
     revisit_text = _record("revisit", F.lit(""), date, ("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", F.col("o_record")), ("WARC-Refers-To-Target-URI", _header_value(F.col("o_url"))))
     large = rows.where(F.col("bytes") >= least_bytes).join(originals.select(F.col("o_pk").alias("pk"), "digest"), ["pk", "digest"], "left_semi").dropDuplicates(["pk", "digest"]).withColumn("record_id", _record_id(F.col("page_id"), F.col("url"), F.col("digest"), F.lit(1)))
     small = rows.where(F.col("bytes") < least_bytes).withColumn("nth", nth).withColumn("record_id", _record_id(F.col("page_id"), F.col("url"), F.col("digest"), F.col("nth")))
     response = _record("response", F.col("payload"), date)
     records = large.select(response.alias("value")).union(small.select(response)).union(revisits.select(revisit_text))
-    records.write.option("lineSep", EOL + EOL).option("compression", "gzip").text(path)
+    _write(records, path)
 
 
-def _parsed(content: bytes) -> Iterator[dict]:
-    """Records of one archive, read one by one by their Content-Length."""
-    stream = gzip.GzipFile(fileobj=io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path and the path in it. A path without a scheme, or of file, is a mounted folder."""
+    if "://" not in path or path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
+def _write(records: DataFrame, path: str) -> None:
+    def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = _store(path)
+        store.create_dir(folder, recursive=True)
+        name, out, written = None, None, 0
+        for b in batches:
+            for value in b.column("value"):
+                if out is None:
+                    name, written = f"{uuid.uuid4().hex}.warc.gz", 0
+                    out = store.open_output_stream(f"{folder}/{name}", compression=None)
+                member = gzip.compress((value.as_py() + EOL + EOL).encode("utf-8", "surrogatepass"), 6, mtime=0)
+                out.write(member)
+                written += len(member)
+                if written >= ARCHIVE_BYTES:
+                    out.close()
+                    yield pa.RecordBatch.from_pydict({"archive": [name], "bytes": pa.array([written], pa.int64())})
+                    out = None
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_pydict({"archive": [name], "bytes": pa.array([written], pa.int64())})
+
+    records.mapInArrow(archives, "archive string, bytes long").write.parquet(f"{path}/{CONTENTS}")
+
+
+def _parsed(archive: io.IOBase) -> Iterator[dict]:
+    """Records of one archive, gzipped or not, read one by one by their Content-Length."""
+    archive = io.BufferedReader(archive, 1 << 20)
+    stream = gzip.GzipFile(fileobj=archive) if archive.peek(2)[:2] == b"\x1f\x8b" else archive
     with stream as f:
         while line := f.readline():
             if not line.strip():
@@ -99,26 +143,31 @@ RECORD = "record_id string, record_type string, page_id long, target_uri string,
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """A row for every record of the archives in ``path``, gzipped or not.
+    """A row for every record of the archives that ``write_archives`` wrote to ``path``.
 
-    Columns: RECORD; payload is null for revisits. An archive is read by one task, so
-    archives should be of a size that a task can hold.
+    Columns: RECORD; payload is null for revisits. An archive is read by one task, in a
+    stream, one record at a time.
     """
+    schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("target_uri", pa.string()), ("refers_to_id", pa.string()), ("header_digest", pa.string()), ("http_bytes", pa.int64()), ("payload", pa.binary())])
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("target_uri", pa.string()), ("refers_to_id", pa.string()), ("header_digest", pa.string()), ("http_bytes", pa.int64()), ("payload", pa.binary())])
+        store, folder = _store(path)
         for b in batches:
-            for content in b.column("content"):
-                out = []
-                for r in _parsed(content.as_py()):
-                    out.append(r)
-                    if len(out) == 500:
-                        yield pa.RecordBatch.from_pylist(out, schema)
-                        out = []
+            for name in b.column("archive").to_pylist():
+                out, held = [], 0
+                with store.open_input_stream(f"{folder}/{name}", compression=None) as archive:
+                    for r in _parsed(archive):
+                        out.append(r)
+                        held += len(r["payload"] or b"")
+                        if len(out) == 500 or held > READ_BYTES:
+                            yield pa.RecordBatch.from_pylist(out, schema)
+                            out, held = [], 0
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(records, RECORD)
+    named = spark.read.schema("archive string, bytes long").parquet(f"{path}/{CONTENTS}")
+    count = named.count()
+    return named.select("archive").repartition(max(1, count), "archive").mapInArrow(records, RECORD)
 
 
 def resolve(records: DataFrame) -> DataFrame:
@@ -126,11 +175,14 @@ def resolve(records: DataFrame) -> DataFrame:
 
     payload_bytes and payload_digest (SHA-256, hex) are of the full payload: a revisit
     has those of the response that it refers to, and refers_to is that response's
-    page_id. A revisit without its response keeps what its own header says.
+    page_id. A revisit without its response keeps what its own header says. No records
+    give no rows.
     """
     slim = stored(records.select("record_id", "record_type", "page_id", "refers_to_id", "header_digest", "http_bytes", F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("digest")), "warc-records")
     responses = slim.where("record_type = 'response'")
     found = responses.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("bytes").alias("r_bytes"), F.col("digest").alias("r_digest"))
-    revisits = slim.where("record_type = 'revisit'").drop("bytes", "digest").join(found, "refers_to_id", "left")
+    again = slim.where("record_type = 'revisit'").drop("bytes", "digest")
+    often = again.groupBy("refers_to_id").agg(F.count(F.lit(1)).alias("copies"))
+    revisits = join_hot(again, stored(found.join(often, "refers_to_id"), "warc-referred"), "refers_to_id", F.col("copies"), again.count(), "left")
     whole = responses.select("record_id", "page_id", "record_type", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.lit(None).cast("long").alias("refers_to"))
     return whole.union(revisits.select("record_id", "page_id", "record_type", F.coalesce("r_bytes", "http_bytes"), F.coalesce("r_digest", "header_digest"), "refers_to"))
