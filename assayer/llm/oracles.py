@@ -30,21 +30,21 @@ def _rule(column: str) -> str:
 
 
 def _ranks(name: str, seeds: str, links: str) -> str:
-    """CTEs of ROUNDS steps of personalised PageRank from ``seeds``(host, weight) over ``links``(src, dst, n)."""
-    out = [
-        f"{name}_share AS (SELECT src, dst, {DAMPING} * n / SUM(n) OVER (PARTITION BY src) AS share FROM {links})",
-        f"{name}_start AS (SELECT host, {1 - DAMPING} * weight / (SELECT SUM(weight) FROM {seeds}) AS rank FROM {seeds})",
-        f"{name}_0 AS (SELECT * FROM {name}_start)",
-    ]
-    for i in range(ROUNDS):
-        out.append(f"{name}_{i + 1} AS (SELECT host, SUM(rank) AS rank FROM (SELECT * FROM {name}_start UNION ALL SELECT dst, rank * share FROM {name}_{i} JOIN {name}_share ON host = src) GROUP BY host)")
-    return ",\n".join(out)
+    """CTEs of ROUNDS steps of personalised PageRank from ``seeds``(host, weight) over ``links``(src, dst, n).
+
+    A step moves on what the one before it brought; the rank is the sum of all that came.
+    """
+    return f"""{name}_share AS (SELECT src, dst, {DAMPING} * n / SUM(n) OVER (PARTITION BY src) AS share FROM {links}),
+{name}_moved AS (
+  SELECT 0 AS step, host, {1 - DAMPING} * weight / (SELECT SUM(weight) FROM {seeds}) AS rank FROM {seeds}
+  UNION ALL SELECT step + 1, dst, SUM(rank * share) FROM {name}_moved JOIN {name}_share ON host = src WHERE step < {ROUNDS} GROUP BY step, dst),
+{name}_ranks AS (SELECT host, SUM(rank) AS rank FROM {name}_moved GROUP BY host)"""
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 URLS = rf"""
-WITH u AS (SELECT page_id, html, {_LOWER.format("COALESCE(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} AS host, COALESCE(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+WITH RECURSIVE u AS (SELECT page_id, html, {_LOWER.format("COALESCE(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} AS host, COALESCE(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 r AS (SELECT page_id, html, host, path, {_rule('rule')} AS rule, {_rule('verdict')} AS ruled FROM u),
 found AS (SELECT page_id, host AS src, UNNEST(list_distinct(list_transform(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']?((?:https?:)?//[^"''\s>]+)', 1), lambda x: {_LOWER.format("regexp_extract(x, '^(?:[a-zA-Z]+:)?//([^/?#]*)', 1)")}))) AS dst FROM r),
 edges AS (SELECT src, dst, COUNT(*) AS n FROM found WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2),
@@ -57,6 +57,6 @@ back AS (SELECT dst AS src, src AS dst, n FROM edges WHERE src NOT IN (SELECT ho
 {_ranks('d', 'bad', 'back')}
 SELECT page_id, r.host, path, rule,
   COALESCE(ruled, CASE WHEN d.rank > {LEAST_DISTRUST} AND d.rank > {DISTRUST_RATIO} * COALESCE(t.rank, 0) THEN 'block' ELSE 'allow' END) AS verdict
-FROM r LEFT JOIN t_{ROUNDS} t ON r.host = t.host LEFT JOIN d_{ROUNDS} d ON r.host = d.host"""
+FROM r LEFT JOIN t_ranks t ON r.host = t.host LEFT JOIN d_ranks d ON r.host = d.host"""
 
 SQL = {"op1_topk": TOPK, "op7_warc": WARC, "op9_urlfilter": URLS}
