@@ -6,7 +6,8 @@ divided by the source's target. All documents are range-sorted by finish time, a
 comes before the point where the budget is spent is taken.
 
 Queues are split into random buckets, so a source that holds a third of all rows is
-summed up by many tasks; only sums a bucket, a range partition and a source meet.
+summed up by many tasks; only sums a bucket, a range partition and a source meet. Where
+documents may be cut, the one in which a source reaches its target waits as two pieces.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, partitions, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
-WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
+WEIGHTS, SHARE, REPEATS, SEED = (5, 2, 1), 1.5, 2, 11
 
 
 def word_count(text: Column) -> Column:
@@ -50,30 +51,41 @@ def source_targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, share:
 def copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them; all columns stay.
 
-    mixed: what ``mix`` returned for ``docs``. Rows that share a doc_id are taken alike:
-    as often as the most taken of them.
+    mixed: what ``mix`` returned for ``docs``. Rows are told apart by doc_id and text, so
+    rows that share a doc_id or have none are taken each as the mix says; exact
+    repetitions alike, as often as the most taken of them.
     """
-    often = mixed.where("taken > 0").groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("__often"))
-    return docs.join(often, "doc_id").withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__often")))).select(docs.columns)
+    key, often, turn = (fresh(docs, c) for c in ("draw", "often", "turn"))
+    taken = mixed.where("taken > 0").groupBy(F.col("draw").alias(key)).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias(often)).where(F.col(often) > 0)
+    drawn = docs.withColumn(key, _draw(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    return drawn.join(taken, key).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(often)))).select(docs.columns)
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = 11) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every row of ``docs`` (doc_id, text, source).
+def _draw(doc_id: Column, text: Column, seed: int = SEED) -> Column:
+    return F.xxhash64(doc_id, text, F.lit(seed))
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = SEED, cut: bool = False) -> DataFrame:
+    """doc_id, draw, size, source_size, target and taken of every row of ``docs`` (doc_id, text, source).
 
     size is the number of words (null: 0), taken the words that the mix takes of the
     row, 0 to ``repeats`` times its size. Sources are ordered by code point, null being
-    a source of its own and the last. The order in a queue is a hash of doc_id and text,
-    so reruns agree; identical rows at the cut are left out together. Rows without words
-    are never taken. Other columns are ignored, an empty table gives an empty result.
+    a source of its own and the last. draw, a hash of doc_id and text, is the order in a
+    queue, so reruns agree; identical rows at the cut are left out together. Rows without
+    words are never taken. Other columns are ignored, an empty table gives an empty result.
+
+    Documents are taken whole, or with ``cut`` the first words of the one in which a
+    source reaches its target: it waits as two pieces, the first of which has the finish
+    time 1. Then each source has its target but for a word.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = partitions(spark)
     text = F.col("text").cast("string")
     slim = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("t")).alias("skey"),
         word_count(text).alias("size"),
-        F.xxhash64(F.col("doc_id").cast("long"), text, F.lit(seed)).alias("draw"),
+        _draw(F.col("doc_id").cast("long"), text, seed).alias("draw"),
     ).withColumn("bucket", F.pmod("draw", F.lit(buckets)).cast("int"))
     slim = stored(slim, "mix-sizes")
     sums = slim.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -84,10 +96,18 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     queued = slim.withColumn("running", F.sum("size").over(queue)).join(offsets, ["skey", "bucket"]).withColumn("position", F.col("offset") + F.col("running"))
     queued = stored(queued.select("doc_id", "size", "draw", "source_size", "target", "position"), "mix-queue")
 
-    def finish(turn: int | Column) -> Column:
-        return F.when(F.col("target") > 0, (F.col("source_size") * turn + F.col("position")) / F.col("target")).otherwise(F.lit(float("inf")))
-
-    turns = queued.where("size > 0").select("size", "doc_id", "draw", F.explode(F.array(*[finish(t) for t in range(repeats)])).alias("finish"))
+    def pieces(turn: int) -> list[tuple[Column, Column]]:
+        """Finish time and words of the pieces of a row's turn; no words where there is no such piece."""
+        end = F.col("source_size") * turn + F.col("position")
+        finish = lambda at: F.when(F.col("target") > 0, at / F.col("target")).otherwise(F.lit(float("inf")))
+        if not cut:
+            return [(finish(end), F.col("size"))]
+        first = F.least(F.col("size"), F.greatest(F.lit(0), F.floor("target").cast("long") - (end - F.col("size"))))
+        inside = (first > 0) & (first < F.col("size"))
+        return [(F.when(inside, F.lit(1.0)).otherwise(finish(end)), F.when(inside, first).otherwise(F.col("size"))), (finish(end), F.when(inside, F.col("size") - first).otherwise(F.lit(0)))]
+
+    turns = queued.where("size > 0").select("doc_id", "draw", F.explode(F.array(*[F.struct(f.alias("finish"), w.cast("long").alias("size")) for t in range(repeats) for f, w in pieces(t)])).alias("piece"))
+    turns = turns.select(F.col("piece.size").alias("size"), "doc_id", "draw", F.col("piece.finish").alias("finish")).where("size > 0")
     key = ["finish", "draw", "doc_id", "size"]
     ranged = stored(turns.repartitionByRange(*key).withColumn("pid", F.spark_partition_id()), "mix-order")
     budget = queued.agg(F.sum("size")).first()[0] or 0
@@ -99,7 +119,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
         taken = F.col("size") * repeats
     else:
         running = F.sum("size").over(Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        cut = ranged.where(F.col("pid") == at["pid"]).withColumn("upto", running + F.lit(at["upto"] - at["part"])).where(F.col("upto") > budget).orderBy(*key).first()
-        stop = F.struct(F.lit(cut["finish"]).alias("finish"), F.lit(cut["draw"]).cast("long").alias("draw"), F.lit(cut["doc_id"]).cast("long").alias("doc_id"), F.lit(cut["size"]).cast("long").alias("size"))
-        taken = sum((F.when(F.struct(finish(t).alias("finish"), "draw", "doc_id", "size") < stop, F.col("size")).otherwise(F.lit(0)) for t in range(repeats)), F.lit(0))
-    return queued.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+        last = ranged.where(F.col("pid") == at["pid"]).withColumn("upto", running + F.lit(at["upto"] - at["part"])).where(F.col("upto") > budget).orderBy(*key).first()
+        stop = F.struct(F.lit(last["finish"]).alias("finish"), F.lit(last["draw"]).cast("long").alias("draw"), F.lit(last["doc_id"]).cast("long").alias("doc_id"), F.lit(last["size"]).cast("long").alias("size"))
+        taken = sum((F.when(F.struct(f.alias("finish"), "draw", "doc_id", w.cast("long").alias("size")) < stop, w).otherwise(F.lit(0)) for t in range(repeats) for f, w in pieces(t)), F.lit(0))
+    return queued.select("doc_id", "draw", "size", "source_size", "target", taken.cast("long").alias("taken"))

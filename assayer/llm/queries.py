@@ -39,7 +39,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents"), cut=True).drop("draw")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
