@@ -21,7 +21,7 @@ few come close, and holds every pair that meets against its whole shingle sets.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored
+from .common import fresh, join_hot, partitions, shared_dir, stored
 
 SEED = 42
 #: Variants that a cell may hold on average, and that are sorted at once at most.
@@ -66,14 +66,15 @@ def text_fingerprint(text: str | None, shingle_words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = 4) -> DataFrame:
-    """doc_id and fp (SimHash as long) of every row of ``docs``; repeated rows stay."""
+    """doc_id, row_key and fp (SimHash as long) of every row of ``docs``; repeated rows stay."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [text_fingerprint(t.as_py(), shingle_words) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), pa.array(fps, pa.int64())], ["doc_id", "row_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(hashed, "doc_id long, fp long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(hashed, "doc_id long, row_key long, fp long")
 
 
 def _masks(bits: list[int], most: int) -> np.ndarray:
@@ -135,10 +136,11 @@ def _to_least(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 def _to_few(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """At most two pairs an owner: with the most popular and the rarest of those that it meets.
 
-    An owner that meets others besides is in a pair with itself too. The most popular one meets the most others: in a crowd of near copies that is their
-    original, which is nearer to each of them than they are to each other. The rarest
-    one is a neighbour at the variant that the fewest share: outside of crowds, or at
-    their edge, that is the copy itself. So a crowd costs no more than its size.
+    An owner that meets others besides is in a pair with itself too. The most popular one
+    meets the most others: in a crowd of near copies that is their original, which is
+    nearer to each of them than they are to each other. The rarest one is a neighbour at
+    the variant that the fewest share: outside of crowds, or at their edge, that is the
+    copy itself. So a crowd costs no more than its size. What is left goes to ``_to_all``.
     """
     slots, owners, base = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
     for slot, own in parts:
@@ -175,19 +177,21 @@ def _to_few(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return names[np.concatenate([pairs, np.stack([more, more], 1)])]
 
 
-def _to_all(parts: Iterator[tuple[np.ndarray, np.ndarray]], names: np.ndarray, fp: np.ndarray, root: np.ndarray, size: np.ndarray, similarity: float, max_bits: int) -> np.ndarray:
-    """Every pair of owners that meet, of different roots, and of sizes as similar.
+def _to_all(parts: Iterator[tuple[np.ndarray, np.ndarray]], names: np.ndarray, fp: np.ndarray, root: np.ndarray, size: np.ndarray, sketches: Sketches, similarity: float, max_bits: int) -> np.ndarray:
+    """Every pair of owners that meet, of different roots, that may be as similar.
 
-    The owners are places in the other arrays. Sets whose sizes are less similar can't
-    be as similar themselves. Owners that meet in a crowd are held against each other by
+    The owners are places in the other arrays. Pairs whose set sizes or sketches rule the
+    similarity out are left out here. Owners that meet in a crowd are held against each other by
     their bits, so that a pair is made once and not at each of its variants; those of the
     crowd's largest group against the others only.
     """
     found, crowded = [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)]
 
     def fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        keep = (root[a] != root[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]))
-        return np.sort(np.stack([a[keep], b[keep]], 1), axis=1)
+        keep = np.flatnonzero((root[a] != root[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b])))
+        a, b = a[keep], b[keep]
+        near = sketches.may_reach(a, b, size, similarity)
+        return np.sort(np.stack([a[near], b[near]], 1), axis=1)
 
     for slot, own in parts:
         own = own.astype(np.int64)
@@ -202,9 +206,10 @@ def _to_all(parts: Iterator[tuple[np.ndarray, np.ndarray]], names: np.ndarray, f
             same = np.flatnonzero(slot[apart:] == slot[:-apart])
             if not len(same):
                 break
-            some.append(fit(own[same], own[same + apart]))
+            some.append(np.sort(np.stack([own[same], own[same + apart]], 1), axis=1))
         if some:
-            found.append(np.unique(np.concatenate(some), axis=0))
+            pairs = np.unique(np.concatenate(some), axis=0)
+            found.append(fit(pairs[:, 0], pairs[:, 1]))
     crowd = np.unique(np.concatenate(crowded))
     groups, counts = np.unique(root[crowd], return_counts=True)
     smaller = crowd[root[crowd] != groups[counts.argmax()]] if len(crowd) else crowd
@@ -251,23 +256,27 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node and root (the smallest node that it reaches) of every node of ``links``.
 
     links: a long, b long. Alternates large-star and small-star steps until the edges
-    are all between nodes and their root. A node's neighbours are aggregated, never
-    gathered, so a node of any degree is no problem. Each round is written to the
-    shared folder.
+    are all between nodes and their root. Each step joins the edges with one row a node;
+    the edges of a node of a high degree are dealt to many tasks. Each step is written to
+    the shared folder.
     """
     shared_dir(links.sparkSession)
     edges = stored(links.where("a <> b").distinct(), "links")
+    n = edges.count()
     before = None
     for _ in range(max_rounds):
         # Large star: every neighbour above u is linked to the least of u and its neighbours.
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("v").alias("degree"))
+        large = join_hot(both, least, "u", F.col("degree"), 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = stored(large, "links")
         # Small star: every smaller neighbour of u, and u, are linked to the least of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m")).where("a <> b").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("v").alias("degree"))
+        joined = join_hot(large, least, "u", F.col("degree"), large.count())
+        small = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m")).where("a <> b").distinct()
         edges = stored(small, "links")
         now = edges.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        n = now[0]
         if now == before:
             break
         before = now
@@ -276,22 +285,42 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
+def row_key() -> Column:
+    """Hash of a row's doc_id and text, which tells rows apart that share a doc_id or have none."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def _named(rows: DataFrame, key: str, roots: DataFrame) -> DataFrame:
+    """Columns of ``rows`` plus component_id and leads.
+
+    rows: a stored table with doc_id, row_key and ``key``; roots: node (a key) and root,
+    of the keys that are linked. component_id is the smallest doc_id of all rows whose
+    keys have one root; leads is true for the row of the smallest (doc_id, row_key), null
+    doc_ids being last.
+    """
+    place = F.struct(F.isnull("doc_id").alias("no_id"), F.col("doc_id").alias("id"), F.col("row_key").alias("at"))
+    keys = rows.groupBy(key).agg(F.min(place).alias("own"), F.count(F.lit(1)).alias("copies"))
+    keys = stored(keys.join(roots, F.col(key) == F.col("node"), "left").select(key, "own", "copies", F.coalesce("root", key).alias("root")), "group-keys")
+    n_keys, n_rows = keys.agg(F.count(F.lit(1)), F.sum("copies")).first()
+    groups = keys.groupBy("root").agg(F.min("own").alias("first"), F.count(F.lit(1)).alias("keys"))
+    labels = stored(join_hot(keys.select(key, "root", "copies"), groups, "root", F.col("keys"), n_keys).select(key, "copies", "first"), "group-labels")
+    joined = join_hot(rows, labels, key, F.col("copies"), n_rows or 0)
+    return joined.select(*rows.columns, F.col("first.id").alias("component_id"), (F.col("row_key") == F.col("first.at")).alias("leads"))
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 4, max_bits: int = 4) -> DataFrame:
-    """doc_id, fp (long) and component_id of every row of ``docs`` (doc_id, text).
+    """doc_id, row_key, fp (long), component_id and leads of every row of ``docs`` (doc_id, text).
 
     component_id is the smallest doc_id reachable over links between fingerprints that
     differ in at most ``max_bits`` bits. Null and wordless texts share the fingerprint
     0 and are linked like any other. Rows with a null doc_id keep it and never name a
-    component unless no other row is in it. Repeated rows are all returned. Other
-    columns of ``docs`` are ignored.
+    component unless no other row is in it. Rows that share a doc_id are rows of their
+    own. leads is true for one row of a component, and for its exact repetitions. Other
+    columns of ``docs`` are ignored; an empty table gives an empty result.
     """
     hashed = stored(fingerprints(docs, shingle_words), "simhash")
-    distinct = hashed.groupBy("fp").agg(F.min("doc_id").alias("least_doc"))
-    links = ball_links(distinct.select("fp"), max_bits)
-    roots = components(links)
-    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).select("fp", "root", "least_doc")
-    least = named.groupBy("root").agg(F.min("least_doc").alias("component_id"))
-    return hashed.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    links = ball_links(hashed.select("fp").distinct(), max_bits)
+    return _named(hashed, "fp", components(links))
 
 
 #: Similarity of near copies, words of their shingles, and fingerprints a text has for it.
@@ -299,9 +328,59 @@ SIMILARITY, SIMILAR_WORDS, TABLES = 0.8, 5, 10
 #: Share of the pairs just at the similarity that meet, whatever the number of texts.
 RECALL = 0.98
 #: Variants of a table that a cell may hold on average.
-TABLE_CELL_VARIANTS = 1 << 23
+TABLE_CELL_VARIANTS = 1 << 27
 #: Owners of a variant from which they are held against each other at once, and how many are.
 CROWD, CROWD_ROWS = 16, 2048
+#: Least and most bits of a sketch.
+SKETCH_BITS = (256, 1 << 16)
+#: Pairs whose sketches are compared at once.
+SKETCH_PAIRS = 1 << 15
+
+
+def odd_sketch(shingles: np.ndarray) -> bytes:
+    """Parities of how many shingles fall to each of two bits a shingle, or a little more.
+
+    The sketches of two sets differ in no more bits than the sets have elements that only
+    one of them has, and a sketch folds to half its bits by adding its halves.
+    """
+    bits = min(SKETCH_BITS[1], max(SKETCH_BITS[0], 1 << (2 * len(shingles) - 1).bit_length())) if len(shingles) else SKETCH_BITS[0]
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+class Sketches:
+    """The sketches of many sets, compared by numbers of pairs at once."""
+
+    def __init__(self, column: pa.ChunkedArray) -> None:
+        raw = column.to_pylist()
+        self.width = np.fromiter(map(len, raw), np.int64, len(raw))
+        self.at = np.zeros(len(raw), np.int64)
+        self.rows: dict[tuple[int, int], np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == w)
+            self.at[own] = np.arange(len(own))
+            self.rows[w, w] = np.frombuffer(b"".join(raw[i] for i in own.tolist()), np.uint64).reshape(len(own), -1)
+
+    def _folded(self, width: int, to: int) -> np.ndarray:
+        if (width, to) not in self.rows:
+            longer = self._folded(width, to * 2)
+            self.rows[width, to] = longer[:, : longer.shape[1] // 2] ^ longer[:, longer.shape[1] // 2 :]
+        return self.rows[width, to]
+
+    def may_reach(self, a: np.ndarray, b: np.ndarray, size: np.ndarray, similarity: float) -> np.ndarray:
+        """Places of the pairs (a, b) whose sketches don't rule out that they are as similar."""
+        most = (size[a] + size[b]) * (1 - similarity) / (1 + similarity) + 1e-6
+        kind = self.width[a] << 20 | self.width[b]
+        kept = [np.empty(0, np.int64)]
+        for k in np.unique(kind).tolist():
+            wa, wb = k >> 20, k & (1 << 20) - 1
+            x, y = (self._folded(w, min(wa, wb)) for w in (wa, wb))
+            some = np.flatnonzero(kind == k)
+            for at in range(0, len(some), SKETCH_PAIRS):
+                part = some[at : at + SKETCH_PAIRS]
+                apart = np.bitwise_count(x[self.at[a[part]]] ^ y[self.at[b[part]]]).sum(1, dtype=np.int64)
+                kept.append(part[apart <= most[part]])
+        return np.sort(np.concatenate(kept))
 
 
 def shingle_set(text: str | None, shingle_words: int) -> np.ndarray:
@@ -352,10 +431,12 @@ def short_fingerprints(shingles: np.ndarray, tables: int, width: int) -> list[in
 def _cells(classes: DataFrame, n: int, width: int, radius: int) -> tuple[DataFrame, list[int]]:
     """The rows of ``classes`` once for each cell of a table that they fall into, and the free bits.
 
-    classes: cls, fps and whatever else the cells need.
+    classes: cls, fps and whatever else the cells need. There are as many cells as keep
+    each in bounds, or as the shuffle has partitions if there is work for them.
     """
     per = sum(math.comb(width, k) for k in range(radius + 1))
-    chosen = min(width // 2, max(0, math.ceil(math.log2(max(1, n * per / TABLE_CELL_VARIANTS)))))
+    wanted = min(partitions(classes.sparkSession), n * per * TABLES / SORT_VARIANTS) / TABLES
+    chosen = min(width // 2, max(0, math.ceil(math.log2(max(1, n * per / TABLE_CELL_VARIANTS, wanted)))))
     flips = _masks(list(range(chosen)), radius).astype(np.int64).tolist()
     rest = [c for c in classes.columns if c != "fps"]
     one = classes.select(*rest, F.posexplode("fps").alias("t", "fp")).withColumn("flip", F.explode(F.lit(flips)))
@@ -382,7 +463,7 @@ def _meetings(classes: DataFrame, n: int, width: int, radius: int) -> DataFrame:
     meets there at most; it is in several cells of each table. Classes with further
     meetings, which ``_other_meetings`` finds, come as a pair with themselves as well.
     """
-    cells, free = _cells(classes, n, width, radius)
+    cells, free = _cells(classes.select("cls", "fps"), n, width, radius)
 
     def in_cell(cell: pa.Table) -> pa.Table:
         own, moved, flip = _numbers(cell, "cls", "moved", "flip")
@@ -392,10 +473,10 @@ def _meetings(classes: DataFrame, n: int, width: int, radius: int) -> DataFrame:
 
 
 def _other_meetings(classes: DataFrame, n: int, width: int, radius: int, similarity: float) -> DataFrame:
-    """All pairs a < b of classes of different roots that meet and whose sizes are as similar.
+    """All pairs a < b of classes of different roots that meet and may be as similar.
 
-    classes: cls, fps, size (of the shingle set) and root. Pairs inside a group never
-    leave their cell.
+    classes: cls, fps, size (of the shingle set), sketch and root. Pairs inside a group and
+    pairs that their sizes or sketches rule out never leave their cell.
     """
     cells, free = _cells(classes, n, width, radius)
 
@@ -405,33 +486,71 @@ def _other_meetings(classes: DataFrame, n: int, width: int, radius: int, similar
             return _pair_table(np.empty((0, 2), np.int64))
         size = cell.column("size").to_numpy().astype(np.int64)
         parts = _shared(np.arange(len(names), dtype=np.uint64), moved, _ones(flip), free, radius)
-        return _pair_table(_to_all(parts, names, moved ^ flip, root, size, similarity, 2 * radius).view(np.int64))
+        return _pair_table(_to_all(parts, names, moved ^ flip, root, size, Sketches(cell.column("sketch")), similarity, 2 * radius).view(np.int64))
 
     return cells.groupBy("t", "cell").applyInArrow(in_cell, "a long, b long").distinct()
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs a, b whose whole shingle sets are as similar."""
-    one = lambda c: sets.select(F.col("cls").alias(c), F.col("shingles").alias(f"of_{c}"))
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    return pairs.join(one("a"), "a").join(one("b"), "b").where(both >= similarity * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
+def _by_pair(pairs: DataFrame, n: int, one: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``pairs`` with the columns of ``one`` (cls and others) for a and for b, named _a and _b."""
+    for c in ("a", "b"):
+        often = pairs.groupBy(c).agg(F.count(F.lit(1)).alias("copies"))
+        side = often.join(one.select(F.col("cls").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns]), c)
+        pairs = join_hot(pairs, side, c, F.col("copies"), n).drop("copies")
+    return pairs
 
 
-def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle_words: int = SIMILAR_WORDS, tables: int = TABLES, radius: int = 2) -> DataFrame:
-    """doc_id and component_id of every row of ``docs`` (doc_id, text).
+def _may_be_similar(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b whose sizes and sketches don't rule out that they are as similar."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = np.concatenate([b.column(f"size_{c}").to_numpy().astype(np.int64) for c in ("a", "b")])
+            here = np.arange(b.num_rows)
+            keep = Sketches(pa.chunked_array([b.column("sketch_a"), b.column("sketch_b")])).may_reach(here, here + b.num_rows, size, similarity)
+            yield b.select(["a", "b"]).take(pa.array(keep))
+
+    sizes = (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b")) & (F.col("a") != F.col("b"))
+    return _by_pair(pairs, pairs.count(), classes, ["size", "sketch"]).where(sizes).select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(near, "a long, b long")
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, classes: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """The pairs a, b (a stored table) whose whole shingle sets are as similar.
+
+    A class's set comes from the text of one row, and only those of classes in a pair are made.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_set(text.as_py(), shingle_words) for text in b.column("text")]
+            names = [class_of(x) for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["cls", "shingles"])
+
+    named = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    wanted = named.join(classes, "cls").select("row_key").distinct()
+    whole = stored(texts.join(wanted, "row_key").select("text").mapInArrow(sets, "cls long, shingles array<long>").dropDuplicates(["cls"]), "similar-sets")
+    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    return _by_pair(pairs, pairs.count(), whole, ["shingles"]).where(both >= similarity * (F.size("shingles_a") + F.size("shingles_b") - both)).select("a", "b")
+
+
+def similar_rows(docs: DataFrame, similarity: float = SIMILARITY, shingle_words: int = SIMILAR_WORDS, tables: int = TABLES, radius: int = 2) -> DataFrame:
+    """doc_id, row_key, component_id and leads of every row of ``docs`` (doc_id, text).
 
     Texts with equal shingle sets are a class. Classes whose fingerprints of one table
     are within 2 * radius bits meet and are linked if the Jaccard similarity of their whole
     shingle sets reaches ``similarity``; component_id is the smallest doc_id reachable
     over links. Each is first held against the most popular and the rarest that it meets
-    in every cell, then against all that it meets in other groups than its own, but those
-    whose size alone rules the similarity out, so that no meeting that could join two
-    groups is left. Every link is exact. The fingerprints get a bit longer each time the rows
-    double, so the pairs that meet by chance grow as the rows; there are ``tables`` of
-    them, and as many more as the longer ones need for RECALL of the pairs just at
-    ``similarity`` to meet.
-    Null and wordless texts are one class; repeated rows stay; classes of rows with null
-    doc_ids alone are linked to no other; other columns are ignored.
+    in every cell, then against all that it meets in other groups than its own, so that
+    no meeting that could join two groups is left. What their sizes or sketches rule out
+    isn't compared further; every link is exact. The fingerprints get a bit longer each
+    time the rows double, so the pairs that meet by chance grow as the rows; there are
+    ``tables`` of them, and as many more as the longer ones need for RECALL of the pairs
+    just at ``similarity`` to meet.
+
+    Null and wordless texts are one class. Repeated rows and rows that share a doc_id or
+    have none are rows of their own; null doc_ids name no component that has others.
+    leads is true for one row of a component, and for its exact repetitions. Other
+    columns are ignored; an empty table gives an empty result.
     """
     n = docs.count()
     width = min(60, max(32, math.ceil(math.log2(max(2, n))) + 22))
@@ -439,50 +558,50 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle_word
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cls, fps, size = [], [], []
+            cls, fps, size, sketch = [], [], [], []
             for text in b.column("text"):
                 shingles = shingle_set(text.as_py(), shingle_words)
                 cls.append(class_of(shingles))
                 fps.append(short_fingerprints(shingles, tables, width) if len(shingles) else None)
                 size.append(len(shingles))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cls, pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(size, pa.int64())], ["doc_id", "cls", "fps", "size"])
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [shingle_set(text.as_py(), shingle_words) for text in b.column("text")]
-            names = [class_of(x) for x in found]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["cls", "shingles"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stored(texts.mapInArrow(classed, "doc_id long, cls long, fps array<long>, size long"), "similar-rows")
-    classes = stored(rows.groupBy("cls").agg(F.min("doc_id").alias("least_doc"), F.first("fps").alias("fps"), F.first("size").alias("size")), "similar-classes")
-    met = stored(_meetings(classes.where("fps is not null"), n, width, radius), "similar-met")
-    # Whole shingle sets, of the classes that met anyone only, from the text of one row each.
-    named = met.select(F.col("a").alias("cls")).union(met.select("b")).distinct()
-    wanted = named.join(classes, "cls").where("least_doc is not null").select(F.col("least_doc").alias("doc_id")).distinct()
-    whole = texts.join(wanted, "doc_id").select("text").mapInArrow(sets, "cls long, shingles array<long>").dropDuplicates(["cls"])
-    whole = stored(whole, "similar-sets")
-    links = stored(_similar(met.where("a <> b"), whole, similarity), "similar-links")
+                sketch.append(odd_sketch(shingles))
+            made = [pa.array(cls, pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(size, pa.int64()), pa.array(sketch, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), *made], ["doc_id", "row_key", "cls", "fps", "size", "sketch"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.col("text").cast("string").alias("text"))
+    rows = stored(texts.mapInArrow(classed, "doc_id long, row_key long, cls long, fps array<long>, size long, sketch binary"), "similar-rows")
+    classes = stored(rows.where("fps is not null").groupBy("cls").agg(*[F.first(c).alias(c) for c in ("row_key", "fps", "size", "sketch")]), "similar-classes")
+    met = stored(_meetings(classes, n, width, radius), "similar-met")
+    near = stored(_may_be_similar(met.where("a <> b"), classes, similarity), "similar-near")
+    links = stored(_similar(near, texts, classes, shingle_words, similarity), "similar-links")
     # What those few partners leave: the meetings between different groups.
     roots = components(links)
-    more = met.where("a = b").select(F.col("a").alias("cls")).distinct().join(classes, "cls").join(roots, F.col("cls") == F.col("node"), "left")
-    others = _other_meetings(more.select("cls", "fps", "size", F.coalesce("root", "cls").alias("root")), n, width, radius, similarity)
-    others = stored(others.join(met, ["a", "b"], "left_anti"), "similar-others")
-    roots = components(links.union(_similar(others, whole, similarity)))
-    grouped = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least_doc", F.coalesce("root", "cls").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("least_doc").alias("component_id"))
-    return rows.select("doc_id", "cls").join(grouped.join(least, "root").select("cls", "component_id"), "cls").select("doc_id", "component_id")
+    more = met.where("a = b").select(F.col("a").alias("cls")).join(classes, "cls").join(roots, F.col("cls") == F.col("node"), "left")
+    more = stored(more.select("cls", "fps", "size", "sketch", F.coalesce("root", "cls").alias("root")), "similar-more")
+    others = _other_meetings(more, more.count(), width, radius, similarity)
+    others = stored(others.join(near, ["a", "b"], "left_anti"), "similar-others")
+    roots = components(links.union(_similar(others, texts, classes, shingle_words, similarity)))
+    return _named(rows.select("doc_id", "row_key", "cls"), "cls", roots).drop("cls")
+
+
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle_words: int = SIMILAR_WORDS, tables: int = TABLES, radius: int = 2) -> DataFrame:
+    """doc_id and component_id of every row of ``docs``, as ``similar_rows`` finds them."""
+    return similar_rows(docs, similarity, shingle_words, tables, radius).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names its component in ``groups``; all columns stay.
+    """One row of ``docs`` of each component in ``groups``; all columns stay.
 
-    groups: doc_id and component_id of every row of ``docs``. Of repeated rows of one
-    doc_id, one arbitrary but fixed row stays.
+    groups: row_key and leads of every row of ``docs``, from ``near_duplicates`` or
+    ``similar_rows``. Of exact repetitions of a row's doc_id and text one stays. Rows are
+    told apart by both, so none goes for sharing a doc_id, or having none.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("__key")).distinct()
-    return docs.withColumn("__key", key).join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(docs.columns)
+    key = fresh(docs, "row_key")
+    kept = stored(groups.where("leads").groupBy(F.col("row_key").alias(key)).agg(F.count(F.lit(1)).alias("times")), "kept-keys")
+    keyed = docs.withColumn(key, row_key())
+    once = keyed.join(kept.where("times = 1").select(key), key, "left_semi")
+    again = keyed.join(kept.where("times > 1").select(key), key, "left_semi").dropDuplicates([key])
+    return once.union(again).select(docs.columns)
 
 
 def fingerprint_hex(fp: Column) -> Column:
