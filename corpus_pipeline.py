@@ -1,57 +1,9 @@
-"""The training corpus: language ID, near-duplicates, mixing and tokens, each a stage.
+"""The training corpus pipeline: its stages, SQL and run are in assayer.llm.pipeline.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
-Parquet and read again as the next stage's docs. All but the last return the columns of
-documents.
+STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a
+DataFrame, which is written as Parquet and read again as the next one's docs.
 """
 
-from __future__ import annotations
+from assayer.llm.pipeline import ORACLE_SQL, STAGES, run
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from assayer.llm import bpe, langid, mixing, simhash
-from assayer.llm.common import stored, table
-
-
-def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with confidence; their lang is left as it is."""
-    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
-    return langid.identify(docs, model).where("language.accepted").select(docs.columns)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, similarity 0.8 or more):
-    the one with the smallest doc_id."""
-    return simhash.keep_one(docs, simhash.similar_groups(docs))
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return mixing.copies(docs, mixing.mix(docs))
-
-
-def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the digest of the decoded bytes of every row."""
-    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, with_bytes=True)
-    return encoded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
-
-
-STAGES = [
-    ("language ID", identify_languages),
-    ("SimHash near-dedup", drop_near_duplicates),
-    ("mixing sources to target weights", mix_sources),
-    ("byte-level BPE encoding and decoding", encode_tokens),
-]
-
-#: No stage but mixing can be said in SQL; tests hold run() against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), "stage")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
