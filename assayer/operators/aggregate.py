@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import relationship_key
+from ..storage import join_hot
+from .ordering import numbered
 
 
 def inventory(rows: DataFrame, kind: str, conditions: dict[str, Column]) -> DataFrame:
@@ -58,7 +60,7 @@ def unique_value(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def samples(rows: DataFrame, key: str, value: str, most: int = 5) -> DataFrame:
-    """n and the first ``most`` distinct values in order of every key, the largest key first.
+    """n and the first ``most`` distinct values in order of every key.
 
     Values are made distinct by a shuffle and ranked, so no task gathers a key's values.
     """
@@ -68,16 +70,24 @@ def samples(rows: DataFrame, key: str, value: str, most: int = 5) -> DataFrame:
     return counts.join(firsts, key, "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
 
 
+def ranked(groups: DataFrame, count: str, key: Column, name: str = "position") -> DataFrame:
+    """``groups`` with their position: the largest count first, then by key."""
+    return numbered(groups.withColumn("__key", key), [F.desc(count), "__key"], name).drop("__key")
+
+
 def co_located(effects: DataFrame, causes: DataFrame, location: Sequence[str], node: str) -> DataFrame:
     """effect, cause and locations: pairs of different nodes at the same location.
 
     Locations compare null-safe: a place without a line number is a place too. A
-    location's pairs are counted there, so its size, not the table's, bounds them.
+    location's pairs are counted there, so its size, not the table's, bounds them; the
+    effects of a location that has very many are dealt to several tasks.
     """
-    left = effects.select(*location, F.col(node).alias("effect")).distinct().alias("e")
-    right = causes.select(*location, F.col(node).alias("cause")).distinct().alias("c")
-    same = [F.col(f"e.{c}").eqNullSafe(F.col(f"c.{c}")) for c in location]
-    pairs = left.join(right, [*same, F.col("effect") != F.col("cause")])
+    at = F.to_json(F.struct(*location), {"ignoreNullFields": "false"}).alias("at")
+    left = effects.select(at, F.col(node).alias("effect")).distinct()
+    right = causes.select(at, F.col(node).alias("cause")).distinct()
+    sizes = left.groupBy("at").agg(F.count(F.lit(1)).alias("copies"))
+    total = sizes.agg(F.sum("copies")).first()[0] or 0
+    pairs = join_hot(left, right.join(sizes, "at"), "at", F.col("copies"), total).where("effect <> cause")
     return pairs.groupBy("effect", "cause").agg(F.count(F.lit(1)).alias("locations"))
 
 

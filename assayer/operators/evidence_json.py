@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import product
 
 import pyarrow as pa
@@ -94,3 +94,60 @@ def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     above = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/")))
     hidden = found.select("doc", "pointer", F.explode(above).alias("up")).join(found.select("doc", F.col("pointer").alias("up")), ["doc", "up"], "left_semi").select("doc", "pointer")
     return found.join(hidden, ["doc", "pointer"], "left_anti").select("doc", "operation", "pointer")
+
+
+def _differences(before: object, after: object) -> Iterator[tuple[str, str]]:
+    """operation and pointer of the topmost differences of two JSON values."""
+    pending = [("", before, after)]
+    while pending:
+        pointer, a, b = pending.pop()
+        both = (dict, list)
+        if isinstance(a, both) and type(a) is type(b):
+            named = (lambda x: x) if isinstance(a, dict) else (lambda x: dict(enumerate(x)))
+            a, b = named(a), named(b)
+            for k in dict.fromkeys([*a, *b]):
+                below = f"{pointer}/{str(k).replace('~', '~0').replace('/', '~1')}"
+                if k not in a or k not in b:
+                    yield "remove" if k in a else "add", below
+                else:
+                    pending.append((below, a[k], b[k]))
+        elif isinstance(a, both) or isinstance(b, both) or json.dumps(a) != json.dumps(b):
+            yield "replace", pointer
+
+
+def compare_documents(before: DataFrame, after: DataFrame, doc: str, text: str) -> DataFrame:
+    """What ``compare`` says of the documents of two tables (unique ``doc``, JSON ``text``).
+
+    The two texts of a document meet in one join and are compared where they meet; equal
+    texts aren't parsed. A document that one table lacks, or whose text is null there, is
+    added or removed as a whole.
+    """
+    a = before.where(F.col(text).isNotNull()).select(F.col(doc).cast("string").alias("doc"), F.col(text).alias("a"))
+    b = after.where(F.col(text).isNotNull()).select(F.col(doc).cast("string").alias("doc"), F.col(text).alias("b"))
+    both = a.join(b, "doc", "full").where(~F.col("a").eqNullSafe(F.col("b")))
+    alone = F.when(F.col("a").isNull(), "add").when(F.col("b").isNull(), "remove")
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(c, pa.string()) for c in ("doc", "operation", "pointer")])
+        for batch in batches:
+            rows = [(d, o, p) for d, x, y in zip(*(batch.column(c).to_pylist() for c in ("doc", "a", "b"))) for o, p in _differences(json.loads(x), json.loads(y))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], schema=schema)
+
+    whole = both.select("doc", alone.alias("operation"), F.lit("").alias("pointer")).where("operation is not null")
+    return both.where("a is not null and b is not null").mapInArrow(found, "doc string, operation string, pointer string").union(whole)
+
+
+def export_model(objects: DataFrame, references: DataFrame, model: str, identity: str, fields: Sequence[str]) -> DataFrame:
+    """``model`` and document: one JSON document a model, with each object once and references to it.
+
+    objects: model, identity, $type (record_type), position (unique in a model) and fields;
+    references: model, source and target identities, name. An object is written at
+    #/objects/<position>; a reference is {"$ref": pointer of its target}, and null where the
+    target isn't in the model. Keys are sorted; objects are in the order of their position.
+    """
+    place = objects.select(model, F.col(identity).alias("target"), F.concat(F.lit("#/objects/"), F.col("position").cast("string")).alias("$ref"))
+    resolved = references.join(place, [model, "target"], "left").select(model, F.col("source").alias(identity), "name", F.when(F.col("$ref").isNotNull(), F.struct("$ref")).alias("ref"))
+    held = resolved.groupBy(model, identity).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "ref")))).alias("references"))
+    record = F.to_json(F.struct(F.col("record_type").alias("$type"), *sorted([*fields, "references"])), {"ignoreNullFields": "false"})
+    whole = objects.join(held, [model, identity], "left").groupBy(model).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", record.alias("record")))), lambda x: x["record"]).alias("objects"))
+    return whole.select(model, F.concat(F.lit('{"objects":['), F.array_join("objects", ","), F.lit("]}")).alias("document"))

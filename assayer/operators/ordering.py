@@ -7,17 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 Order = Sequence[str | Column]
 
 
 def numbered(rows: DataFrame, order: Order, name: str = "n") -> DataFrame:
     """``rows`` with their position (from 1) in the given total order.
 
-    Rows are range-partitioned and numbered within each partition; the positions at
-    which partitions start come from their row counts. No task sees all rows. The order
+    Rows are range-partitioned, written to the shared folder with their partition and
+    numbered within each; the positions at which partitions start come from their row
+    counts. No task sees all rows, and a lost executor can't draw other ranges. The order
     should have no ties, else reruns may number equal rows differently.
     """
-    ranged = rows.repartitionByRange(*order).withColumn("__pid", F.spark_partition_id()).persist()
+    ranged = stored(rows.repartitionByRange(*order).withColumn("__pid", F.spark_partition_id()), "numbered")
     before = F.coalesce(F.sum("__rows").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__rows")).select("__pid", before.alias("__before"))
     own = F.row_number().over(Window.partitionBy("__pid").orderBy(*order))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored
 from .ordering import numbered
 
 
@@ -86,15 +87,21 @@ def key_verdict(mode: Column, exact: dict[str, tuple[Column, Column]], compatibl
     return F.when(mode.isNull(), "NOT_CONFIGURED").when(mode == "Disabled", "DISABLED").when(mode == "Exact", by_exact).otherwise(by_compatible)
 
 
-def theta_match(left: DataFrame, right: DataFrame, on: Sequence[str], condition: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs with equal ``on`` that satisfy ``condition``, and the rows of either side without a pair.
+def any_basis_match(left: DataFrame, right: DataFrame, left_key: str, right_key: str, bases: Sequence[Sequence[tuple[Column, Column]]]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of keys that one basis or more ties together, and the keys of either side without a pair.
 
-    left and right are aliased l and r in the condition. The equality decides which rows
-    meet, so it has to be selective enough.
+    A basis is a list of (left, right) columns that have to be equal, nulls to nothing.
+    Each is one join on equal keys, so no row meets another that it isn't tied to.
     """
-    both = left.alias("l").join(right.alias("r"), list(on)).where(condition)
-    equal = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on]
-    return both, left.alias("l").join(right.alias("r"), [*equal, condition], "left_anti"), right.alias("r").join(left.alias("l"), [*equal, condition], "left_anti")
+    found = None
+    for basis in bases:
+        names = [f"__{i}" for i in range(len(basis))]
+        sides = [t.select(F.col(k), *[pair[i].alias(n) for n, pair in zip(names, basis)]) for i, (t, k) in enumerate(((left, left_key), (right, right_key)))]
+        one = sides[0].join(sides[1], names).select(left_key, right_key)
+        found = one if found is None else found.union(one)
+    pairs = stored(found.distinct(), "basis-pairs")
+    alone = lambda t, k: t.select(k).join(pairs.select(k), k, "left_anti")
+    return pairs, alone(left, left_key), alone(right, right_key)
 
 
 def multi_basis(nodes: DataFrame, node: str, bases: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:

@@ -8,10 +8,12 @@ Inputs are boolean columns without nulls.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 class Scans:
@@ -101,20 +103,67 @@ def rtc_pulse(rows: DataFrame, key: str, order: Sequence[str], enable: str, cloc
 
     The timer starts at a rising enable and again after each pulse; it pulses once the
     clock is an interval past the start. A null clock is a failure and clears it; a clock
-    that goes back gives no pulse. The start depends on the pulses before, so the scans of
-    a device are folded in order.
+    that goes back gives no pulse. The start depends on the pulses before, so a device's
+    scans are sorted in one partition and passed once; only the start is carried along.
     """
-    scan = F.struct(*[F.col(c) for c in order], F.col(enable).alias("__on"), F.col(clock_ms).cast("long").alias("__now"))
-    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(scan)).alias("scans"))
-    empty = F.struct(F.lit(None).cast("long").alias("start"), F.array().cast("array<boolean>").alias("pulses"))
-
-    def step(state: Column, s: Column) -> Column:
-        live = s["__on"] & s["__now"].isNotNull()
-        pulse = live & state["start"].isNotNull() & (s["__now"] - state["start"] >= interval_ms)
-        pulse = F.coalesce(pulse, F.lit(False))
-        start = F.when(~live, F.lit(None).cast("long")).when(pulse | state["start"].isNull(), s["__now"]).otherwise(state["start"])
-        return F.struct(start.alias("start"), F.concat(state["pulses"], F.array(pulse)).alias("pulses"))
-
-    folded = grouped.select(key, "scans", F.aggregate("scans", empty, step)["pulses"].alias("pulses"))
-    zipped = folded.select(key, F.explode(F.arrays_zip("scans", "pulses")).alias("z"))
-    return zipped.select(key, *[F.col(f"z.scans.{c}").alias(c) for c in order], F.col("z.pulses").alias("pulse"))
+    kept = [key, *order]
+
+    def pulses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        device, start, first = None, None, True
+        for b in batches:
+            out = []
+            for name, on, now in zip(*(b.column(c).to_pylist() for c in (key, "__on", "__now"))):
+                if first or name != device:
+                    device, start, first = name, None, False
+                live = on and now is not None
+                pulse = live and start is not None and now - start >= interval_ms
+                start = None if not live else now if pulse or start is None else start
+                out.append(bool(pulse))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(out, pa.bool_())], [*kept, "pulse"])
+
+    slim = rows.select(*kept, F.col(enable).alias("__on"), F.col(clock_ms).cast("long").alias("__now"))
+    types = StructType([*(slim.schema[c] for c in kept), StructField("pulse", BooleanType())])
+    return slim.repartition(key).sortWithinPartitions(*kept).mapInArrow(pulses, types)
+
+
+def up_down_counter(rows: DataFrame, key: str, order: Sequence[str], up: str, down: str, reset: str, preset: int) -> DataFrame:
+    """``rows`` plus cv, done, overflow and underflow of a counter of 32 bits.
+
+    A rising up adds one and a rising down takes one; beyond the least or the greatest
+    value the count goes on at the other end, and overflow or underflow is set until a
+    reset. On the first scan no input rises; a reset clears the count and the flags and wins over
+    both inputs, but the inputs are remembered. done: cv has reached the preset. The count
+    is a running sum since the last reset, so it is a window and no fold.
+    """
+    scans = Scans(key, *order)
+    first = F.row_number().over(scans.window) == 1
+    rises = lambda c: F.col(c) & ~F.col(reset) & ~first & ~F.coalesce(scans.previous(F.col(c)), F.lit(False))
+    rows = rows.withColumn("__step", (rises(up).cast("long") - rises(down).cast("long"))).withColumn("__island", scans.island(F.col(reset)))
+    inside = Window.partitionBy(scans.key, "__island").orderBy(*scans.order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("__sum", F.sum("__step").over(inside))
+    half, whole = F.lit(1 << 31), F.lit(1 << 32)
+    cv = F.pmod(F.col("__sum") + half, whole) - half
+    flag = lambda beyond: F.max(beyond).over(inside)
+    rows = rows.withColumn("cv", cv.cast("int")).withColumn("overflow", flag(F.col("__sum") >= half)).withColumn("underflow", flag(F.col("__sum") < -half))
+    return rows.withColumn("done", F.col("cv") >= preset).drop("__step", "__island", "__sum")
+
+
+def unread_one_shot(rows: DataFrame, scans: Scans, command: str, readable: str, name: str = "write") -> DataFrame:
+    """``rows`` plus ``name``: one write a rising command, made on the first scan that can be read.
+
+    A scan whose read fails doesn't use the edge up: the command is compared with that of
+    the last scan that was read. A write that fails later is not made again.
+    """
+    seen = F.last(F.when(F.col(readable), F.col(command)), ignorenulls=True).over(scans.window.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn(name, F.col(readable) & F.col(command) & ~F.coalesce(seen, F.lit(False)))
+
+
+def drive_source(rows: DataFrame, scans: Scans, local: str, program: str, operator_run: str, program_run: str, name: str = "run") -> DataFrame:
+    """``rows`` plus source (LOCAL, PROGRAM or OPERATOR) and ``name``.
+
+    In local the drive runs by its own panel and gets no command; in program the command
+    is as long as its level is true; else it is the operator's sealed-in one.
+    """
+    source = F.when(F.col(local), "LOCAL").when(F.col(program), "PROGRAM").otherwise("OPERATOR")
+    rows = rows.withColumn("source", source)
+    return rows.withColumn(name, F.when(F.col("source") == "LOCAL", False).when(F.col("source") == "PROGRAM", F.col(program_run)).otherwise(F.col(operator_run)))

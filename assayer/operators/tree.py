@@ -1,7 +1,8 @@
 """Trees given by parent references: containment checks, roots, levels.
 
 Ancestors are found by doubling: after n rounds a row knows its ancestor 2^n steps up, so
-the rounds are the logarithm of the depth, and each is one join by key.
+the rounds are the logarithm of the depth. Each joins only the rows that haven't reached
+their root, and is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -9,28 +10,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import join_hot, stored
 
-def ancestors(nodes: DataFrame, key: str, parent: str, max_depth: int = 64) -> DataFrame:
+
+def ancestors(nodes: DataFrame, key: str, parent: str) -> DataFrame:
     """key, root, depth and in_cycle of every row; keys are unique.
 
-    root is the last node that is reached: one whose parent is null, is 0 steps away or
-    isn't there. A node that belongs to a cycle or leads into one has in_cycle and no
-    root: it still has an ancestor after ``max_depth`` steps or more.
+    root is the last node that is reached: one whose parent is null or isn't there. A node
+    that belongs to a cycle or leads into one has in_cycle and no root: it still has an
+    ancestor after as many steps as there are nodes. A tree may be of any depth.
     """
     known = nodes.select(F.col(key).alias("node"), F.col(parent).alias("up"))
-    there = known.select(F.col("node").alias("up_node"))
-    step = known.join(there, F.col("up") == F.col("up_node"), "left").select("node", F.col("up_node").alias("up"))
-    state = step.select("node", "up", F.coalesce("up", "node").alias("top"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    reach = 1
-    while reach < max_depth:
-        above = state.select(F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("depth").alias("depth2"))
-        state = state.join(above, F.col("up") == F.col("n2"), "left").select("node", F.col("up2").alias("up"), F.coalesce("top2", "top").alias("top"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"))
+    children = known.where("up is not null").groupBy("up").agg(F.count(F.lit(1)).alias("copies"))
+    there = known.select(F.col("node").alias("up"), F.col("node").alias("there")).join(children, "up", "left")
+    total = known.count()
+    step = join_hot(known, there, "up", F.col("copies"), total, "left").select("node", F.col("there").alias("up"))
+    state = stored(step.select("node", "up", F.coalesce("up", "node").alias("top"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth")), "ancestors")
+    reach, ended = 1, []
+    moving = state.where("up is not null")
+    ended.append(state.where("up is null"))
+    while reach < total and (left := moving.count()):
+        # Every node that one still moving points to is in some round's table.
+        above = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("depth").alias("depth2"))
+        often = moving.groupBy("up").agg(F.count(F.lit(1)).alias("copies"))
+        moved = join_hot(moving, above.join(often, "up"), "up", F.col("copies"), left)
+        # depth2 is how far the ancestor has come itself, up to as many steps as this round looks.
+        moved = stored(moved.select("node", F.col("up2").alias("up"), F.col("top2").alias("top"), (F.col("depth") + F.col("depth2")).alias("depth")), "ancestors")
+        ended.append(moved.where("up is null"))
+        moving = moved.where("up is not null")
+        done = ended[0]
+        for t in ended[1:]:
+            done = done.union(t)
+        state = done.union(moving)
         reach *= 2
-    cycle = F.col("up").isNotNull()
-    return state.select(F.col("node").alias(key), F.when(~cycle, F.col("top")).alias("root"), F.when(~cycle, F.col("depth")).alias("depth"), cycle.alias("in_cycle"))
+    out = state.select(F.col("node").alias(key), F.when(F.col("up").isNull(), F.col("top")).alias("root"), F.when(F.col("up").isNull(), F.col("depth")).alias("depth"), F.col("up").isNotNull().alias("in_cycle"))
+    return out
 
 
-def containment_issues(nodes: DataFrame, key: str, parent: str, no_parent: object = 0, max_depth: int = 64) -> DataFrame:
+def containment_issues(nodes: DataFrame, key: str, parent: str, no_parent: object = 0) -> DataFrame:
     """key, code and parent of every containment fault.
 
     self_parent: a row contains itself; missing_parent: its parent isn't there;
@@ -41,13 +58,13 @@ def containment_issues(nodes: DataFrame, key: str, parent: str, no_parent: objec
     up = held.select(F.col(key).alias("__up"))
     alone = held.where(F.col(key) == F.col(parent)).select(key, F.lit("self_parent").alias("code"), parent)
     missing = held.where(F.col(parent).isNotNull()).join(up, F.col(parent) == F.col("__up"), "left_anti").select(key, F.lit("missing_parent").alias("code"), parent)
-    cyclic = ancestors(held, key, parent, max_depth).where("in_cycle").select(F.col(key).alias("__key"))
+    cyclic = ancestors(held, key, parent).where("in_cycle").select(F.col(key).alias("__key"))
     cycle = held.join(cyclic, F.col(key) == F.col("__key"), "left_semi").select(key, F.lit("containment_cycle").alias("code"), parent)
     return alone.union(missing).union(cycle)
 
 
-def valid_edges(nodes: DataFrame, key: str, parent: str, no_parent: object = 0, max_depth: int = 64) -> DataFrame:
+def valid_edges(nodes: DataFrame, key: str, parent: str, no_parent: object = 0) -> DataFrame:
     """(parent, key) of the rows without a fault."""
-    faulty = containment_issues(nodes, key, parent, no_parent, max_depth).select(F.col(key).alias("__key"))
+    faulty = containment_issues(nodes, key, parent, no_parent).select(F.col(key).alias("__key"))
     held = nodes.where(F.col(parent) != F.lit(no_parent))
     return held.join(faulty, F.col(key) == F.col("__key"), "left_anti").select(parent, key)

@@ -124,7 +124,7 @@ SQL = {
         SELECT p_partkey, concat_ws(',', CASE WHEN list_has_any(t, ['1', 'part', 'promo']) THEN 'first' END, CASE WHEN list_has_any(t, ['large', 'jumbo', 'big']) THEN 'large' END,
           CASE WHEN list_has_any(t, ['steel', 'brushed']) THEN 'steel' END) AS kinds FROM (SELECT p_partkey, {_NAME_TOKENS} AS t FROM part)""",
     "identifier_extraction": f"""
-        SELECT identifier, COUNT(*) AS n, COUNT(DISTINCT doc_id) AS docs FROM (SELECT doc_id, UNNEST({_IDENTIFIERS}) AS identifier FROM documents) GROUP BY 1 HAVING COUNT(*) >= 50""",
+        SELECT identifier, COUNT(*) AS n, COUNT(DISTINCT doc_id) AS docs FROM (SELECT doc_id, UNNEST({_IDENTIFIERS}) AS identifier FROM documents) GROUP BY 1""",
     "unit_suffix": r"""
         SELECT p_partkey, NULLIF(regexp_extract(p_name || CASE WHEN p_size % 2 = 0 THEN ' (' || p_brand || ')  ' ELSE ' (x) tail' END, '\(([^()]+)\)\s*$', 1), '') AS unit FROM part""",
     "pointer_select": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
@@ -216,5 +216,5 @@ SQL = {
         x AS (SELECT user_id, CAST(SUM(starts) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM g)
         SELECT user_id, session, COUNT(*) AS n FROM x GROUP BY 1, 2""",
     "rollup_counts": "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
-    "natural_order": "SELECT p_partkey, ROW_NUMBER() OVER (ORDER BY p_partkey) AS position FROM part WHERE p_partkey < 2000",
+    "natural_order": "SELECT p_partkey, ROW_NUMBER() OVER (ORDER BY p_partkey) AS position FROM part",
 }

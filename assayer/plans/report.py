@@ -6,13 +6,14 @@ workspace in every key, so a corpus is one job.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ladder
 from ..functions.hashing import relationship_key
 from ..functions.text import has_token, member_of, root_of
 from ..operators.aggregate import percent
+from ..operators.ordering import numbered
 from ..sources import projects
 
 LOCATION = ["workspace", "program", "routine", "rung_number", "line_number"]
@@ -81,27 +82,50 @@ def cause_effects(alarms: DataFrame, references: DataFrame) -> DataFrame:
 CHANNEL = r"^[^:]+:(\d+):(I|O)\.(?:Data\.(\d+)|Ch(\d+)Data)$"
 
 
+def channel_states(modules: DataFrame, assigned: DataFrame, keys: list[str], channels: str, tags: str) -> DataFrame:
+    """Every channel (0 on) of every module with its tags and status, ``assigned`` or ``spare``.
+
+    modules: keys and ``channels`` (their number) besides others; assigned: keys, channel, ``tags``.
+    """
+    every = modules.where(F.col(channels) > 0).withColumn("channel", F.explode(F.sequence(F.lit(0), (F.col(channels) - 1).cast("int"))))
+    joined = every.join(assigned, [*keys, "channel"], "left")
+    return joined.withColumn("status", F.when(F.col(tags).isNull(), "spare").otherwise("assigned"))
+
+
+def channel_counts(channels: DataFrame, keys: list[str]) -> DataFrame:
+    """Numbers of channels, and of assigned and spare ones, of every module that has any."""
+    return channels.groupBy(*keys).agg(F.count(F.lit(1)).alias("channels"), F.count_if(F.col("status") == "assigned").alias("assigned"), F.count_if(F.col("status") == "spare").alias("spare"))
+
+
 def io_list(elements: DataFrame) -> DataFrame:
     """A row for every channel of every I/O module with the tags that alias it.
 
     status is ``assigned`` or ``spare``. The slot alone tells modules apart, as aliases
     don't name a chassis.
     """
-    modules = projects.modules(elements)
-    channels = modules.withColumns(projects.module_capability(F.col("catalog"), F.col("vendor_id"))).where("channels > 0").withColumn("channel", F.explode(F.sequence(F.lit(0), F.col("channels") - 1)))
+    modules = projects.modules(elements).withColumns(projects.module_capability(F.col("catalog"), F.col("vendor_id")))
     group = lambda n: F.nullif(F.regexp_extract("alias_for", CHANNEL, n), F.lit(""))
     aliases = projects.tags(elements).where("alias_for is not null").select("workspace", group(1).cast("int").alias("slot"), F.when(group(2) == "I", "input").when(group(2) == "O", "output").alias("direction"), F.coalesce(group(3), group(4)).cast("int").alias("channel"), "name").where("slot is not null")
     assigned = aliases.groupBy("workspace", "slot", "direction", "channel").agg(F.array_sort(F.collect_set(F.col("name"))).alias("tags"))
-    joined = channels.join(assigned, ["workspace", "slot", "direction", "channel"], "left")
-    return joined.select("workspace", F.col("name").alias("module"), "slot", "catalog", "direction", "signal", "channel", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.when(F.col("tags").isNull(), "spare").otherwise("assigned").alias("status"))
+    joined = channel_states(modules, assigned, ["workspace", "slot", "direction"], "channels", "tags")
+    return joined.select("workspace", F.col("name").alias("module"), "slot", "catalog", "direction", "signal", "channel", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "status")
 
 
 def module_schedule(elements: DataFrame, channels: DataFrame) -> DataFrame:
     """assigned and spare channels of every module, modules without channels included."""
-    counts = channels.groupBy("workspace", F.col("module").alias("name")).agg(F.count_if(F.col("status") == "assigned").alias("assigned"), F.count_if(F.col("status") == "spare").alias("spare"))
+    counts = channel_counts(channels, ["workspace", "module"]).withColumnRenamed("module", "name").drop("channels")
     return projects.modules(elements).join(counts, ["workspace", "name"], "left").na.fill(0, ["assigned", "spare"])
 
 
+def value_assessment(value: Column, options: Column, least: Column, most: Column) -> Column:
+    """What a parameter's value is: no value, labelled option, below range, above range or in range.
+
+    options: array of the labelled values; numbers compare as decimals.
+    """
+    labelled = F.exists(options, lambda o: o == value)
+    return F.when(value.isNull(), "no value").when(labelled, "labelled option").when(value < least, "below range").when(value > most, "above range").otherwise("in range")
+
+
 def rung_coverage(elements: DataFrame) -> DataFrame:
     """occurrences, executable and percent of every instruction of the ladder rungs."""
     found = projects.rungs(elements).withColumn("call", F.explode(ladder.calls(F.col("text")))).select("workspace", F.col("call.callee").alias("mnemonic"))
@@ -178,6 +202,6 @@ def markdown(table: DataFrame, title: str, order: list[str]) -> DataFrame:
     """Lines of a Markdown table in a total order, ready for ``write.text``."""
     head = table.sparkSession.createDataFrame([(0, f"# {title}"), (1, ""), (2, "| " + " | ".join(table.columns) + " |"), (3, "|" + " --- |" * len(table.columns))], "n long, value string")
     cells = [F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("")) for c in flat(table).columns]
-    body = flat(table).withColumn("n", F.row_number().over(Window.orderBy(*order)) + 3).select(F.col("n").cast("long"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
+    body = numbered(flat(table), order, "__row").select((F.col("__row") + 3).alias("n"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
     return head.union(body).orderBy("n").select("value")
 
