@@ -133,48 +133,56 @@ def _to_least(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return np.unique(np.concatenate(found), axis=0)
 
 
-def _to_few(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """At most two pairs an owner: with the most popular and the rarest of those that it meets.
-
-    An owner that meets others besides is in a pair with itself too. The most popular one
-    meets the most others: in a crowd of near copies that is their original, which is
-    nearer to each of them than they are to each other. The rarest one is a neighbour at
-    the variant that the fewest share: outside of crowds, or at their edge, that is the
-    copy itself. So a crowd costs no more than its size. What is left goes to ``_to_all``.
+#: What a cell says of an owner: the most popular and the rarest that it meets, and the least and greatest.
+PARTNERS = "own long, popular long, popularity double, rare long, crowd long, least long, greatest long"
+
+
+def _to_few(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    """PARTNERS of every owner that shares a slot.
+
+    The most popular one meets the most others: in a crowd of near copies that is their
+    original, which is nearer to each of them than they are to each other. The rarest one
+    is a neighbour at the variant that the fewest share: outside of crowds, or at their
+    edge, that is the copy itself.
     """
     slots, owners, base = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
     for slot, own in parts:
         slots.append(slot + base)
         owners.append(own)
         base = int(slots[-1][-1]) + 1
-    if not base:
-        return np.empty((0, 2), np.uint64)
     slot = np.concatenate(slots)
     names, who = np.unique(np.concatenate(owners), return_inverse=True)
-    crowd = np.bincount(slot)
-    popular = np.bincount(who, weights=crowd[slot] - 1.0)
-    order = np.lexsort((who, -popular[who], slot))
-    slot, who = slot[order], who[order]
-    starts = _starts(slot)
-    new, place = np.flatnonzero(starts), np.cumsum(starts) - 1
-    first, second = who[new][place], who[new + 1][place]
-    leader = np.where(first == who, second, first)
-    at = np.arange(len(who)) - new[place]
-    beside = who[np.where(at > 0, np.arange(len(who)) - 1, np.arange(len(who)) + 1)]
-    pairs = []
-    for partner, by in ((leader, (leader, -popular[leader])), (beside, (beside, crowd[slot]))):
-        order = np.lexsort((*by, who))
-        best = order[_starts(who[order])]
-        pairs.append(np.stack([who[best], partner[best]], 1))
-    pairs = np.concatenate(pairs)
-    pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
-    # Of two owners at every variant, and always the same two, no meeting is left.
-    partner = np.where(crowd[slot] == 2, leader, -1)
-    order = np.lexsort((partner, who))
-    starts = _starts(who[order])
-    least, most = partner[order][starts], partner[order][np.append(starts[1:], True)]
-    more = np.flatnonzero((least < 0) | (least != most))
-    return names[np.concatenate([pairs, np.stack([more, more], 1)])]
+    crowd = np.bincount(slot) if base else np.empty(0, np.int64)
+    popular = np.bincount(who, weights=crowd[slot] - 1.0, minlength=len(names))
+
+    def of_slots(order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Slots and owners in an order by slot, and each one's place in its slot and that slot's first place."""
+        at, own = slot[order], who[order]
+        new = np.flatnonzero(_starts(at)) if len(at) else np.empty(0, np.int64)
+        first = new[np.cumsum(_starts(at)) - 1] if len(at) else new
+        return at, own, np.arange(len(at)) - first, first
+
+    def best(own: np.ndarray, partner: np.ndarray, *by: np.ndarray) -> np.ndarray:
+        """Each owner's partner that is first by the keys."""
+        order = np.lexsort((partner, *by, own))
+        return partner[order][_starts(own[order])] if len(own) else partner
+
+    at, own, place, first = of_slots(np.lexsort((who, -popular[who], slot)))
+    leader = own[np.where(place == 0, first + 1, first)] if len(own) else own
+    beside = own[np.where(place > 0, np.arange(len(own)) - 1, np.arange(len(own)) + 1)] if len(own) else own
+    chosen, rare = best(own, leader, -popular[leader]), best(own, beside, crowd[at])
+    rarity = np.full(len(names), np.iinfo(np.int64).max)
+    np.minimum.at(rarity, own, crowd[at])
+    at, own, place, first = of_slots(np.lexsort((who, slot)))
+    last = first + crowd[at] - 1
+    least = np.full(len(names), len(names))
+    greatest = np.full(len(names), -1)
+    np.minimum.at(least, own, own[np.where(place == 0, first + 1, first)] if len(own) else own)
+    np.maximum.at(greatest, own, own[np.where(np.arange(len(own)) == last, last - 1, last)] if len(own) else own)
+    signed = names.view(np.int64)
+    columns = [signed, signed[chosen], popular[chosen], signed[rare], rarity, signed[least], signed[greatest]]
+    kinds = [pa.float64() if "double" in c else pa.int64() for c in PARTNERS.split(", ")]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in PARTNERS.split(", ")])
 
 
 def _to_all(parts: Iterator[tuple[np.ndarray, np.ndarray]], names: np.ndarray, fp: np.ndarray, root: np.ndarray, size: np.ndarray, sketches: Sketches, similarity: float, max_bits: int) -> np.ndarray:
@@ -328,7 +336,7 @@ SIMILARITY, SIMILAR_WORDS, TABLES = 0.8, 5, 10
 #: Share of the pairs just at the similarity that meet, whatever the number of texts.
 RECALL = 0.98
 #: Variants of a table that a cell may hold on average.
-TABLE_CELL_VARIANTS = 1 << 27
+TABLE_CELL_VARIANTS = 1 << 29
 #: Owners of a variant from which they are held against each other at once, and how many are.
 CROWD, CROWD_ROWS = 16, 2048
 #: Least and most bits of a sketch.
@@ -436,7 +444,7 @@ def _cells(classes: DataFrame, n: int, width: int, radius: int) -> tuple[DataFra
     """
     per = sum(math.comb(width, k) for k in range(radius + 1))
     wanted = min(partitions(classes.sparkSession), n * per * TABLES / SORT_VARIANTS) / TABLES
-    chosen = min(width // 2, max(0, math.ceil(math.log2(max(1, n * per / TABLE_CELL_VARIANTS, wanted)))))
+    chosen = min(width // 2, max(math.ceil(math.log2(max(1, n * per / TABLE_CELL_VARIANTS))), math.floor(math.log2(max(1, wanted)))))
     flips = _masks(list(range(chosen)), radius).astype(np.int64).tolist()
     rest = [c for c in classes.columns if c != "fps"]
     one = classes.select(*rest, F.posexplode("fps").alias("t", "fp")).withColumn("flip", F.explode(F.lit(flips)))
@@ -459,17 +467,22 @@ def _pair_table(pairs: np.ndarray) -> pa.Table:
 def _meetings(classes: DataFrame, n: int, width: int, radius: int) -> DataFrame:
     """Pairs a, b of classes that share a variant of one of their fingerprints.
 
-    classes: cls and fps. In every cell a class is paired with two of those that it
-    meets there at most; it is in several cells of each table. Classes with further
-    meetings, which ``_other_meetings`` finds, come as a pair with themselves as well.
+    classes: cls and fps. Each class that meets any is paired with two of those that it
+    meets: the most popular and the rarest of all its cells. One with more meetings,
+    which ``_other_meetings`` finds, comes as a pair with itself as well. So a crowd costs
+    no more pairs than twice its size.
     """
     cells, free = _cells(classes.select("cls", "fps"), n, width, radius)
 
     def in_cell(cell: pa.Table) -> pa.Table:
         own, moved, flip = _numbers(cell, "cls", "moved", "flip")
-        return _pair_table(_to_few(_shared(own, moved, _ones(flip), free, radius)).view(np.int64))
+        return _to_few(_shared(own, moved, _ones(flip), free, radius))
 
-    return cells.groupBy("t", "cell").applyInArrow(in_cell, "a long, b long").distinct()
+    met = cells.groupBy("t", "cell").applyInArrow(in_cell, PARTNERS)
+    few = met.groupBy("own").agg(F.max_by("popular", F.struct("popularity", "popular")).alias("popular"), F.min_by("rare", F.struct("crowd", "rare")).alias("rare"), (F.min(F.least("least", "greatest")) != F.max(F.greatest("least", "greatest"))).alias("more"))
+    partners = F.array_compact(F.array("popular", "rare", F.when(F.col("more"), F.col("own"))))
+    pairs = few.select("own", F.explode(F.array_distinct(partners)).alias("partner"))
+    return pairs.select(F.least("own", "partner").alias("a"), F.greatest("own", "partner").alias("b")).distinct()
 
 
 def _other_meetings(classes: DataFrame, n: int, width: int, radius: int, similarity: float) -> DataFrame:
@@ -539,8 +552,7 @@ def similar_rows(docs: DataFrame, similarity: float = SIMILARITY, shingle_words:
     Texts with equal shingle sets are a class. Classes whose fingerprints of one table
     are within 2 * radius bits meet and are linked if the Jaccard similarity of their whole
     shingle sets reaches ``similarity``; component_id is the smallest doc_id reachable
-    over links. Each is first held against the most popular and the rarest that it meets
-    in every cell, then against all that it meets in other groups than its own, so that
+    over links. Each is first held against the most popular and the rarest that it meets, then against all that it meets in other groups than its own, so that
     no meeting that could join two groups is left. What their sizes or sketches rule out
     isn't compared further; every link is exact. The fingerprints get a bit longer each
     time the rows double, so the pairs that meet by chance grow as the rows; there are
