@@ -1,8 +1,9 @@
 """Main text of HTML pages by line-block distribution.
 
 Markup is stripped so that every block of text is a line. A line's length counts without
-the text of its links, and not at all where markup says that it is a menu, a notice, a
-form and so on; such elements stand between empty lines. The lengths are summed over a
+the text of its links (but for a paragraph's or a headline's), and not at all where
+markup says that it is a menu, a notice, a form and so on; such elements stand between
+empty lines. The lengths are summed over a
 sliding window of lines. Where the sum surges from nothing, text begins; where it dives
 to nothing again, text ends; all lines between the two points are kept, and no others. A
 page has as many such stretches as it has breaks.
@@ -33,6 +34,8 @@ BREAKS = {"br", "hr"}
 #: Elements whose end tag may be left out, and the tags that then end them.
 CLOSED_BY = {"p": {"p", "div", "ul", "ol", "table", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "form", "footer", "header", "aside", "nav", "hr", "main"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 ARTICLE = {"article", "main"}
+#: Blocks whose links are text as any other.
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "figcaption", "pre"}
 
 #: Words that name what is no article text in a class, id or role.
 ASIDE_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertisements", "advertising", "adsense", "alert", "banner", "breadcrumb", "breadcrumbs", "comment", "commentlist", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "disclaimer", "discussion", "disqus", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pager", "pagination", "popup", "promo", "promoted", "promotion", "related", "replies", "reply", "respond", "responses", "search", "share", "sharing", "sidebar", "sidebars", "signup", "skip", "social", "sponsor", "sponsored", "subnav", "subscribe", "subscription", "toolbar", "topbar", "topnav", "widget", "widgets"}
@@ -47,7 +50,7 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$
 MARKS = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-#: Text, its characters outside links, whether it is in an article, and whether it is set aside.
+#: Text, its characters that count (outside links, or all in prose), whether it is in an article, and whether it is set aside.
 Line = tuple[str, int, bool, bool]
 
 
@@ -101,7 +104,8 @@ class _Page:
         if self.text:
             whole = " ".join(entities.unescape("".join(t for t, _ in self.text)).split())
             if whole:
-                plain = " ".join(entities.unescape("".join(t for t, linked in self.text if not linked)).split())
+                prose = bool(self.blocks) and self.stack[self.blocks[-1]] in PROSE
+                plain = whole if prose else " ".join(entities.unescape("".join(t for t, linked in self.text if not linked)).split())
                 self.lines.append((whole, len(plain), self.inside > 0, self.aside_at > 0))
             self.text.clear()
 
