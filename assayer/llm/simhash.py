@@ -263,31 +263,26 @@ def ball_links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node and root (the smallest node that it reaches) of every node of ``links``.
 
-    links: a long, b long. Alternates large-star and small-star steps until the edges
-    are all between nodes and their root. Each step joins the edges with one row a node;
-    the edges of a node of a high degree are dealt to many tasks. Each step is written to
-    the shared folder.
+    links: a long, b long. Alternates large-star and small-star steps until every node
+    has one link down at most, and none that has one has links up. Each step joins the
+    links with one row a node; those of a node of a high degree are dealt to many tasks.
+    Each step is written to the shared folder.
     """
     shared_dir(links.sparkSession)
-    edges = stored(links.where("a <> b").distinct(), "links")
-    n = edges.count()
-    before = None
+    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     for _ in range(max_rounds):
-        # Large star: every neighbour above u is linked to the least of u and its neighbours.
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("v").alias("degree"))
-        large = join_hot(both, least, "u", F.col("degree"), 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("up"), F.count_if(F.col("v") < F.col("u")).alias("down"))
+        if least.where("down > 1 or up > 0 and down > 0").isEmpty():
+            break
+        n = edges.count()
+        # Large star: every neighbour above u is linked to the least of u and its neighbours.
+        large = join_hot(edges.withColumnRenamed("b", "u"), least, "u", F.col("up"), n).select(F.col("a").alias("u"), F.col("m").alias("v")).distinct()
         large = stored(large, "links")
         # Small star: every smaller neighbour of u, and u, are linked to the least of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("v").alias("degree"))
-        joined = join_hot(large, least, "u", F.col("degree"), large.count())
-        small = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m")).where("a <> b").distinct()
-        edges = stored(small, "links")
-        now = edges.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        n = now[0]
-        if now == before:
-            break
-        before = now
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("v").alias("down"))
+        joined = join_hot(large, least, "u", F.col("down"), n)
+        edges = stored(joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m")).where("a <> b").distinct(), "links")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
