@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.bits import netmask_prefix
@@ -36,7 +36,7 @@ WALK_NAMES = {
     "lldpLocPortId": LOCAL_PORT, "lldpRemChassisId": f"{REMOTE}.5", "lldpRemPortId": f"{REMOTE}.7", "lldpRemSysName": f"{REMOTE}.9",
 }
 ENTITY_COLUMNS = {"2": "description", "3": "vendor_type_oid", "4": "contained_in", "5": "physical_class", "6": "parent_relative_position", "7": "name", "8": "hardware_revision", "9": "firmware_revision", "10": "software_revision", "11": "serial_number", "12": "manufacturer_name", "13": "model_name", "14": "alias", "15": "asset_id", "17": "manufacturing_date", "19": "uuid"}
-#: Families of object identifiers: prefix, name, and whether the tables below read it.
+# Families of object identifiers: prefix, name, and whether the tables below read it.
 FAMILIES: Sequence[tuple[str, str, bool]] = (
     ("1.0.8802.1.1.2", "ieee-lldp", True), ("1.3.6.1.2.1.1", "mib-2.system", True), ("1.3.6.1.2.1.2", "mib-2.interfaces", True), ("1.3.6.1.2.1.4", "mib-2.ip", True),
     ("1.3.6.1.2.1.5", "mib-2.icmp", False), ("1.3.6.1.2.1.6", "mib-2.tcp", False), ("1.3.6.1.2.1.7", "mib-2.udp", False), ("1.3.6.1.2.1.11", "mib-2.snmp", False),
@@ -46,11 +46,19 @@ FAMILIES: Sequence[tuple[str, str, bool]] = (
 
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """recording, line_no and line. A recording that isn't UTF-8 is read as Latin-1."""
-    whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    """recording, line_no and line. A line that isn't UTF-8 is read as Latin-1.
+
+    Recordings are read by lines, large ones by many tasks; a line's number is its place in
+    its block of the file plus the lines of the blocks before.
+    """
+    read = spark.read.option("recursiveFileLookup", True).text(path)
     text = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
-    lines = whole.select(F.col("_metadata.file_path").alias("recording"), F.posexplode(F.split(text, "\r\n|\n|\r")).alias("n", "line"))
-    return lines.select("recording", (F.col("n") + 1).alias("line_no"), "line").where("line <> ''")
+    rows = read.select(F.col("_metadata.file_path").alias("recording"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), text.alias("line"))
+    blocks = rows.groupBy("recording", "block").agg(F.count(F.lit(1)).alias("lines"))
+    before = F.coalesce(F.sum("lines").over(Window.partitionBy("recording").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("recording", "block").orderBy("at"))
+    numbered = rows.withColumn("own", own).join(blocks.select("recording", "block", before.alias("before")), ["recording", "block"])
+    return numbered.select("recording", (F.col("before") + F.col("own")).cast("int").alias("line_no"), "line").where("line <> ''")
 
 
 def _whole_number(text: Column) -> Column:
