@@ -6,10 +6,10 @@ import duckdb
 import pytest
 
 from assayer.operators import evidence_json, scan_cycle, tree
-from assayer.plans import controllers, extras, recordings
+from assayer.plans import controllers, extras, parameters, recordings
 
 SMALL = "/root/testdata/sf0.001"
-LISTS = (recordings, controllers, extras)
+LISTS = (recordings, controllers, extras, parameters)
 QUERIES = {name: (f, m.SQL) for m in LISTS for name, f in m.queries().items()}
 
 
