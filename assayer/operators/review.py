@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import canonical_json
+
 
 def invalid_reviews(candidates: DataFrame, reviews: DataFrame, key: str) -> DataFrame:
     """key and reason of reviews that can't be applied: ``unknown`` or ``duplicate`` keys."""
@@ -42,3 +44,20 @@ def review_coverage(reviewed: DataFrame, fields: Sequence[str], groups: Sequence
 def conflicting_parents(links: DataFrame, child: str, parent: str) -> DataFrame:
     """Children that are linked to more than one parent, with their number."""
     return links.groupBy(child).agg(F.countDistinct(parent).alias("parents")).where("parents > 1")
+
+
+def receipts(reviews: DataFrame, key: str, text: str, items: str) -> DataFrame:
+    """key and receipt of every valid review document: a canonical JSON text with the document's digest.
+
+    The same document gives the same receipt, whenever it is made.
+    """
+    fields = {"item_count": F.col(items), "review_sha256": F.sha2(text, 256), "status": F.lit("valid")}
+    return reviews.select(key, canonical_json(fields).alias("receipt"))
+
+
+def broken_receipts(given: DataFrame, reviews: DataFrame, key: str, text: str, items: str) -> DataFrame:
+    """key and fault of receipts that don't belong to the documents: ``missing``, ``unexpected`` or ``changed``."""
+    actual = receipts(reviews, key, text, items).withColumnRenamed("receipt", "__actual")
+    both = given.select(key, "receipt").join(actual, key, "full")
+    fault = F.when(F.col("receipt").isNull(), "missing").when(F.col("__actual").isNull(), "unexpected").when(F.col("receipt") != F.col("__actual"), "changed")
+    return both.select(key, fault.alias("fault")).where("fault is not null")

@@ -191,6 +191,14 @@ def instruction_portability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return software.portability(_whole(spark, sf_dir)).select("workspace", "name", "disposition", F.concat_ws(",", "blocking").alias("blocking"))
 
 
+def controller_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return software.functional_summary(_whole(spark, sf_dir))
+
+
+def corpus_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return software.corpus_lines(_elements(spark, sf_dir)).where("value like '| P%' or value like '| C%'").select("value")
+
+
 def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     block = F.floor(F.col("s_suppkey") / SUPPLIERS).cast("long").alias("model")
@@ -218,7 +226,7 @@ def model_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     l5x_tags, l5x_rungs, l5x_text_lines, l5x_modules, l5x_tasks, l5x_datatypes, l5x_corpus, external_references, tag_references, unresolved_references, alarm_candidates,
     cause_effects, io_list, controller_schedule, rung_coverage, produced_consumed, report_manifest, instruction_definitions, instruction_instances, call_resolution,
-    argument_binding, module_operands, software_modules, instruction_portability, model_export, model_validation, model_records,
+    argument_binding, module_operands, software_modules, instruction_portability, controller_summary, corpus_markdown, model_export, model_validation, model_records,
 )
 
 # The twins: s has the workspace w, the block k and the name n of every supplier.
@@ -291,6 +299,12 @@ SQL = {
         SELECT DISTINCT w AS workspace, 'M' || CAST(s_suppkey // 10 * 10 AS VARCHAR) || ':I.Data' AS operand, 'M' || CAST(s_suppkey // 10 * 10 AS VARCHAR) AS module, 'I.Data' AS path, 'input' AS direction FROM s WHERE s_suppkey % 9 = 0""",
     "software_modules": f"WITH {_BASE} SELECT w AS workspace, 'Aoi' || CAST(k AS VARCHAR) AS definition, 'program:Main:I' || n AS instance, 1 AS calls, 'M' || CAST(s_suppkey // 10 * 10 AS VARCHAR) AS modules FROM s WHERE s_suppkey % 9 = 0",
     "instruction_portability": f"WITH {_BASE} SELECT w AS workspace, 'Aoi' || CAST(k AS VARCHAR) AS name, 'portable' AS disposition, '' AS blocking FROM p UNION ALL SELECT w, 'Odd' || CAST(k AS VARCHAR), 'blocked', 'PID' FROM p",
+    "controller_summary": f"""WITH {_BASE}
+        SELECT w AS workspace, 1 AS programs, 2 AS routines, COUNT(*) + COUNT(*) FILTER (s_suppkey % 9 = 0) AS rungs, COUNT(*) + 1 + COUNT(*) FILTER (s_suppkey % 5 = 0) + COUNT(*) FILTER (s_suppkey % 4 = 0) + COUNT(*) FILTER (s_suppkey % 6 = 0) + COUNT(*) FILTER (s_suppkey % 7 = 0) + COUNT(*) FILTER (s_suppkey % 9 = 0) AS tags,
+          1 AS tasks, 2 AS definitions, 3 * COUNT(*) FILTER (s_suppkey % 2 = 0) + 2 * COUNT(*) FILTER (s_suppkey % 2 = 1) + COUNT(*) FILTER (s_suppkey % 9 = 0) AS calls,
+          3 * MAX(CAST(s_suppkey % 2 = 0 AS INTEGER)) + 2 * MAX(CAST(s_suppkey % 2 = 1 AS INTEGER)) + MAX(CAST(s_suppkey % 9 = 0 AS INTEGER)) AS callees FROM s GROUP BY 1""",
+    "corpus_markdown": f"""WITH {_BASE}
+        SELECT '| Controller | C' || CAST(k AS VARCHAR) || ' | ' || w || ' |' AS value FROM p UNION ALL SELECT '| Program | P | ' || w || 'p |' FROM p""",
     "model_export": f"""WITH {_BASE}
         SELECT k AS model, '/objects/' || CAST(s_suppkey % {SUPPLIERS} AS VARCHAR) || '/references/next/$ref' AS pointer, '#/objects/' || CAST((s_suppkey + 1) % {SUPPLIERS} AS VARCHAR) AS target
         FROM s WHERE s_suppkey % {SUPPLIERS} < {SUPPLIERS - 1} AND s_suppkey + 1 IN (SELECT s_suppkey FROM supplier)""",

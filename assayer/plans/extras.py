@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import bits, ladder
 from ..operators import aggregate, lifecycle, ordering, review, scan_cycle, topology, units
 from ..streaming import windows
+from . import software
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -147,9 +148,30 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest"))
 
 
+def review_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    return review.receipts(docs, "doc_id", "text", "n_chars")
+
+
+def broken_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    given = review.receipts(docs.where("doc_id % 7 <> 0"), "doc_id", "text", "n_chars").withColumn("receipt", F.when(F.col("doc_id") % 5 == 0, F.lit("{}")).otherwise(F.col("receipt")))
+    return review.broken_receipts(given, docs.where("doc_id % 11 <> 0"), "doc_id", "text", "n_chars")
+
+
+def behaviour_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_partkey")
+    one = lambda when, name, flow: F.when(when, F.struct(F.lit(name).alias("name"), F.lit(flow).alias("flow")))
+    made = [one(n % 2 == 0, "xExecute", "Input"), one(n % 5 == 0, "En_able", "Input"), one(n % 3 != 0, "Done", "Output"), one(F.lit(True), "xBusy", "Output"), one(n % 7 != 0, "Error", "Output"), one(F.lit(True), "udiErrorID", "Output"), one(n % 4 == 0, "Abort", "Input")]
+    given = _table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array_compact(F.array(*made))).alias("g")).select("p_partkey", "g.*")
+    found = software.behaviour(given, ["p_partkey"])
+    return found.select("p_partkey", "model", "match", F.concat_ws(",", "missing").alias("missing"), F.concat_ws(",", "extensions").alias("extensions"))
+
+
 QUERIES = (
     up_down_counter, unread_one_shot, drive_source, command_run, clamped_command, ledger_advance, ledger_faults, ledger_promotions, broken_histories, unit_inheritance,
     review_dispositions, invalid_reviews, conflicting_parents, merged_nodes, link_index, ranked_groups, ladder_calls, routine_calls, windowed_counts, session_windows,
+    review_receipts, broken_receipts, behaviour_signatures,
 )
 
 _SCANS = "s AS (SELECT user_id, event_id, ts, event_type = 'click' AS go, event_id % 11 = 0 AS halt, event_id % 3 <> 0 AS held, event_id % 5 <> 0 AS readable, event_id % 7 = 0 AS local FROM events)"
@@ -201,6 +223,17 @@ SQL = {
     "windowed_counts": """
         WITH d AS (SELECT user_id, UNNEST([CAST(ts AS DATE), CAST(ts AS DATE) - 1]) AS day FROM events)
         SELECT user_id, strftime(day, '%Y-%m-%d') AS day, COUNT(*) AS n FROM d GROUP BY user_id, day""",
+    "review_receipts": """
+        SELECT doc_id, '{"item_count":' || CAST(n_chars AS VARCHAR) || ',"review_sha256":"' || sha256(text) || '","status":"valid"}' AS receipt FROM documents""",
+    "broken_receipts": """
+        SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 11 = 0 THEN 'unexpected' ELSE 'changed' END AS fault FROM documents
+        WHERE CASE WHEN doc_id % 7 = 0 THEN doc_id % 11 <> 0 ELSE doc_id % 11 = 0 OR doc_id % 5 = 0 END""",
+    "behaviour_signatures": """
+        WITH p AS (SELECT p_partkey, p_partkey % 2 = 0 AS e, p_partkey % 5 = 0 AS l, p_partkey % 3 <> 0 AS d, p_partkey % 7 <> 0 AS r, p_partkey % 4 = 0 AS a FROM part),
+        m AS (SELECT *, CASE WHEN e AND l THEN 'AMBIGUOUS' WHEN e THEN 'EDGE_TRIGGERED' WHEN l THEN 'LEVEL_CONTROLLED' ELSE 'NONE' END AS model FROM p)
+        SELECT p_partkey, model, CASE WHEN model IN ('AMBIGUOUS', 'NONE') THEN model WHEN model = 'EDGE_TRIGGERED' AND d AND r THEN 'COMPLETE' ELSE 'PARTIAL' END AS match,
+          CASE model WHEN 'EDGE_TRIGGERED' THEN concat_ws(',', CASE WHEN NOT d THEN 'Done' END, CASE WHEN NOT r THEN 'Error' END) WHEN 'LEVEL_CONTROLLED' THEN concat_ws(',', 'Valid', CASE WHEN NOT r THEN 'Error' END) ELSE '' END AS missing,
+          CASE WHEN a AND model IN ('EDGE_TRIGGERED', 'LEVEL_CONTROLLED') THEN 'Abort' ELSE '' END AS extensions FROM m""",
     "session_windows": """
         WITH g AS (SELECT user_id, ts, CASE WHEN ts - LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 DAY THEN 0 ELSE 1 END AS starts FROM events),
         s AS (SELECT user_id, SUM(starts) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS session FROM g),

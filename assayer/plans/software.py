@@ -159,3 +159,50 @@ def portability(elements: DataFrame, native: tuple[str, ...] = ladder.EXECUTABLE
     out = definitions(elements).select("workspace", "name").join(counts, ["workspace", "name"], "left")
     disposition = F.when(F.col("blocking").isNull(), "empty").when(F.size("blocking") > 0, "blocked").otherwise("portable")
     return out.select("workspace", "name", disposition.alias("disposition"), F.coalesce("blocking", F.array().cast("array<string>")).alias("blocking"))
+
+
+# Parameters of the two interfaces, their control input first, and of extensions.
+INTERFACES = {"EDGE_TRIGGERED": ("Execute", "Done", "Busy", "Error", "ErrorID"), "LEVEL_CONTROLLED": ("Enable", "Valid", "Busy", "Error", "ErrorID")}
+EXTENSIONS = ("Abort", "Aborted", "TimeOut", "TimeLimit")
+TYPE_PREFIXES = ("", "x", "i", "udi")
+
+
+def behaviour(given: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, model, match, missing and extensions: the function block interface of an instruction.
+
+    given: keys, name and flow (input, output, ...) of every parameter. Names compare without
+    case, underscores and type prefixes. model is EDGE_TRIGGERED with an Execute parameter,
+    LEVEL_CONTROLLED with an Enable one, AMBIGUOUS with both, else NONE; match is COMPLETE
+    if no member is missing, the control is an input and the others are outputs.
+    """
+    plain = F.lower(F.replace("name", F.lit("_"), F.lit("")))
+    named = given.groupBy(*keys).agg(F.collect_set(F.struct(plain.alias("name"), F.lower("flow").alias("flow"))).alias("given"))
+    has = lambda n, *flow: F.exists("given", lambda g: g["name"].isin(*[p + n.lower() for p in TYPE_PREFIXES]) & (g["flow"].isin(*flow) if flow else F.lit(True)))
+    execute, enable = has("Execute"), has("Enable")
+    model = F.when(execute & enable, "AMBIGUOUS").when(execute, "EDGE_TRIGGERED").when(enable, "LEVEL_CONTROLLED").otherwise("NONE")
+    absent, sound = F.array().cast("array<string>"), F.lit(False)
+    for name, members in INTERFACES.items():
+        absent = F.when(model == name, F.array_compact(F.array(*[F.when(~has(m), F.lit(m)) for m in members]))).otherwise(absent)
+        fits = has(members[0], "input")
+        for m in members[1:]:
+            fits = fits & has(m, "output")
+        sound = F.when(model == name, fits).otherwise(sound)
+    match = F.when(model.isin("AMBIGUOUS", "NONE"), model).when(sound, "COMPLETE").otherwise("PARTIAL")
+    extra = F.when(model.isin(*INTERFACES), F.array_compact(F.array(*[F.when(has(e), F.lit(e)) for e in EXTENSIONS]))).otherwise(F.array().cast("array<string>"))
+    return named.select(*keys, model.alias("model"), match.alias("match"), absent.alias("missing"), extra.alias("extensions"))
+
+
+def functional_summary(elements: DataFrame) -> DataFrame:
+    """Counts of what a project holds: programs, routines, rungs, tags, tasks, definitions, calls and distinct callees."""
+    kinds = {"Program": "programs", "Routine": "routines", "Rung": "rungs", "Tag": "tags", "Task": "tasks", "AddOnInstructionDefinition": "definitions"}
+    counts = elements.groupBy("workspace").agg(*[F.count_if((F.col("element") == e) & (F.col("instruction").isNull() | F.lit(e == "AddOnInstructionDefinition"))).alias(c) for e, c in kinds.items()])
+    called = calls(elements).groupBy("workspace").agg(F.count(F.lit(1)).alias("calls"), F.countDistinct(F.upper("callee")).alias("callees"))
+    return counts.join(called, "workspace", "left").na.fill(0, ["calls", "callees"])
+
+
+def corpus_lines(elements: DataFrame) -> DataFrame:
+    """n and value: the lines of a Markdown summary of a corpus and its documents, ready for ``write.text`` in order."""
+    from .report import markdown
+
+    roots = elements.where("path = '/RSLogix5000Content'").select(F.col("target_type").alias("Target type"), F.try_element_at("attributes", F.lit("TargetName")).alias("Target name"), F.col("workspace").alias("Source"))
+    return markdown(roots, "Corpus", ["Source"])
