@@ -336,6 +336,8 @@ TABLE_CELL_VARIANTS = 1 << 29
 CROWD, CROWD_ROWS = 16, 2048
 #: Least and most bits of a sketch.
 SKETCH_BITS = (256, 1 << 16)
+#: Parts that the tables are dealt to; in each a class is paired with two of those that it meets.
+TABLE_PARTS = 3
 #: Pairs whose sketches are compared at once.
 SKETCH_PAIRS = 1 << 15
 
@@ -435,10 +437,11 @@ def _cells(classes: DataFrame, n: int, width: int, radius: int) -> tuple[DataFra
     """The rows of ``classes`` once for each cell of a table that they fall into, and the free bits.
 
     classes: cls, fps and whatever else the cells need. There are as many cells as keep
-    each in bounds, or as the shuffle has partitions if there is work for them.
+    each in bounds, or a quarter of the shuffle's partitions if there is work for them: a
+    row goes to more cells the more there are.
     """
     per = sum(math.comb(width, k) for k in range(radius + 1))
-    wanted = min(partitions(classes.sparkSession), n * per * TABLES / SORT_VARIANTS) / TABLES
+    wanted = min(partitions(classes.sparkSession) / 4, n * per * TABLES / SORT_VARIANTS) / TABLES
     chosen = min(width // 2, max(math.ceil(math.log2(max(1, n * per / TABLE_CELL_VARIANTS))), math.floor(math.log2(max(1, wanted)))))
     flips = _masks(list(range(chosen)), radius).astype(np.int64).tolist()
     rest = [c for c in classes.columns if c != "fps"]
@@ -463,20 +466,22 @@ def _meetings(classes: DataFrame, n: int, width: int, radius: int) -> DataFrame:
     """Pairs a, b of classes that share a variant of one of their fingerprints.
 
     classes: cls and fps. Each class that meets any is paired with two of those that it
-    meets: the most popular and the rarest of all its cells. One with more meetings,
-    which ``_other_meetings`` finds, comes as a pair with itself as well. So a crowd costs
-    no more pairs than twice its size.
+    meets in each part of the tables: the most popular and the rarest of all its cells. One
+    with more meetings, which ``_other_meetings`` finds, comes as a pair with itself as
+    well. So a crowd costs no more pairs than 2 * TABLE_PARTS times its size.
     """
     cells, free = _cells(classes.select("cls", "fps"), n, width, radius)
 
     def in_cell(cell: pa.Table) -> pa.Table:
         own, moved, flip = _numbers(cell, "cls", "moved", "flip")
-        return _to_few(_shared(own, moved, _ones(flip), free, radius))
-
-    met = cells.groupBy("t", "cell").applyInArrow(in_cell, PARTNERS)
-    few = met.groupBy("own").agg(F.max_by("popular", F.struct("popularity", "popular")).alias("popular"), F.min_by("rare", F.struct("crowd", "rare")).alias("rare"), (F.min(F.least("least", "greatest")) != F.max(F.greatest("least", "greatest"))).alias("more"))
-    partners = F.array_compact(F.array("popular", "rare", F.when(F.col("more"), F.col("own"))))
-    pairs = few.select("own", F.explode(F.array_distinct(partners)).alias("partner"))
+        found = _to_few(_shared(own, moved, _ones(flip), free, radius))
+        return found.append_column("part", pa.array(np.full(found.num_rows, cell.column("t")[0].as_py() % TABLE_PARTS), pa.int64()))
+
+    met = cells.groupBy("t", "cell").applyInArrow(in_cell, f"{PARTNERS}, part long")
+    few = met.groupBy("own", "part").agg(F.max_by("popular", F.struct("popularity", "popular")).alias("popular"), F.min_by("rare", F.struct("crowd", "rare")).alias("rare"), F.min(F.least("least", "greatest")).alias("least"), F.max(F.greatest("least", "greatest")).alias("greatest"))
+    all_parts = few.groupBy("own").agg(F.flatten(F.collect_list(F.array("popular", "rare"))).alias("partners"), (F.min("least") != F.max("greatest")).alias("more"))
+    partners = F.array_compact(F.concat("partners", F.array(F.when(F.col("more"), F.col("own")))))
+    pairs = all_parts.select("own", F.explode(F.array_distinct(partners)).alias("partner"))
     return pairs.select(F.least("own", "partner").alias("a"), F.greatest("own", "partner").alias("b")).distinct()
 
 
