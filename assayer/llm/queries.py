@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extract, fingerprint, langid, mixing, oracles, sharding, simhash, topk, urlfilter, warc
+from . import bpe, clustering, extract, fingerprint, langid, mixing, oracles, passes, repair, sharding, simhash, topk, urlfilter, warc
 from .common import shared_dir, table
 
 
@@ -67,8 +67,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired_damage(table(spark, sf_dir, "conversations"))
+
+
+def op13_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passes.near_copies(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_topk, op2_fingerprint, op3_language, op4_extract, op5_sharding, op6_mixing, op7_warc, op8_bpe, op9_urlfilter, op10_simhash)}
+    first = (op1_topk, op2_fingerprint, op3_language, op4_extract, op5_sharding, op6_mixing, op7_warc, op8_bpe, op9_urlfilter, op10_simhash)
+    return {f.__name__: f for f in (*first, op11_clustering, op12_repair, op13_passes)}
 
 
 def oracle_sql() -> dict[str, str]:
