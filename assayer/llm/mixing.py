@@ -5,8 +5,9 @@ times. A document's virtual finish time is the words of its source up to and wit
 divided by the source's target. All documents are range-sorted by finish time, and what
 comes before the point where the budget is spent is taken.
 
-Queues are split into random buckets, so a source that holds a third of all rows is
-summed up by many tasks; only sums a bucket, a range partition and a source meet. Where
+Queues are split into buckets by the first bits of the draw that orders them, so a source
+that holds a third of all rows is summed up by many tasks, and a queue is in the order of its
+draws whatever the number of buckets; only sums a bucket, a range partition and a source meet. Where
 documents may be cut, the one in which a source reaches its target waits as two pieces.
 """
 
@@ -79,14 +80,15 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     time 1. Then each source has its target but for a word.
     """
     spark = docs.sparkSession
-    buckets = partitions(spark)
+    # The first bits of a draw, in its order: how many there are changes no position.
+    first_bits = max(1, min(30, (partitions(spark) - 1).bit_length()))
     text = F.col("text").cast("string")
     slim = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("t")).alias("skey"),
         word_count(text).alias("size"),
         _draw(F.col("doc_id").cast("long"), text, seed).alias("draw"),
-    ).withColumn("bucket", F.pmod("draw", F.lit(buckets)).cast("int"))
+    ).withColumn("bucket", F.shiftright("draw", 64 - first_bits).cast("int"))
     slim = stored(slim, "mix-sizes")
     sums = slim.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"))
     targets = source_targets(sums.groupBy("skey").agg(F.sum("bucket_size").alias("source_size")), weights, share, repeats)
