@@ -19,10 +19,11 @@ DESTINATION = {"MOV": 1, "ADD": 2, "SUB": 2, "MUL": 2, "DIV": 2}
 #: Instructions that can be run elsewhere as they are.
 EXECUTABLE = (*READS, *WRITES_FIRST, *STATE_FIRST, *DESTINATION, "JSR", "NOP", "OSR", "AFI")
 
-#: A letter or underscore begins a name; a module's data follows it after colons, then one
-#: subscript and any members.
-_NAME, _MODULE_DATA, _SUBSCRIPT, _MEMBER = r"[A-Za-z_]\w*", r":\w+", r"\[[^\]]+\]", r"\.\w+"
-OPERAND = f"({_NAME}(?:{_MODULE_DATA})*(?:{_SUBSCRIPT})?(?:{_MEMBER})*)"
+#: A tag is a name, or a module's data: its name, then slot or connection parts after
+#: colons, numbers or names. Subscripts and members follow in any order, as in
+#: ``Line[2].Step[1,Next].Mask.7``: a member is a name or a bit's number, and an index may
+#: itself have a subscript.
+OPERAND = r"([A-Za-z_]\w*(?::(?:\d+|[A-Za-z_]\w*))*(?:\[(?:[^\[\]]|\[[^\[\]]*\])+\]|\.(?:\d+|[A-Za-z_]\w*))*)"
 _PART = re.compile(r"\"[^\"]*\"?|'[^']*'?|(?P<name>[^\W\d][\w.$:]*)\s*\(|[()\[\]{},]")
 
 

@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import relationship_key
-from ..storage import join_hot
+from ..storage import join_hot, stored
 from .ordering import numbered
 
+#: Effects of a location up to which no task has too many.
+HOT_LOCATION = 1000
+
 
 def inventory(rows: DataFrame, kind: str, conditions: dict[str, Column]) -> DataFrame:
     """Rows of every kind, and how many of them meet each named condition."""
@@ -80,15 +83,18 @@ def co_located(effects: DataFrame, causes: DataFrame, location: Sequence[str], n
 
     Locations compare null-safe: a place without a line number is a place too. A
     location's pairs are counted there, so its size, not the table's, bounds them; the
-    effects of a location that has very many are dealt to several tasks.
+    effects of a location that has more than a task's share are dealt to several tasks.
     """
-    at = F.to_json(F.struct(*location), {"ignoreNullFields": "false"}).alias("at")
-    left = effects.select(at, F.col(node).alias("effect")).distinct()
+    at = F.struct(*location).alias("at")
+    left = stored(effects.select(at, F.col(node).alias("effect")).distinct(), "effects")
     right = causes.select(at, F.col(node).alias("cause")).distinct()
     sizes = left.groupBy("at").agg(F.count(F.lit(1)).alias("copies"))
-    total = sizes.agg(F.sum("copies")).first()[0] or 0
-    pairs = join_hot(left, right.join(sizes, "at"), "at", F.col("copies"), total).where("effect <> cause")
-    return pairs.groupBy("effect", "cause").agg(F.count(F.lit(1)).alias("locations"))
+    total, largest = sizes.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.max("copies"), F.lit(0))).first()
+    if largest > max(HOT_LOCATION, total // (4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))):
+        pairs = join_hot(left, right.join(sizes, "at"), "at", F.col("copies"), total)
+    else:
+        pairs = left.join(right, "at")
+    return pairs.where("effect <> cause").groupBy("effect", "cause").agg(F.count(F.lit(1)).alias("locations"))
 
 
 def with_relationship_key(rows: DataFrame, columns: Sequence[str], name: str = "relationship_key") -> DataFrame:

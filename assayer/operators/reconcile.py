@@ -108,11 +108,14 @@ def multi_basis(nodes: DataFrame, node: str, bases: dict[str, tuple[DataFrame, s
     """Nodes that all bases together tie to exactly one identity, with the bases that do.
 
     bases: name to (table, node column to join on, identity column); the table has a
-    column of the same name as the node column. Returns node, identity, bases.
+    column of the same name as the node column. Returns node, identity, bases. Only
+    whether there is one identity counts, so each key of a basis is one row with its
+    least and greatest before it is joined: a key that many identities share costs no more.
     """
     found = None
     for name, (table, column, identity) in bases.items():
-        one = nodes.select(node, column).join(table.select(column, F.col(identity).alias("identity")).distinct(), column).select(node, "identity", F.lit(name).alias("basis"))
+        by_key = table.where(F.col(identity).isNotNull()).groupBy(column).agg(F.min(identity).alias("identity"), F.max(identity).alias("__other"))
+        one = nodes.select(node, column).join(by_key, column).select(node, "identity", "__other", F.lit(name).alias("basis"))
         found = one if found is None else found.union(one)
-    tied = found.groupBy(node).agg(F.min("identity").alias("identity"), F.max("identity").alias("__other"), F.array_sort(F.collect_set("basis")).alias("bases"))
+    tied = found.groupBy(node).agg(F.min("identity").alias("identity"), F.max("__other").alias("__other"), F.array_sort(F.collect_set("basis")).alias("bases"))
     return tied.where("identity = __other").drop("__other")

@@ -1,7 +1,7 @@
 """Trees given by parent references: containment checks, roots, levels.
 
 Ancestors are found by doubling: after n rounds a row knows its ancestor 2^n steps up, so
-the rounds are the logarithm of the depth. Each joins only the rows that haven't reached
+the rounds are the logarithm of the depth, and one more if there are cycles. Each joins only the rows that haven't reached
 their root, and is written to the shared folder.
 """
 
@@ -17,8 +17,9 @@ def ancestors(nodes: DataFrame, key: str, parent: str) -> DataFrame:
     """key, root, depth and in_cycle of every row; keys are unique.
 
     root is the last node that is reached: one whose parent is null or isn't there. A node
-    that belongs to a cycle or leads into one has in_cycle and no root: it still has an
-    ancestor after as many steps as there are nodes. A tree may be of any depth.
+    that belongs to a cycle or leads into one has in_cycle and no root. A tree may be of any
+    depth. A round ends the nodes of a range of depths, and no depth is missing below a
+    deeper one: once a round ends none, all that are left lead into a cycle.
     """
     known = nodes.select(F.col(key).alias("node"), F.col(parent).alias("up"))
     children = known.where("up is not null").groupBy("up").agg(F.count(F.lit(1)).alias("copies"))
@@ -36,6 +37,8 @@ def ancestors(nodes: DataFrame, key: str, parent: str) -> DataFrame:
         moved = join_hot(moving, above.join(often, "up"), "up", F.col("copies"), left)
         # depth2 is how far the ancestor has come itself, up to as many steps as this round looks.
         moved = stored(moved.select("node", F.col("up2").alias("up"), F.col("top2").alias("top"), (F.col("depth") + F.col("depth2")).alias("depth")), "ancestors")
+        if moved.where("up is null").isEmpty():
+            break
         ended.append(moved.where("up is null"))
         moving = moved.where("up is not null")
         done = ended[0]

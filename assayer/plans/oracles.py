@@ -99,7 +99,7 @@ SQL = {
     "multi_basis_correlation": """
         WITH u AS (SELECT c_custkey, s_suppkey AS identity, 'key' AS basis FROM customer JOIN supplier ON c_custkey = s_suppkey
           UNION SELECT c_custkey, s_suppkey, 'balance' FROM customer JOIN supplier ON floor(c_acctbal) = floor(s_acctbal)
-          UNION SELECT c_custkey, s_suppkey, 'nation' FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE s_acctbal > 9000)
+          UNION SELECT c_custkey, s_suppkey, 'nation' FROM customer JOIN supplier ON c_nationkey = s_nationkey)
         SELECT c_custkey, MIN(identity) AS identity, string_agg(DISTINCT basis, ',' ORDER BY basis) AS bases FROM u GROUP BY 1 HAVING COUNT(DISTINCT identity) = 1""",
     "topology_corroboration": """
         WITH e AS (SELECT user_id AS target, NULLIF(event_id % 4, 0) AS interface, lower(event_type) AS peer, event_id FROM events),
