@@ -190,13 +190,13 @@ def walk_paths(paths: DataFrame, members: DataFrame, keys: Sequence[str], key: s
     moving = moving.where("status is null")
     while not moving.isEmpty():
         name, read = F.regexp_extract(F.col("rest")[0], COMPONENT, 1), F.regexp_extract(F.col("rest")[0], COMPONENT, 2)
-        some = moving.withColumn("name", name).withColumn("read", F.when(read != "", F.split(read, ",").cast("array<bigint>")).otherwise(F.array().cast("array<bigint>")))
+        some = moving.withColumn("name", name).withColumn("read", F.when(read != "", F.transform(F.split(read, ","), lambda x: x.try_cast("bigint"))).otherwise(F.array().cast("array<bigint>")))
         near = table.select(*keys, F.col("data_type").alias("on"), "name", "member_type", "dimension")
         nested = defined.select(*keys, F.col("data_type").alias("member_type"), "is_defined")
         near = near.join(nested, [*keys, "member_type"], "left")
         some = some.join(near, [*keys, "on", "name"], "left")
         stop = F.when(F.col("name") == "", "not_parsed").when(F.col("scalar"), "through_scalar").when(F.col("member_type").isNull(), "unknown_member")
-        bounds = F.split("dimension", ",").cast("array<bigint>")
+        bounds = F.transform(F.split("dimension", ","), lambda x: F.trim(x).try_cast("bigint"))
         # Null bounds are dimensions that aren't numbers: nothing is said of these.
         fits = (F.size(bounds) == F.size("read")) & F.forall(F.arrays_zip(bounds.alias("b"), F.col("read").alias("r")), lambda z: z["r"] < z["b"])
         judged = F.col("dimension").isNotNull() & (F.size("read") > 0) & F.forall(bounds, lambda b: b.isNotNull())
