@@ -43,6 +43,13 @@ ASIDE_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advert
 FIRST_WORDS = {"ad", "ads", "advert", "advertisement", "comments", "cookie", "cookies", "disqus", "footer", "gdpr", "menu", "nav", "navbar", "newsletter", "sidebar", "sponsored", "widget"}
 #: Words after such a word that say no more than that it is an element.
 SHAPES = {"area", "articles", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "content", "copy", "group", "holder", "icons", "inner", "item", "items", "left", "links", "list", "main", "message", "module", "outer", "overlay", "panel", "posts", "region", "right", "row", "section", "slot", "stories", "text", "thread", "top", "trail", "unit", "wrap", "wrapper"}
+#: Those that inside an article may as well name a part of its text: a recipe's menu, a paper's
+#: discussion. There the lines decide, by their lengths without links.
+DOUBTFUL_INSIDE = {"breadcrumb", "breadcrumbs", "menu", "nav", "navbar", "navigation", "pager", "pagination", "related", "search", "subnav", "toolbar", "topbar", "topnav"}
+#: Those that do so as the id of a section.
+DOUBTFUL_IDS = {"discussion", "notice", "notices", "responses"}
+#: Of the characters of a doubtful stretch, the share that must stand outside of links.
+PLAIN_SHARE = 0.5
 #: A class that begins so speaks of something else than the element itself.
 ABOUT_OTHERS = {"has", "with", "without", "no", "is", "not"}
 
@@ -50,37 +57,46 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$
 MARKS = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-#: Text, its characters that count (outside links, or all in prose), whether it is in an article, and whether it is set aside.
-Line = tuple[str, int, bool, bool]
+#: Text, its characters that count (outside links, or all in prose), whether it is in an article, whether it is set
+#: aside, and its characters outside links if it is doubtful, else -1.
+Line = tuple[str, int, bool, bool, int]
+#: What an element's marks say.
+SURE, DOUBTFUL = 2, 1
 
 
-def _says_aside(name: str, inside: bool) -> bool:
-    """True if one class, id or role names what is no article text: share-bar, not share-price."""
+def _says_aside(name: str, inside: bool, section_id: bool = False) -> int:
+    """SURE if one class, id or role names what is no article text (share-bar, not share-price), DOUBTFUL if it may, else 0."""
     words = [w.lower() for w in WORDS.findall(name)]
     if not words or words[0] in ABOUT_OTHERS:
-        return False
+        return 0
     while len(words) > 1 and words[-1] in SHAPES:
         words.pop()
     if inside and words[-1] == "header":
-        return False
-    return words[-1] in ASIDE_WORDS or words[0] in FIRST_WORDS
+        return 0
+    if inside and (words[-1] in DOUBTFUL_INSIDE or section_id and words[-1] in DOUBTFUL_IDS):
+        return DOUBTFUL
+    return SURE if words[-1] in ASIDE_WORDS or words[0] in FIRST_WORDS else 0
 
 
-def _set_aside(name: str, attributes: str, inside: bool, by_class: bool) -> bool:
-    """True for elements whose text isn't the article's. A header inside the article is its own."""
+def _set_aside(name: str, attributes: str, inside: bool, by_class: bool) -> int:
+    """SURE for elements whose text isn't the article's, DOUBTFUL where their lines have to tell, else 0.
+
+    A header inside the article is its own.
+    """
     if name in DROPPED:
-        return not (inside and name == "header")
+        return 0 if inside and name == "header" else SURE
     if not attributes or name in ("html", "body", *ARTICLE):
-        return False
+        return 0
+    most = 0
     for m in MARKS.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return SURE
         if key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        if key in ("class", "id", "role") and by_class and any(_says_aside(one, inside) for one in value.split()):
-            return True
-    return False
+            return SURE
+        if key in ("class", "id", "role") and by_class:
+            most = max(most, *[_says_aside(one, inside, key == "id" and name == "section") for one in value.split()], 0)
+    return most
 
 
 class _Page:
@@ -94,7 +110,7 @@ class _Page:
         self.stack: list[str | None] = []
         self.places: dict[str, list[int]] = defaultdict(list)
         self.blocks: list[int] = []
-        self.aside_at = self.links = self.inside = 0
+        self.aside_at = self.doubt_at = self.links = self.inside = 0
         self.any_inside = False
 
     def add(self, text: str) -> None:
@@ -106,16 +122,17 @@ class _Page:
             if whole:
                 prose = bool(self.blocks) and self.stack[self.blocks[-1]] in PROSE
                 plain = whole if prose else " ".join(entities.unescape("".join(t for t, linked in self.text if not linked)).split())
-                self.lines.append((whole, len(plain), self.inside > 0, self.aside_at > 0))
+                outside = len(" ".join(entities.unescape("".join(t for t, linked in self.text if not linked)).split())) if self.doubt_at else -1
+                self.lines.append((whole, len(plain), self.inside > 0, self.aside_at > 0, outside))
             self.text.clear()
 
     def gap(self) -> None:
-        self.lines.extend([("", 0, False, False)] * GAP)
+        self.lines.extend([("", 0, False, False, -1)] * GAP)
 
     def pop(self) -> None:
         name = self.stack[-1]
         if name is not None:
-            if name in BLOCK or len(self.stack) == self.aside_at:
+            if name in BLOCK or len(self.stack) in (self.aside_at, self.doubt_at):
                 self.end_line()
             self.places[name].pop()
             if name in BLOCK:
@@ -126,6 +143,9 @@ class _Page:
         if len(self.stack) < self.aside_at:
             self.aside_at = 0
             self.gap()
+        if len(self.stack) < self.doubt_at:
+            self.doubt_at = 0
+            self.gap()
 
     def end_tag(self, name: str) -> None:
         if not self.places[name]:
@@ -135,7 +155,7 @@ class _Page:
         at = self.places[name][-1]
         # An inline end tag doesn't close the blocks opened after its start.
         if name not in BLOCK and self.blocks and self.blocks[-1] > at:
-            if at + 1 != self.aside_at:
+            if at + 1 not in (self.aside_at, self.doubt_at):
                 self.places[name].pop()
                 self.links -= name == "a"
                 self.stack[at] = None
@@ -151,10 +171,14 @@ class _Page:
             self.end_line()
         if name in VOID or attributes.endswith("/") and name not in BLOCK:
             return
-        if not self.aside_at and _set_aside(name, attributes, self.inside > 0, self.by_class):
+        says = 0 if self.aside_at else _set_aside(name, attributes, self.inside > 0, self.by_class)
+        if says == SURE or says == DOUBTFUL and not self.doubt_at:
             self.end_line()
-            self.aside_at = len(self.stack) + 1
             self.gap()
+            if says == SURE:
+                self.aside_at = len(self.stack) + 1
+            else:
+                self.doubt_at = len(self.stack) + 1
         self.places[name].append(len(self.stack))
         if name in BLOCK:
             self.blocks.append(len(self.stack))
@@ -196,8 +220,23 @@ def lines_of(page: str, by_class: bool = True) -> tuple[list[Line], bool]:
 
 
 def weights(lines: list[Line], marked: bool) -> list[int]:
-    """What each line counts for. Where the page marks its article, other lines count nothing."""
-    return [0 if aside else len(text) * inside if marked else plain for text, plain, inside, aside in lines]
+    """What each line counts for. Where the page marks its article, other lines count nothing.
+
+    A line of a doubtful element counts what stands outside of its links, if that is PLAIN_SHARE or more of all
+    that the element holds, else nothing: so a list of links dives, and a text of the same name surges.
+    """
+    out = [0 if aside else len(text) * inside if marked else plain for text, plain, inside, aside, _ in lines]
+    at, n = 0, len(lines)
+    while at < n:
+        end = at
+        while end < n and lines[end][4] >= 0:
+            end += 1
+        if end > at:
+            outside = [lines[i][4] for i in range(at, end)]
+            dense = sum(outside) >= PLAIN_SHARE * sum(len(lines[i][0]) for i in range(at, end))
+            out[at:end] = [w if dense and not lines[at + i][3] and (lines[at + i][2] or not marked) else 0 for i, w in enumerate(outside)]
+        at = end + 1
+    return out
 
 
 def stretches(weight: list[int]) -> list[tuple[int, int]]:
