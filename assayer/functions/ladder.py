@@ -131,3 +131,67 @@ def statement_kind(statement: Column) -> Column:
     """assignment, control, call or unknown: what a statement of structured text is."""
     control = F.upper(statement).rlike(r"^(IF|ELSIF|ELSE|WHILE|FOR|CASE|REPEAT|UNTIL|EXIT|RETURN|END_\w+)\b")
     return F.when(control, "control").when(statement.rlike(r"(?s)^[A-Za-z_][\w.:\[\], ]*\s*:="), "assignment").when(statement.rlike(r"(?s)^[A-Za-z_]\w*\s*\(.*\)$"), "call").otherwise("unknown")
+
+
+# Words that begin a control statement, and those that end one's head.
+CONTROL = ("IF", "ELSIF", "ELSE", "CASE", "WHILE", "FOR", "REPEAT", "UNTIL", "EXIT", "RETURN", "END_IF", "END_CASE", "END_WHILE", "END_FOR", "END_REPEAT")
+HEAD_ENDS = ("THEN", "DO", "OF")
+#: Those that are a statement of their own.
+ALONE = ("ELSE", "REPEAT")
+_TOKEN = re.compile(r"(?P<comment>\(\*.*?(?:\*\)|$)|/\*.*?(?:\*/|$)|//[^\n]*)|(?P<quoted>'(?:\$.|[^'$])*'?|\"(?:\$.|[^\"$])*\"?)|(?P<word>[^\W\d]\w*)|(?P<assign>:=)|.", re.S)
+
+
+def scan_statements(text: str) -> list[dict]:
+    """kind, text and line of every statement of structured text, in order.
+
+    One pass over the tokens: comments go, quotes hide what is in them, and a statement ends at a
+    semicolon, or after the head of a control statement, outside of brackets. kind is control (by
+    its first word), assignment (it has := outside of brackets), call (a name and brackets to its end) or unknown.
+    """
+    out: list[dict] = []
+    words: list[str] = []
+    depth, line, begun, first, assigns, closed = 0, 1, 0, "", False, False
+
+    def end() -> None:
+        nonlocal words, first, assigns, closed, depth
+        whole = "".join(words).strip()
+        if whole:
+            named = re.match(r"[^\W\d][\w.]*\s*\(", whole)
+            kind = "control" if first.upper() in CONTROL else "assignment" if assigns else "call" if named and closed else "unknown"
+            out.append({"kind": kind, "text": whole, "line": begun})
+        words, first, assigns, closed, depth = [], "", False, False, 0
+
+    for m in _TOKEN.finditer(text):
+        token, word = m[0], m["word"]
+        if m["comment"]:
+            if first:
+                words.append(" ")
+        elif token == ";" and not depth or word and not depth and first and word.upper() in HEAD_ENDS:
+            end()
+        elif first or not token.isspace():
+            if not first:
+                begun, first = line, word or token
+            words.append(token)
+            if token in "([":
+                depth += 1
+            elif token in ")]":
+                depth = max(0, depth - 1)
+            assigns |= bool(m["assign"]) and not depth
+            if not token.isspace():
+                closed = token == ")" and not depth
+            if len(words) == 1 and word and word.upper() in ALONE:
+                end()
+        line += token.count("\n")
+    end()
+    return out
+
+
+def scanned_statements(text: Column) -> Column:
+    """array<struct<kind, text, line>> of the statements of structured text."""
+
+    @F.pandas_udf("array<struct<kind:string,text:string,line:int>>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in batches:
+            yield some.map(scan_statements, na_action=None)
+
+    return found(F.coalesce(text, F.lit("")))

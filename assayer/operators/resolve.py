@@ -6,6 +6,7 @@ rows joins as one row: no fan-out, no skew on that side, and every reference is
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -60,18 +61,25 @@ def split_bound(evidence: DataFrame, bindings: DataFrame, key: str) -> tuple[Dat
     return evidence.join(bindings, key), evidence.join(bindings.select(key), key, "left_anti")
 
 
-def longest_prefix(rows: DataFrame, text: str, row_key: str, prefixes: DataFrame, prefix: str, most_lengths: int = 256) -> DataFrame:
+def longest_prefix(rows: DataFrame, text: str, row_key: str, prefixes: DataFrame, prefix: str, most_lengths: int = 256, separator: str | None = None) -> DataFrame:
     """``rows`` plus ``prefix`` (the longest that ``text`` starts with) and prefix_count.
 
     Each row is cut to every length that occurs among the prefixes and joined by equality,
     so no row is compared with every prefix. prefix_count is the number of entries with
-    that longest prefix; the prefix is null where it isn't 1.
+    that longest prefix; the prefix is null where it isn't 1. Prefixes that all end in one
+    ``separator`` may be of any number of lengths: a row is cut after each one that it has. Others
+    may have ``most_lengths`` lengths, and more are an error.
     """
-    lengths = [r[0] for r in prefixes.select(F.length(prefix).alias("n")).where("n > 0").distinct().limit(most_lengths + 1).collect()]
-    if len(lengths) > most_lengths:
-        raise ValueError(f"prefixes have more than {most_lengths} lengths")
     entries = prefixes.groupBy(F.col(prefix).alias("__prefix")).agg(F.count(F.lit(1)).alias("__n"))
-    cuts = F.array(*[F.when(F.length(text) >= n, F.substring(text, 1, n)) for n in sorted(lengths)] or [F.lit(None).cast("string")])
+    if separator is not None:
+        parts = F.split(F.col(text), re.escape(separator))
+        cuts = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat(F.array_join(F.slice(parts, 1, n), separator), F.lit(separator))))
+        cuts = F.coalesce(cuts, F.array().cast("array<string>"))
+    else:
+        lengths = [r[0] for r in prefixes.select(F.length(prefix).alias("n")).where("n > 0").distinct().limit(most_lengths + 1).collect()]
+        if len(lengths) > most_lengths:
+            raise ValueError(f"prefixes have more than {most_lengths} lengths")
+        cuts = F.array(*[F.when(F.length(text) >= n, F.substring(text, 1, n)) for n in sorted(lengths)] or [F.lit(None).cast("string")])
     cut = rows.select(row_key, F.explode(F.array_compact(cuts)).alias("__prefix"))
     best = cut.join(entries, "__prefix").groupBy(row_key).agg(F.max(F.struct(F.length("__prefix").alias("length"), "__prefix", "__n")).alias("best"))
     joined = rows.join(best, row_key, "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,22 +13,21 @@ RESULT = "workspace string, tag string, unit string, confidence string, inherite
 RANK = {"INFERRED": 1, "DERIVED": 2, "CONFIRMED": 3}
 
 
-def _one_pass(units: dict[str, list], pairs: list[tuple[str, str]]) -> None:
-    """units: tag to [unit, confidence, inherited_from, conflicts]; changed in place."""
-    for left, right in pairs:
-        for source, target in ((left, right), (right, left)):
-            if units[source][0] is None:
-                continue
-            have, give = units[target], units[source]
-            confidence = "INFERRED" if give[1] == "INFERRED" else "DERIVED"
-            if have[0] is None:
-                have[:3] = [give[0], confidence, source]
-                break
-            if have[0] != give[0]:
-                have[3].append(f"{have[0]} <> {give[0]}")
-                break
-            if RANK[confidence] > RANK[have[1]]:
-                have[1:3] = [confidence, source]
+def _hand_on(units: dict[str, list], left: str, right: str) -> None:
+    """units: tag to [unit, confidence, inherited_from, conflicts]; changed in place by one comparison."""
+    for source, target in ((left, right), (right, left)):
+        if units[source][0] is None:
+            continue
+        have, give = units[target], units[source]
+        confidence = "INFERRED" if give[1] == "INFERRED" else "DERIVED"
+        if have[0] is None:
+            have[:3] = [give[0], confidence, source]
+            break
+        if have[0] != give[0]:
+            have[3].append(f"{have[0]} <> {give[0]}")
+            break
+        if RANK[confidence] > RANK[have[1]]:
+            have[1:3] = [confidence, source]
 
 
 def inherited_units(tags: DataFrame, comparisons: DataFrame) -> DataFrame:
@@ -36,19 +37,37 @@ def inherited_units(tags: DataFrame, comparisons: DataFrame) -> DataFrame:
     workspace, place (order), left, right. A comparison hands the unit of one side to the
     other if that has none, and notes a conflict if both have different ones. A unit is
     handed on only from then on, so the order matters and a closure over all pairs would
-    say something else. A workspace is one group: its project is what one engineer keeps.
+    say something else. A workspace's tags and then its comparisons pass by in a sorted stream:
+    a task keeps the tags of one workspace, and no comparison but the one at hand.
     """
+    none = F.lit(None).cast("string")
+    own = tags.select("workspace", F.lit(0).alias("which"), F.lit(None).cast("long").alias("place"), "tag", "unit", "confidence", none.alias("left"), none.alias("right"))
+    pairs = comparisons.select("workspace", F.lit(1), F.col("place").cast("long"), none, none, none, "left", "right")
+    rows = own.union(pairs).repartition("workspace").sortWithinPartitions("workspace", "which", "place", "tag", "left", "right")
+    schema = pa.schema([*[(n, pa.string()) for n in ("workspace", "tag", "unit", "confidence", "inherited_from")], ("conflicts", pa.list_(pa.string()))])
+    names = ("workspace", "which", "tag", "unit", "confidence", "left", "right")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units: dict[str, list] = {}
+        listed: list[str] = []
+        now: tuple = ()
 
-    def run(own: pa.Table, pairs: pa.Table) -> pa.Table:
-        rows = own.to_pylist()
-        units = {r["tag"]: [r["unit"], r["confidence"], None, []] for r in rows}
-        ordered = pairs.sort_by([("place", "ascending")]).to_pylist() if pairs.num_rows else []
-        _one_pass(units, [(p["left"], p["right"]) for p in ordered if p["left"] in units and p["right"] in units])
-        made = [{"workspace": r["workspace"], "tag": r["tag"], "unit": u[0], "confidence": u[1], "inherited_from": u[2], "conflicts": u[3]} for r in rows for u in (units[r["tag"]],)]
-        fields = [(n, pa.string()) for n in ("workspace", "tag", "unit", "confidence", "inherited_from")]
-        return pa.Table.from_pylist(made, pa.schema([*fields, ("conflicts", pa.list_(pa.string()))]))
+        def done() -> pa.RecordBatch:
+            made = [{"workspace": now[0], "tag": t, "unit": units[t][0], "confidence": units[t][1], "inherited_from": units[t][2], "conflicts": units[t][3]} for t in listed]
+            return pa.RecordBatch.from_pylist(made, schema)
 
-    left = tags.select("workspace", "tag", "unit", "confidence")
-    right = comparisons.select("workspace", F.col("place").cast("long").alias("place"), "left", "right")
-    return left.groupBy("workspace").cogroup(right.groupBy("workspace")).applyInArrow(run, RESULT)
+        for b in batches:
+            for workspace, which, tag, unit, confidence, left, right in zip(*[b.column(c).to_pylist() for c in names]):
+                if now != (workspace,):
+                    if listed:
+                        yield done()
+                    units, listed, now = {}, [], (workspace,)
+                if which == 0:
+                    units[tag] = [unit, confidence, None, []]
+                    listed.append(tag)
+                elif left in units and right in units:
+                    _hand_on(units, left, right)
+        if listed:
+            yield done()
 
+    return rows.mapInArrow(run, RESULT)

@@ -150,14 +150,16 @@ def produced_consumed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Faults of a report folder against its own manifest without the files of one report."""
+    """Digests of two report files, and what is wrong with them against a manifest with another digest, a file too many and one too few."""
     elements = _whole(spark, sf_dir)
     folder = _folder(spark, "reports")
-    for name, made in (("tasks", projects.tasks(elements)), ("io_list", report.io_list(elements))):
-        report.flat(made).coalesce(1).write.option("header", True).csv(f"{folder}/csv/{name}")
-    listed = report.manifest(spark, folder)
-    faults = report.verify_manifest(listed.where("path not like '%io_list%'"), listed)
-    return faults.groupBy(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("report"), "fault").agg(F.count(F.lit(1)).alias("n")).where("report = 'io_list'").select("report", "fault", (F.col("n") > 0).alias("found"))
+    made = {"tasks": (projects.tasks(elements), ["workspace"]), "io_list": (report.io_list(elements).select("workspace", "module", "channel", "status"), ["workspace", "module", "channel"])}
+    for name, (table, order) in made.items():
+        report.flat(table).repartitionByRange(1, *order).sortWithinPartitions(*order).write.option("header", True).csv(f"{folder}/csv/{name}")
+    listed = report.manifest(spark, folder).where("path like '%.csv'")
+    expected = listed.where("path not like '%io_list%'").select("path", F.sha2("sha256", 256).alias("sha256")).union(spark.range(1).select(F.lit("csv/gone/part.csv"), F.lit("-")))
+    faults = report.verify_manifest(expected, listed.select("path", "sha256")).join(listed, "path", "left")
+    return faults.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("report"), "fault", "sha256", "bytes")
 
 
 def instruction_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,7 +286,10 @@ SQL = {
         SELECT workspace, mnemonic, COUNT(*) AS occurrences, CAST(SUM(executable) AS BIGINT) AS executable, 100.0 * SUM(executable) / COUNT(*) AS percent FROM m GROUP BY 1, 2""",
     "produced_consumed": f"""WITH {_BASE}
         SELECT s.w AS workspace, 'Got' || n AS tag, p.w AS producer_workspace, CASE WHEN p.w IS NOT NULL THEN 2 END AS produce_count, 25.0 AS rpi FROM s LEFT JOIN p ON p.k = s.k + 1 WHERE s_suppkey % 6 = 0""",
-    "report_manifest": "SELECT 'io_list' AS report, 'unexpected' AS fault, true AS found",
+    "report_manifest": f"""WITH {_CHANNELS},
+        t AS (SELECT 'tasks' AS report, 'changed' AS fault, 'workspace,name,task_type,rate,priority,watchdog,scheduled' || chr(10) || string_agg(w || ',Fast,PERIODIC,' || CAST(k + 1 AS VARCHAR) || ',5,500,Main' || chr(10), '' ORDER BY w) AS body FROM p
+          UNION ALL SELECT 'io_list', 'unexpected', 'workspace,module,channel,status' || chr(10) || string_agg(workspace || ',' || module || ',' || CAST(channel AS VARCHAR) || ',' || status || chr(10), '' ORDER BY workspace, module, channel) FROM x)
+        SELECT report, fault, sha256(body) AS sha256, CAST(octet_length(encode(body)) AS BIGINT) AS bytes FROM t UNION ALL SELECT 'gone', 'missing', NULL, NULL""",
     "instruction_definitions": f"""WITH {_BASE}
         SELECT w AS workspace, 'Aoi' || CAST(k AS VARCHAR) AS name, '1.0' AS revision, true AS execute_prescan, 3 AS parameters, 2 AS required, 1 AS local_tags FROM p
         UNION ALL SELECT w, 'Odd' || CAST(k AS VARCHAR), NULL, NULL, NULL, NULL, NULL FROM p""",

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import ladder
 from ..operators import rules
 from ..operators.ordering import numbered
 from ..sources import projects
@@ -288,7 +289,14 @@ def device_description(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.described_behaviours(sources, ["s_suppkey"], "text", _BEHAVIOURS)
 
 
-QUERIES = (channel_units, conflicting_units, channel_ranges, text_reports, review_table, review_lines, communication_document, call_classification, semantic_coverage, conversion_readiness, runtime_fit, service_support, device_description)
+def statement_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    last = F.when(F.col("s_suppkey") % 2 == 0, "\n@@ what").otherwise(" Arr[i] := f(1);")
+    text = F.concat(F.lit("(* a; b *) IF x > 1 THEN\n  s := 'a;b'; // t := 1;\nELSE Go(a := 1, b => "), F.col("s_suppkey").cast("string"), F.lit(");\nEND_IF;"), last)
+    return rows.select("s_suppkey", F.posexplode(ladder.scanned_statements(text)).alias("at", "s")).select("s_suppkey", "at", "s.kind", "s.text", "s.line")
+
+
+QUERIES = (statement_scan, channel_units, conflicting_units, channel_ranges, text_reports, review_table, review_lines, communication_document, call_classification, semantic_coverage, conversion_readiness, runtime_fit, service_support, device_description)
 
 _W = "'R' || CAST(s_suppkey // 50 AS VARCHAR)"
 _SLOT = "CASE WHEN s_suppkey % 4 <> 0 THEN CAST(s_suppkey AS INTEGER) END"
@@ -302,6 +310,10 @@ _KINDS = f"""{_CALLED}, k AS (
         CASE WHEN f IN (0, 3) THEN 'Rockwell Automation' END AS maker, CASE f WHEN 0 THEN a = 3 WHEN 1 THEN a = 1 WHEN 3 THEN a = 1 END AS signature_valid FROM c)"""
 
 SQL = {
+    "statement_scan": """
+    WITH s AS (SELECT s_suppkey, s_suppkey % 2 = 0 AS odd FROM supplier)
+    SELECT s_suppkey, CAST(UNNEST(range(6)) AS INTEGER) AS at, UNNEST(['control', 'assignment', 'control', 'call', 'control', CASE WHEN odd THEN 'unknown' ELSE 'assignment' END]) AS kind,
+      UNNEST(['IF x > 1', 's := ''a;b''', 'ELSE', 'Go(a := 1, b => ' || s_suppkey || ')', 'END_IF', CASE WHEN odd THEN '@@ what' ELSE 'Arr[i] := f(1)' END]) AS text, UNNEST([1, 2, 3, 3, 4, CASE WHEN odd THEN 5 ELSE 4 END]) AS line FROM s""",
     "channel_units": f"""
     SELECT {_W} AS workspace, 'M' || s_suppkey AS module, {_SLOT} AS slot, 'i.ch0data' AS key, CASE WHEN s_suppkey % 6 = 0 THEN 'degC' ELSE 'DEGC' END AS symbol,
       CASE WHEN s_suppkey % 4 <> 0 THEN 'Local:' || s_suppkey || ':I' ELSE '' END || CASE WHEN s_suppkey % 6 = 0 THEN '.CH0DATA' ELSE 'Ch0Data' END AS source_operand FROM supplier

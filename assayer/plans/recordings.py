@@ -6,6 +6,7 @@ the tables say. Each file holds a bounded block of rows.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -48,9 +49,21 @@ def _folder(spark: SparkSession, tag: str) -> str:
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
+def _state(spark: SparkSession, sf_dir: str) -> str:
+    """Digest of the names, sizes and times of the tables' files: another one once a table is written again."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    listed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while listed.hasNext():
+        f = listed.next()
+        found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+
 def written_once(spark: SparkSession, sf_dir: str, tag: str, write: Callable[[str], None]) -> str:
-    """The folder of files that ``write(folder)`` makes, which is called once a session."""
-    key = (spark.sparkContext.applicationId, sf_dir, tag)
+    """The folder of files that ``write(folder)`` makes, which is called once a session and state of the tables."""
+    key = (spark.sparkContext.applicationId, _state(spark, sf_dir), tag)
     if key not in _WRITTEN:
         folder = _folder(spark, tag)
         write(folder)
@@ -150,11 +163,11 @@ def snmpwalk_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.regexp_extract("recording", r"([^/]+)\.txt", 1).alias("recording"), "oid", "type_code", "value", "reason")
 
 
-_EDS = "'[Device]\nVendCode = ' || CAST(n_nationkey AS STRING) || '; $ of ' || n_name || '\nProdType = ' || CAST(n_regionkey AS STRING) || '; ProdCode = 7;\nMajRev = 2; MinRev = 3;\nProdName = \"' || n_name || '; one, two\";\n[Connection Manager]\nConnection1 = 1,2,,,,,,,\n,,,,\"c\",\"\",\"20 0' || CAST(n_nationkey % 5 AS STRING) || ' 24 01 2C 1' || CAST(n_regionkey AS STRING) || ' 2C 33\";'"
+_EDS = "'[Device]\nVendCode = ' || CAST(s_suppkey AS STRING) || '; $ of ' || s_name || '\nProdType = ' || CAST(s_nationkey % 5 AS STRING) || '; ProdCode = 7;\nMajRev = 2; MinRev = 3;\nProdName = \"' || s_name || '; one, two\";\n[Connection Manager]\nConnection1 = 1,2,,,,,,,\n,,,,\"c\",\"\",\"20 0' || CAST(s_suppkey % 5 AS STRING) || ' 24 01 2C 1' || CAST(s_nationkey % 5 AS STRING) || ' 2C 33\";'"
 
 
 def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _tables(spark, sf_dir, "SELECT CAST(n_nationkey AS BIGINT) AS k, 0 AS rank, 0L AS n, " + _EDS.replace("\n", "\\n").replace('"', '\\"') + " AS line FROM {nation}")
+    lines = _tables(spark, sf_dir, "SELECT CAST(s_suppkey AS BIGINT) AS k, 0 AS rank, 0L AS n, " + _EDS.replace("\n", "\\n").replace('"', '\\"') + " AS line FROM {supplier}")
     folder = _folder(spark, "descriptions")
     _files(lines, ".eds", folder)
     return descriptions.read_eds(spark, folder)
@@ -166,28 +179,28 @@ def eds_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eds_assemblies(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = descriptions.assembly_candidates(_described(spark, sf_dir))
-    return found.select(F.regexp_extract("source", r"R(\d+)\.eds", 1).cast("long").alias("nation"), "connection", F.concat_ws(",", F.col("connection_points").cast("array<string>")).alias("points"))
+    return found.select(F.regexp_extract("source", r"R(\d+)\.eds", 1).cast("long").alias("supplier"), "connection", F.concat_ws(",", F.col("connection_points").cast("array<string>")).alias("points"))
 
 
 def gsd_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = r"'#Profibus_DP\nVendor_Name = \"' || n_name || '\" ; maker\nModule = \"' || n_name || ' io\" 0x1' || CAST(n_regionkey AS STRING) || ',\\\n0x22\nExt_Length = ' || CAST(n_nationkey AS STRING) || '\nEndModule\nLast = 2'"
-    lines = _tables(spark, sf_dir, f"SELECT CAST(n_nationkey AS BIGINT) AS k, 0 AS rank, 0L AS n, {text} AS line FROM {{nation}}")
+    text = r"'#Profibus_DP\nVendor_Name = \"' || s_name || '\" ; maker\nModule = \"' || s_name || ' io\" 0x1' || CAST(s_nationkey % 5 AS STRING) || ',\\\n0x22\nExt_Length = ' || CAST(s_suppkey AS STRING) || '\nEndModule\nLast = 2'"
+    lines = _tables(spark, sf_dir, f"SELECT CAST(s_suppkey AS BIGINT) AS k, 0 AS rank, 0L AS n, {text} AS line FROM {{supplier}}")
     folder = _folder(spark, "descriptions")
     _files(lines, ".gsd", folder)
     rows = descriptions.read_gsd(spark, folder)
     octet = F.conv(F.regexp_extract(F.get("values", F.lit(0)), "0x([0-9A-Fa-f]+)", 1), 16, 10).cast("int")
     cyclic = descriptions.cyclic_identifier(octet)
-    return rows.select(F.regexp_extract("source", r"R(\d+)\.gsd", 1).cast("long").alias("nation"), "section", "name", F.array_join("values", "|").alias("values"), F.when(F.col("name") == "Module", cyclic["direction"]).alias("direction"), F.when(F.col("name") == "Module", cyclic["count"]).cast("long").alias("count"))
+    return rows.select(F.regexp_extract("source", r"R(\d+)\.gsd", 1).cast("long").alias("supplier"), "section", "name", F.array_join("values", "|").alias("values"), F.when(F.col("name") == "Module", cyclic["direction"]).alias("direction"), F.when(F.col("name") == "Module", cyclic["count"]).cast("long").alias("count"))
 
 
 def psj_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    xml = F.concat(F.lit('<r n="'), F.col("n_nationkey").cast("string"), F.lit('"><c>'), F.col("n_name"), F.lit("</c></r>"))
+    xml = F.concat(F.lit('<r n="'), F.col("s_suppkey").cast("string"), F.lit('"><c>'), F.col("s_name"), F.lit("</c></r>"))
     codes = F.transform(F.sequence(F.lit(1), F.length(xml)), lambda i: F.lpad(F.hex(F.ascii(F.substring(xml, i, F.lit(1))).bitwiseXOR(F.lit(descriptions.PSJ_BYTE)).cast("long")), 2, "0"))
-    lines = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("k"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("n"), F.base64(F.unhex(F.array_join(codes, ""))).alias("line"))
+    lines = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("k"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("n"), F.base64(F.unhex(F.array_join(codes, ""))).alias("line"))
     folder = _folder(spark, "descriptions")
     _files(lines, ".psj", folder)
     rows = descriptions.read_psj(spark, folder)
-    return rows.select(F.regexp_extract("source", r"R(\d+)\.psj", 1).cast("long").alias("nation"), "path", F.col("attributes")["n"].alias("n"), "text")
+    return rows.select(F.regexp_extract("source", r"R(\d+)\.psj", 1).cast("long").alias("supplier"), "path", F.col("attributes")["n"].alias("n"), "text")
 
 
 def _gateway_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,10 +251,13 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("s_suppkey", root_of(path).alias("root"), member_of(path).alias("member"), mac_from_octets(octets).alias("mac"), is_ipv4(address).alias("is_ipv4"), folded(F.concat(F.lit("  A \t b"), F.col("s_name"))).alias("folded"), duration_literal(F.col("s_suppkey") * 10).alias("duration"))
 
 
+_NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
+
+
 def stable_uuids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digits of the version and of the variant, and that equal names have equal identifiers."""
-    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(name_uuid(F.lit("6ba7b811-9dad-11d1-80b4-00c04fd430c8"), F.concat(F.lit("n"), (F.col("s_nationkey")).cast("string"))).alias("u"))
-    return rows.select(F.substring("u", 15, 1).alias("version"), F.length("u").cast("long").alias("length"), F.col("u").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$").alias("ok")).distinct()
+    """The identifier of every customer's name."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return rows.select("c_name", name_uuid(F.lit(_NAMESPACE), F.col("c_name")).alias("uuid"))
 
 
 QUERIES = (
@@ -291,14 +307,14 @@ SQL = {
         UNION ALL SELECT {_RC}, NULL, '4', 'x', 'oid' FROM customer WHERE c_custkey % 5 = 0
         UNION ALL SELECT {_RC}, NULL, NULL, '', 'syntax' FROM customer WHERE c_custkey % 7 = 0
         UNION ALL SELECT {_RC}, '1.3.6.1.2.1.2.2.1.6.' || CAST(c_custkey + 1 AS VARCHAR), '4', '0a0b' || lower(hex(c_custkey % 200 + 16)), NULL FROM customer""",
-    "eds_identity": "SELECT n_nationkey AS vendor_id, n_regionkey AS product_type, 7 AS product_code, 2 AS major, 3 AS minor, n_name || '; one, two' AS product_name FROM nation",
-    "eds_assemblies": "SELECT CAST(n_nationkey AS BIGINT) AS nation, 'Connection1' AS connection, CAST(16 + n_regionkey AS VARCHAR) || ',51' AS points FROM nation WHERE n_nationkey % 5 = 4",
+    "eds_identity": "SELECT CAST(s_suppkey AS INTEGER) AS vendor_id, s_nationkey % 5 AS product_type, 7 AS product_code, 2 AS major, 3 AS minor, s_name || '; one, two' AS product_name FROM supplier",
+    "eds_assemblies": "SELECT s_suppkey AS supplier, 'Connection1' AS connection, CAST(16 + s_nationkey % 5 AS VARCHAR) || ',51' AS points FROM supplier WHERE s_suppkey % 5 = 4",
     "gsd_scan": """
-        SELECT CAST(n_nationkey AS BIGINT) AS nation, NULL AS section, 'Vendor_Name' AS name, '"' || n_name || '"' AS "values", NULL AS direction, CAST(NULL AS BIGINT) AS count FROM nation
-        UNION ALL SELECT n_nationkey, n_name || ' io', 'Module', '0x1' || CAST(n_regionkey AS VARCHAR) || '|0x22', 'input', n_regionkey + 1 FROM nation
-        UNION ALL SELECT n_nationkey, n_name || ' io', 'Ext_Length', CAST(n_nationkey AS VARCHAR), NULL, NULL FROM nation
-        UNION ALL SELECT n_nationkey, NULL, 'Last', '2', NULL, NULL FROM nation""",
-    "psj_scan": "SELECT CAST(n_nationkey AS BIGINT) AS nation, '/r' AS path, CAST(n_nationkey AS VARCHAR) AS n, NULL AS text FROM nation UNION ALL SELECT n_nationkey, '/r/c', NULL, n_name FROM nation",
+        SELECT s_suppkey AS supplier, NULL AS section, 'Vendor_Name' AS name, '"' || s_name || '"' AS "values", NULL AS direction, CAST(NULL AS BIGINT) AS count FROM supplier
+        UNION ALL SELECT s_suppkey, s_name || ' io', 'Module', '0x1' || CAST(s_nationkey % 5 AS VARCHAR) || '|0x22', 'input', s_nationkey % 5 + 1 FROM supplier
+        UNION ALL SELECT s_suppkey, s_name || ' io', 'Ext_Length', CAST(s_suppkey AS VARCHAR), NULL, NULL FROM supplier
+        UNION ALL SELECT s_suppkey, NULL, 'Last', '2', NULL, NULL FROM supplier""",
+    "psj_scan": "SELECT s_suppkey AS supplier, '/r' AS path, CAST(s_suppkey AS VARCHAR) AS n, NULL AS text FROM supplier UNION ALL SELECT s_suppkey, '/r/c', NULL, s_name FROM supplier",
     "gateway_mappings": "SELECT 'M' || CAST(s_suppkey AS VARCHAR) AS mapping_id, CASE WHEN s_nationkey < 20 AND s_suppkey % 4 IN (1, 2) THEN 'applied' ELSE 'unresolved' END AS state FROM supplier WHERE s_suppkey % 9 <> 0",
     "gateway_faults": "SELECT 'M' || CAST(s_suppkey AS VARCHAR) AS mapping_id, 'target_interface' AS missing, 'bar' AS unit FROM supplier WHERE s_suppkey % 9 = 0",
     "identity_replies": """
@@ -309,7 +325,9 @@ SQL = {
     "text_functions": """
         SELECT s_suppkey, s_name AS root, CASE WHEN s_suppkey % 2 = 0 THEN '.Sub[3].X' END AS member, '02:' || lpad(lower(hex(s_suppkey % 256)), 2, '0') || ':ff' AS mac, s_suppkey % 300 <= 255 AS is_ipv4,
           'a b' || lower(s_name) AS folded, 'T#' || CAST(s_suppkey * 10 AS VARCHAR) || 'ms' AS duration FROM supplier""",
-    "stable_uuids": "SELECT '5' AS version, 36 AS length, true AS ok",
+    "stable_uuids": f"""
+        WITH h AS (SELECT c_name, sha1(unhex('{_NAMESPACE.replace("-", "")}') || encode(c_name)) AS h FROM customer)
+        SELECT c_name, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8', '9', 'a', 'b'][CAST(('0x' || h[17]) AS INTEGER) % 4 + 1] || h[18:20] || '-' || h[21:32] AS uuid FROM h""",
 }
 
 

@@ -125,9 +125,9 @@ def module_operands(elements: DataFrame) -> DataFrame:
     operand = calls(elements).select("workspace", F.explode("arguments").alias("operand")).where("operand <> ''").distinct()
     rows = operand.withColumn("id", F.concat_ws("\n", "workspace", "operand")).withColumn("text", F.concat(F.col("workspace"), F.lit("\n"), F.lower("operand"), F.lit(":")))
     prefixes = projects.modules(elements).select(F.concat(F.col("workspace"), F.lit("\n"), F.lower("name"), F.lit(":")).alias("prefix"))
-    found = longest_prefix(rows, "text", "id", prefixes, "prefix", most_lengths=4096).where("prefix is not null")
+    found = longest_prefix(rows, "text", "id", prefixes, "prefix", separator=":").where("prefix is not null")
     name_size = F.length("prefix") - F.length("workspace") - 2
-    path = F.nullif(F.substring("operand", name_size + 2, F.lit(10_000)), F.lit(""))
+    path = F.nullif(F.substr("operand", name_size + 2), F.lit(""))
     area = F.lower(F.substring_index(path, ".", 1))
     direction = F.when(area == "i", "input").when(area == "o", "output").when(area == "c", "configuration").when(area == "s", "status").otherwise("unknown")
     return found.select("workspace", "operand", F.substring("operand", F.lit(1), name_size).alias("module"), path.alias("path"), direction.alias("direction"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.functions import ladder
-from assayer.operators import datatypes, reconcile, tree
+from assayer.operators import datatypes, reconcile, resolve, rules, tree, units
 
 MEMBERS = "scope string, data_type string, ordinal int, name string, member_type string, dimension int, target string, bit_number int"
 
@@ -167,3 +167,36 @@ def test_bases_that_many_identities_share(spark):
     own = spark.createDataFrame([(2, 7), (5, 8), (1, 9)], "own long, id long")
     found = {r["n"]: (r["identity"], r["bases"]) for r in reconcile.multi_basis(nodes, "n", {"s": (shared, "shared", "id"), "o": (own, "own", "id")}).collect()}
     assert found == {i: (7, ["o", "s"] if i == 2 else ["s"]) for i in range(2, 30, 3) if i != 5}
+
+
+def test_prefixes_of_any_number_of_lengths(spark):
+    prefixes = spark.createDataFrame([("x" * n + ":",) for n in range(1, 600)] + [("a:b:",), ("a:",), ("twice:",), ("twice:",)], "prefix string")
+    rows = spark.createDataFrame([(1, "x" * 550 + ":rest"), (2, "a:b:c:"), (3, "a:c"), (4, "none"), (5, "twice:x"), (6, None), (7, ":")], "id int, text string")
+    found = {r["id"]: (r["prefix"], r["prefix_count"]) for r in resolve.longest_prefix(rows, "text", "id", prefixes, "prefix", separator=":").collect()}
+    assert found == {1: ("x" * 550 + ":", 1), 2: ("a:b:", 1), 3: ("a:", 1), 4: (None, 0), 5: (None, 2), 6: (None, 0), 7: (None, 0)}
+    with pytest.raises(ValueError, match="256 lengths"):
+        resolve.longest_prefix(rows, "text", "id", prefixes, "prefix")
+
+
+def test_statements_by_their_tokens():
+    scan = lambda text: [(s["kind"], s["text"], s["line"]) for s in ladder.scan_statements(text)]
+    assert scan("") == scan(" ;; \n // only\n") == []
+    assert scan("IF a AND (b OR c) THEN x := 1; ELSIF d THEN\n Go(p := 1); END_IF;") == [("control", "IF a AND (b OR c)", 1), ("assignment", "x := 1", 1), ("control", "ELSIF d", 1), ("call", "Go(p := 1)", 2), ("control", "END_IF", 2)]
+    assert scan("s := 'it''s; (* no *)'; t := \"a;$\"b\"; (* c;\nd *) u := 2") == [("assignment", "s := 'it''s; (* no *)'", 1), ("assignment", 't := "a;$"b"', 1), ("assignment", "u := 2", 2)]
+    assert scan("WHILE i < 3 DO\n REPEAT\n  i := i + 1;\n UNTIL i = 2 END_REPEAT; EXIT; END_WHILE") == [("control", "WHILE i < 3", 1), ("control", "REPEAT", 2), ("assignment", "i := i + 1", 3), ("control", "UNTIL i = 2 END_REPEAT", 4), ("control", "EXIT", 4), ("control", "END_WHILE", 4)]
+    assert scan("Timer.Go(a[1;2]); x; A(1)+2; (") == [("call", "Timer.Go(a[1;2])", 1), ("unknown", "x", 1), ("unknown", "A(1)+2", 1), ("unknown", "(", 1)]
+
+
+def test_units_pass_by_in_a_stream(spark):
+    tags = spark.createDataFrame([(w, t, u, c) for w in ("a", "b", None) for t, u, c in (("p", "bar", "CONFIRMED"), ("q", None, None), ("r", None, None), ("s", "psi", "INFERRED"))], "workspace string, tag string, unit string, confidence string")
+    pairs = spark.createDataFrame([("a", 2, "q", "r"), ("a", 1, "p", "q"), ("a", 3, "r", "s"), ("a", 4, "r", "gone"), ("b", 1, "q", "r"), ("b", 2, "p", "q"), ("c", 1, "p", "q")], "workspace string, place long, left string, right string")
+    found = {(r["workspace"], r["tag"]): (r["unit"], r["confidence"], r["inherited_from"], list(r["conflicts"])) for r in units.inherited_units(tags.repartition(3), pairs.repartition(2)).collect()}
+    assert found["a", "q"] == ("bar", "DERIVED", "p", []) and found["a", "r"] == ("bar", "DERIVED", "q", []) and found["a", "s"] == ("psi", "INFERRED", None, ["psi <> bar"])
+    assert found["b", "r"] == (None, None, None, []) and found["b", "q"] == ("bar", "DERIVED", "p", []) and found[None, "q"][0] is None and len(found) == 12
+
+
+def test_rules_for_calls(spark):
+    calls = spark.createDataFrame([(1, "cop", 3), (1, "COP", 2), (1, "mine", 9), (2, "mine", 9), (1, None, 0), (1, "abs", None)], "scope int, callee string, arguments int")
+    own = spark.createDataFrame([(1, "Mine"), (1, "MINE"), (1, "Cop")], "scope int, name string")
+    found = sorted((tuple(r) for r in rules.classified_calls(calls, own, ["scope"]).collect()), key=repr)
+    assert found == sorted([(1, "cop", 3, "memory_copy", "Rockwell Automation", True), (1, "COP", 2, "memory_copy", "Rockwell Automation", False), (1, "mine", 9, "user_defined_instruction", None, None), (2, "mine", 9, "unknown", None, None), (1, None, 0, "unknown", None, None), (1, "abs", None, "absolute_value", None, True)], key=repr)
