@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
+from ..storage import qualified, send_package
 from .files import store_of
 
 # How an entry of an archive begins, and the element that it is.
@@ -141,9 +142,10 @@ class ArchiveSource(DataSource):
 
 def read_archives(spark: SparkSession, path: str, split_bytes: int = 32 << 20) -> DataFrame:
     """Entries of all ``.export`` archives below ``path``."""
+    send_package(spark)
     spark.dataSource.register(ArchiveSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("archive").option("splitBytes", split_bytes).load(path)
+    return spark.read.format("archive").option("splitBytes", split_bytes).load(qualified(spark, path))
 
 
 VISUAL = "element_ordinal int, element_id int, identifier string, element_type string, properties map<string,string>, bindings array<string>"

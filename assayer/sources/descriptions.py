@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import send_package
+
 ASSIGNMENT = "source string, section string, ordinal long, name string, values array<string>"
 #: The byte that every byte of a PSJ document is combined with.
 PSJ_BYTE = 0x5A
@@ -21,6 +23,7 @@ PSJ_BYTE = 0x5A
 def _per_file(files: DataFrame, rows_of: Callable[[str, bytes], Iterator[dict]], ddl: str) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    send_package(files.sparkSession)
     schema = to_arrow_schema(files.sparkSession.createDataFrame([], ddl).schema)
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

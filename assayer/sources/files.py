@@ -9,6 +9,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import qualified, send_package
+
 
 def store_of(path: str) -> tuple[fs.FileSystem, str]:
     """The store of a path and the path in it. Without a scheme, or with file:, it is a mounted folder."""
@@ -32,4 +34,6 @@ def write_files(files: DataFrame, folder: str) -> int:
                     out.write(content.encode())
             yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
 
+    send_package(files.sparkSession)
+    folder = qualified(files.sparkSession, folder)
     return files.select("name", "content").mapInArrow(written, "n long").agg(F.sum("n")).first()[0] or 0

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from ..storage import send_package
+
 
 class StaleRevision(ValueError):
     """Another writer has published a revision since."""
@@ -137,6 +139,7 @@ def save(state: DataFrame, path: str, expected_revision: int, key: str | None =
         broken = old.join(new, key, "left").where(~F.coalesce(goes_on, F.lit(False))).count()
         if broken:
             raise BrokenHistory(f"{broken} histories aren't continued")
+    send_package(spark)
     spark.dataSource.register(RevisionSource)
     try:
         state.write.format("revisions").option("expectedRevision", expected_revision).mode("append").save(path)
