@@ -2,42 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from ..storage import fresh, join_hot, qualified, shared_dir, stored
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the session's ``spark.checkpoint.dir``. Where that is unset, a temporary folder
-    is set as checkpoint folder if the master is local; on a cluster that is an error, as
-    executors don't see each other's temporary folders.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jvm_dir.get() if jvm_dir.isDefined() else None
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="assayer-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, tag: str, **options: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs a reread, never a recomputation
-    of what came before.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["fresh", "join_hot", "partitions", "qualified", "shared_dir", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,29 +15,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def fresh(df: DataFrame, name: str) -> str:
-    """``name``, with as many underscores after it as no column of ``df`` has."""
-    while name.lower() in (c.lower() for c in df.columns):
-        name += "_"
-    return name
-
-
-def join_hot(many: DataFrame, one: DataFrame, key: str, copies: Column, rows: int, how: str = "inner") -> DataFrame:
-    """``many`` joined with ``one`` on ``key`` (inner or left), whatever share of ``many`` a key holds.
-
-    one: one row a key; ``copies`` is how many rows of ``many`` the key has, about, and
-    ``rows`` how many ``many`` has in all. Keys with more than a quarter of a partition's
-    share are hot: their rows are dealt to as many tasks as they have such quarters, by a
-    hash of the whole row, and the row of ``one`` is sent to each of these. There are four
-    hot keys a partition at most, so what is broadcast (hot keys and their numbers of
-    tasks) is bounded.
-    """
-    quarter = max(1, rows // (4 * partitions(many.sparkSession)))
-    tasks, salt = fresh(many, "tasks"), fresh(many, "salt")
-    counted = one.withColumn(tasks, F.greatest(F.lit(1), F.ceil(F.coalesce(copies, F.lit(0)) / quarter)).cast("int"))
-    hot = F.broadcast(counted.where(F.col(tasks) > 1).select(key, tasks))
-    dealt = many.join(hot, key, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(*many.columns), F.col(tasks)), F.lit(0)).cast("int")).drop(tasks)
-    spread = counted.withColumn(salt, F.explode(F.sequence(F.lit(0), F.col(tasks) - 1))).drop(tasks)
-    return dealt.join(spread, [key, salt], how).drop(salt)

@@ -608,11 +608,13 @@ def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
     ``similar_rows``. Of exact repetitions of a row's doc_id and text one stays. Rows are
     told apart by both, so none goes for sharing a doc_id, or having none.
     """
-    key = fresh(docs, "row_key")
+    key, other = fresh(docs, "row_key"), fresh(docs, "row_check")
     kept = stored(groups.where("leads").groupBy(F.col("row_key").alias(key)).agg(F.count(F.lit(1)).alias("times")), "kept-keys")
     keyed = docs.withColumn(key, row_key())
     once = keyed.join(kept.where("times = 1").select(key), key, "left_semi")
-    again = keyed.join(kept.where("times > 1").select(key), key, "left_semi").dropDuplicates([key])
+    # A second hash tells different rows apart that share the first.
+    check = F.xxhash64(F.lit(SEED), F.col("text").cast("string"), F.col("doc_id").cast("long"))
+    again = keyed.join(kept.where("times > 1").select(key), key, "left_semi").withColumn(other, check).dropDuplicates([key, other])
     return once.union(again).select(docs.columns)
 
 

@@ -22,7 +22,8 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import join_hot, stored
+from ..sources.files import store_of
+from .common import join_hot, qualified, stored
 
 #: Smaller payloads are always written whole.
 LEAST_BYTES = 100
@@ -67,6 +68,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES,
     payload of any length is one record. Other columns are ignored; an empty table gives
     no archives.
     """
+    path = qualified(pages.sparkSession, path)
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("bytes"), F.sha2(payload, 256).alias("digest"))
     rows = rows.withColumn("pk", F.xxhash64("page_id", "url", "digest"))
@@ -86,16 +88,9 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES,
     _write(records, path)
 
 
-def _store(path: str) -> tuple[fs.FileSystem, str]:
-    """The store of a path and the path in it. A path without a scheme, or of file, is a mounted folder."""
-    if "://" not in path or path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(path)
-
-
 def _write(records: DataFrame, path: str) -> None:
     def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = _store(path)
+        store, folder = store_of(path)
         store.create_dir(folder, recursive=True)
         name, out, written = None, None, 0
         for b in batches:
@@ -148,10 +143,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     Columns: RECORD; payload is null for revisits. An archive is read by one task, in a
     stream, one record at a time.
     """
+    path = qualified(spark, path)
     schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("target_uri", pa.string()), ("refers_to_id", pa.string()), ("header_digest", pa.string()), ("http_bytes", pa.int64()), ("payload", pa.binary())])
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = _store(path)
+        store, folder = store_of(path)
         for b in batches:
             for name in b.column("archive").to_pylist():
                 out, held = [], 0
