@@ -614,7 +614,7 @@ def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
     once = keyed.join(kept.where("times = 1").select(key), key, "left_semi")
     # A second hash tells different rows apart that share the first.
     check = F.xxhash64(F.lit(SEED), F.col("text").cast("string"), F.col("doc_id").cast("long"))
-    again = keyed.join(kept.where("times > 1").select(key), key, "left_semi").withColumn(other, check).dropDuplicates([key, other])
+    again = keyed.join(kept.where("times > 1").select(key), key, "left_semi").withColumn(other, check).dropDuplicates([key, other]).drop(other)
     return once.union(again).select(docs.columns)
 
 
