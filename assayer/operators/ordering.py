@@ -69,3 +69,45 @@ def natural_key(text: Column) -> Column:
     """Array of (number, text) structs that sorts digits by value: a2 before a10."""
     parts = F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), F.lit(1))
     return F.transform(parts, lambda p: F.struct(F.coalesce(p.try_cast("decimal(38,0)"), F.lit(-1).cast("decimal(38,0)")).alias("number"), F.lower(p).alias("text")))
+
+
+def ordered_distinct(rows: DataFrame, keys: Sequence[str], value: str, order: str, name: str = "values") -> DataFrame:
+    """Each key's distinct values in the order in which they are first seen, nulls left out.
+
+    Values are made distinct before they meet, so a key's row holds what differs and no more.
+    """
+    first = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.min(order).alias("__at"))
+    listed = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("__at").alias("at"), F.col(value).alias("value")))).alias("__all"))
+    return listed.select(*keys, F.transform("__all", lambda x: x["value"]).alias(name))
+
+
+# The rungs of a counter that shares its state: counting, its done bit, its reset.
+COUNT_RUNG, DONE_RUNG, RESET_RUNG = r"^\s*XIC\((\w+)\)\s*(CTU|CTD)\((\w+)[,)].*$", r"^\s*XIC\((\w+)\.DN\)\s*OTE\((\w+)\)\s*;?\s*$", r"^\s*XIC\((\w+)\)\s*RES\((\w+)\)\s*;?\s*$"
+
+
+def counter_groups(rungs: DataFrame, keys: Sequence[str], order: str, text: str) -> DataFrame:
+    """Counters that a run of rungs describes in full: keys, ``order`` of the first rung, counter, up, down, reset, output, sequence, rungs and groups.
+
+    A run is one counting rung, or two of the same counter in both directions, then the rung of its done bit and
+    the rung that resets it. sequence is up, down, up_down or down_up; groups is how many runs the counter has in
+    its keys: more than one is a fault. A run that another one includes doesn't count.
+    """
+    part = lambda pattern, n: F.nullif(F.regexp_extract(text, pattern, n), F.lit(""))
+    window = Window.partitionBy(*keys).orderBy(order)
+    seen = rungs.select(*keys, order, part(COUNT_RUNG, 1).alias("by"), part(COUNT_RUNG, 2).alias("way"), part(COUNT_RUNG, 3).alias("counter"), part(DONE_RUNG, 1).alias("done"), part(DONE_RUNG, 2).alias("lamp"), part(RESET_RUNG, 1).alias("reset_by"), part(RESET_RUNG, 2).alias("reset"))
+    ahead = lambda c, n: F.lead(c, n).over(window)
+    pair = F.col("way").isNotNull() & (ahead("way", 1) != F.col("way"))
+    seen = seen.withColumns({"pair": F.coalesce(pair, F.lit(False)), "by2": ahead("by", 1), "counter2": ahead("counter", 1)})
+    after = lambda c: F.when(F.col("pair"), ahead(c, 2)).otherwise(ahead(c, 1))
+    last = lambda c: F.when(F.col("pair"), ahead(c, 3)).otherwise(ahead(c, 2))
+    seen = seen.withColumns({"n_done": after("done"), "n_lamp": after("lamp"), "n_by": last("reset_by"), "n_reset": last("reset")})
+    whole = F.col("way").isNotNull() & (F.col("n_done") == F.col("counter")) & (F.col("n_reset") == F.col("counter")) & (~F.col("pair") | (F.col("counter2") == F.col("counter")))
+    seen = seen.withColumn("whole", F.coalesce(whole, F.lit(False)))
+    inside = F.coalesce(F.lag(F.col("whole") & F.col("pair")).over(window), F.lit(False))
+    found = seen.withColumn("inside", inside).where("whole and not inside")
+    is_up = F.col("way") == "CTU"
+    up = F.when(is_up, F.col("by")).when(F.col("pair"), F.col("by2"))
+    down = F.when(~is_up, F.col("by")).when(F.col("pair"), F.col("by2"))
+    sequence = F.when(F.col("pair"), F.when(is_up, "up_down").otherwise("down_up")).otherwise(F.when(is_up, "up").otherwise("down"))
+    out = found.select(*keys, order, "counter", up.alias("up"), down.alias("down"), F.col("n_by").alias("reset"), F.col("n_lamp").alias("output"), sequence.alias("sequence"), F.when(F.col("pair"), 4).otherwise(3).alias("rungs"))
+    return out.withColumn("groups", F.count(F.lit(1)).over(Window.partitionBy(*keys, "counter")))

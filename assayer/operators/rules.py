@@ -130,3 +130,38 @@ def described_behaviours(sources: DataFrame, keys: Sequence[str], text: str, beh
     found = each.select(*keys, "r.behaviour", "r.marker", line.cast("int").alias("line"))
     whole = found.groupBy(*keys, "behaviour").agg((F.count_if(F.col("line").isNull()) == 0).alias("supported"))
     return found.join(whole, [*keys, "behaviour"])
+
+
+def whole_number(text: Column) -> Column:
+    """struct<value, fault> of an optional decimal number: a null text has neither, another text the fault invalid_integer."""
+    plain = F.trim(text)
+    value = F.when(plain.rlike(r"^[+-]?\d+(_\d+)*$"), F.replace(plain, F.lit("_"), F.lit("")).try_cast("bigint"))
+    return F.struct(value.alias("value"), F.when(text.isNotNull() & value.isNull(), "invalid_integer").alias("fault"))
+
+
+def flag(text: Column) -> Column:
+    """struct<value, fault> of an optional ``true`` or ``false``, in this spelling only; another text has the fault invalid_boolean."""
+    value = F.when(text == "true", True).when(text == "false", False)
+    return F.struct(value.alias("value"), F.when(text.isNotNull() & value.isNull(), "invalid_boolean").alias("fault"))
+
+
+def first_answer(providers: dict[str, Column]) -> Column:
+    """struct<provider, answer> of the first of ordered providers whose answer isn't null, or null."""
+    return F.coalesce(*[F.when(a.isNotNull(), F.struct(F.lit(n).alias("provider"), a.alias("answer"))) for n, a in providers.items()])
+
+
+def message_evidence(calls: DataFrame, program_tags: DataFrame, controller_tags: DataFrame, callee: str = "msg") -> DataFrame:
+    """``calls`` of ``callee`` (in any case) plus tag, tag_scope and reason.
+
+    calls: program, callee and arguments (array); program_tags: program and name; controller_tags: name. The one argument
+    has to be a tag's name in its own case; a program's tag shadows the controller's. reason is ``arity``, ``not_a_name``,
+    ``unknown_tag`` or null.
+    """
+    named = calls.where(F.lower("callee") == callee).withColumn("__name", F.when(F.size("arguments") == 1, F.trim(F.get("arguments", F.lit(0)))))
+    plain = F.when(F.col("__name").rlike(r"^[A-Za-z_]\w*$"), F.col("__name"))
+    own = program_tags.select("program", F.col("name").alias("__plain")).distinct().withColumn("__own", F.lit(True))
+    shared = controller_tags.select(F.col("name").alias("__plain")).distinct().withColumn("__shared", F.lit(True))
+    found = named.withColumn("__plain", plain).join(own, ["program", "__plain"], "left").join(shared, "__plain", "left")
+    scope = F.when(F.col("__own"), "program").when(F.col("__shared"), "controller")
+    reason = F.when(F.col("__name").isNull(), "arity").when(F.col("__plain").isNull(), "not_a_name").when(scope.isNull(), "unknown_tag")
+    return found.select(*calls.columns, F.when(scope.isNotNull(), F.col("__plain")).alias("tag"), scope.alias("tag_scope"), reason.alias("reason"))

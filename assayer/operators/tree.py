@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import join_hot, stored
+from .ordering import numbered
 
 
 def ancestors(nodes: DataFrame, key: str, parent: str) -> DataFrame:
@@ -71,3 +72,25 @@ def valid_edges(nodes: DataFrame, key: str, parent: str, no_parent: object = 0)
     faulty = containment_issues(nodes, key, parent, no_parent).select(F.col(key).alias("__key"))
     held = nodes.where(F.col(parent) != F.lit(no_parent))
     return held.join(faulty, F.col(key) == F.col("__key"), "left_anti").select(parent, key)
+
+
+def breadth_first(nodes: DataFrame, key: str, parent: str, order: str) -> DataFrame:
+    """key, depth and position (from 1) of every node in breadth-first order: roots by ``order``, then their children, and so on.
+
+    Children stand in the order of their parents and then by ``order``, which is unique. A node whose parent is
+    null or isn't there is a root; those that lead into a cycle are left out. The orders on a node's way from its root
+    are gathered by doubling and sorted by length and then by value, over all tasks.
+    """
+    known = nodes.select(F.col(key).alias("node"), F.col(parent).alias("up"), F.array(F.col(order)).alias("way"))
+    there = known.select(F.col("node").alias("up"), F.lit(True).alias("there"))
+    state = stored(known.join(there, "up", "left").select("node", F.when(F.col("there"), F.col("up")).alias("up"), "way"), "ways")
+    done, moving = state.where("up is null"), state.where("up is not null")
+    while not moving.isEmpty():
+        above = done.union(moving).select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("way").alias("way2"))
+        step = stored(moving.join(above, "up").select("node", F.col("up2").alias("up"), F.concat("way2", "way").alias("way")), "ways")
+        ended = step.where("up is null")
+        if ended.isEmpty():
+            break
+        done, moving = done.union(ended), step.where("up is not null")
+    placed = numbered(done.select(F.col("node").alias(key), (F.size("way") - 1).alias("depth"), "way"), ["depth", "way"], "position")
+    return placed.select(key, "depth", "position")

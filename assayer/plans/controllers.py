@@ -53,8 +53,8 @@ PROJECT = [
 PART = _once(0, f"""'<RSLogix5000Content TargetName="P" TargetType="Program"><Controller Use="Context" Name="C' || {_K} || '"><Programs Use="Context"><Program Use="Target" Name="P"/></Programs></Controller></RSLogix5000Content>'""")
 
 
-def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Elements of all projects; workspace is R and the number of the block."""
+def projects_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of all projects' files."""
 
     def write(folder: str) -> None:
         lines = None
@@ -64,7 +64,12 @@ def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
         _files(lines, ".L5X", folder)
         _files(_tables(spark, sf_dir, PART), "p.l5x", folder)
 
-    folder = written_once(spark, sf_dir, "projects", write)
+    return written_once(spark, sf_dir, "projects", write)
+
+
+def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of all projects; workspace is R and the number of the block."""
+    folder = projects_folder(spark, sf_dir)
     return projects.read_projects(spark, folder).withColumn("workspace", F.regexp_extract("workspace", r"(?i)([^/]+)\.l5x$", 1))
 
 

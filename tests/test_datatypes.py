@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.functions import ladder
-from assayer.operators import datatypes, reconcile, resolve, rules, tree, units
+from assayer.operators import datatypes, ordering, reconcile, resolve, rules, tree, units
 
 MEMBERS = "scope string, data_type string, ordinal int, name string, member_type string, dimension int, target string, bit_number int"
 
@@ -200,3 +200,32 @@ def test_rules_for_calls(spark):
     own = spark.createDataFrame([(1, "Mine"), (1, "MINE"), (1, "Cop")], "scope int, name string")
     found = sorted((tuple(r) for r in rules.classified_calls(calls, own, ["scope"]).collect()), key=repr)
     assert found == sorted([(1, "cop", 3, "memory_copy", "Rockwell Automation", True), (1, "COP", 2, "memory_copy", "Rockwell Automation", False), (1, "mine", 9, "user_defined_instruction", None, None), (2, "mine", 9, "unknown", None, None), (1, None, 0, "unknown", None, None), (1, "abs", None, "absolute_value", None, True)], key=repr)
+
+
+def test_breadth_first_order(spark):
+    rows = [(1, None, 5), (2, None, 3), (3, 1, 1), (4, 2, 9), (5, 2, 2), (6, 3, 1), (7, 99, 4), (8, 9, 1), (9, 8, 1), (10, 4, 1)]
+    nodes = spark.createDataFrame(rows, "k long, p long, o long")
+    found = [(r["k"], r["depth"]) for r in tree.breadth_first(nodes, "k", "p", "o").orderBy("position").collect()]
+    assert found == [(2, 0), (7, 0), (1, 0), (5, 1), (4, 1), (3, 1), (10, 2), (6, 2)]
+    assert tree.breadth_first(nodes.limit(0), "k", "p", "o").count() == 0
+
+
+def test_counters_described_in_full(spark):
+    texts = ["XIC(U)CTU(C,5,0);", "XIC(U2)CTU(C,5,0);", "XIC(C.DN)OTE(L);", "XIC(R)RES(C);", "XIC(D)CTD(E,1,0);", "XIC(U)CTU(E,1,0);", "XIC(E.DN)OTE(L);", "XIC(R)RES(F);", None]
+    rungs = spark.createDataFrame([("p", i, t) for i, t in enumerate(texts)] + [("q", i, t) for i, t in enumerate(texts[2:4])], "program string, number int, text string")
+    found = [tuple(r) for r in ordering.counter_groups(rungs, ["program"], "number", "text").collect()]
+    assert found == [("p", 1, "C", "U2", None, "R", "L", "up", 3, 1)]
+
+
+def test_odd_values_and_messages(spark):
+    rows = spark.createDataFrame([("12",), (" -3 ",), ("1_0",), ("_1",), ("9" * 30,), ("",), (None,), ("true",)], "t string")
+    found = [(r["n"]["value"], r["n"]["fault"], r["f"]["value"], r["f"]["fault"]) for r in rows.select(rules.whole_number(F.col("t")).alias("n"), rules.flag(F.col("t")).alias("f")).collect()]
+    bad, worse = "invalid_integer", "invalid_boolean"
+    assert found == [(12, None, None, worse), (-3, None, None, worse), (10, None, None, worse), (None, bad, None, worse), (None, bad, None, worse), (None, bad, None, worse), (None, None, None, None), (None, bad, True, None)]
+    calls = spark.createDataFrame([("p", "Msg", ["A"]), ("p", "MSG", [None]), (None, "msg", ["B"]), ("p", "msg", None), ("p", "other", ["A"])], "program string, callee string, arguments array<string>")
+    own = spark.createDataFrame([("p", "A")], "program string, name string")
+    shared = spark.createDataFrame([("A",), ("B",)], "name string")
+    got = sorted(((r["callee"], r["tag"], r["tag_scope"], r["reason"]) for r in rules.message_evidence(calls, own, shared).collect()), key=repr)
+    assert got == sorted([("Msg", "A", "program", None), ("MSG", None, None, "arity"), ("msg", "B", "controller", None), ("msg", None, None, "arity")], key=repr)
+    first = spark.createDataFrame([("k", 2, "b"), ("k", 1, "a"), ("k", 3, "a"), ("k", 4, None), ("m", 1, None)], "k string, at int, v string")
+    assert [tuple(r) for r in ordering.ordered_distinct(first, ["k"], "v", "at").collect()] == [("k", ["a", "b"])]
