@@ -321,7 +321,7 @@ SQL = {
     "conflicting_units": f"SELECT {_W} AS workspace, 'M' || s_suppkey AS module, 'i.ch0data' AS key, 'bar' AS symbol, 'degc' AS stated FROM supplier WHERE s_suppkey % 6 = 0",
     "channel_ranges": f"""
     WITH d AS (SELECT *, UNNEST(['i', 'o']) AS d FROM supplier WHERE s_suppkey % 5 <> 0)
-    SELECT {_W} AS workspace, 'M' || s_suppkey AS module, {_SLOT} AS slot, d || '.ch0data' AS key, 0.5 AS lower, CAST(s_suppkey AS DOUBLE) AS upper, CASE WHEN s_suppkey % 4 <> 0 THEN 'Local:' || s_suppkey || ':C.' ELSE '' END || 'Ch0Config' AS source_operand FROM d
+    SELECT {_W} AS workspace, 'M' || s_suppkey AS module, {_SLOT} AS slot, d || '.ch0data' AS key, CAST(0.5 AS DOUBLE) AS lower, CAST(s_suppkey AS DOUBLE) AS upper, CASE WHEN s_suppkey % 4 <> 0 THEN 'Local:' || s_suppkey || ':C.' ELSE '' END || 'Ch0Config' AS source_operand FROM d
     UNION ALL SELECT {_W}, 'M' || s_suppkey, {_SLOT}, d || '.ch12data', 1.0, 2.0, CASE WHEN s_suppkey % 4 <> 0 THEN 'Local:' || s_suppkey || ':C.' ELSE '' END || 'Ch12Config' FROM d WHERE s_suppkey % 3 <> 0""",
     "text_reports": f"""
     WITH s AS (SELECT *, {_W} AS w FROM supplier),
