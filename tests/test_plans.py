@@ -6,10 +6,10 @@ import duckdb
 import pytest
 
 from assayer.operators import evidence_json, scan_cycle, tree
-from assayer.plans import controllers, extras, parameters, recordings
+from assayer.plans import controllers, datatypes, engineering, extras, modules, parameters, recordings, systems
 
 SMALL = "/root/testdata/sf0.001"
-LISTS = (recordings, controllers, extras, parameters)
+LISTS = (recordings, controllers, extras, parameters, datatypes, systems, engineering, modules)
 QUERIES = {name: (f, m.SQL) for m in LISTS for name, f in m.queries().items()}
 
 
