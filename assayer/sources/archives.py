@@ -3,7 +3,8 @@
 A record begins where the bytes match a pattern that occurs nowhere else, as a start tag and
 the tag that always follows it; it belongs to the task in whose range that match begins, and
 that task reads on until the element is closed. So no record is read twice, none is
-lost at a border, and a task holds one record at a time.
+lost at a border, and a task holds one record and a batch of at most a block at a time. A task takes
+as many ranges as make a fair share of all bytes, so many small files are few tasks.
 """
 
 from __future__ import annotations
@@ -27,12 +28,39 @@ ELEMENT = "Single"
 NAME = rb"<Single\b[^>]*\bName=\"Name\"[^>]*>([^<]*)<"
 #: Bytes read at once, and the longest match of a record's beginning.
 BLOCK, LONGEST = 1 << 20, 1 << 13
+#: Tasks that all bytes are shared among, if a task's share is neither below a block nor above LARGEST bytes.
+TASKS, LARGEST = 256, 32 << 20
 
 
-class Range(InputPartition):
-    def __init__(self, path: str, start: int, end: int) -> None:
-        super().__init__((path, start, end))
-        self.path, self.start, self.end = path, start, end
+class Ranges(InputPartition):
+    """What one task reads: path, start and end of one range or several."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]) -> None:
+        super().__init__(ranges)
+        self.ranges = ranges
+
+
+def shares(files: Sequence[tuple[str, int]], split: int) -> list[list[tuple[str, int, int]]]:
+    """Ranges of all files (path and size), by task.
+
+    Files are cut at multiples of ``split`` bytes; pieces are dealt in order, and those of a file that
+    follow each other in a task are one range.
+    """
+    room = max(split, min(LARGEST, max(BLOCK, sum(size for _, size in files) // TASKS)))
+    out: list[list[tuple[str, int, int]]] = []
+    left = 0
+    for path, size in files:
+        for at in range(0, size, split):
+            end = min(at + split, size)
+            if not out or end - at > left:
+                out.append([])
+                left = room
+            if out[-1] and out[-1][-1][0] == path:
+                out[-1][-1] = (path, out[-1][-1][1], end)
+            else:
+                out[-1].append((path, at, end))
+            left -= end - at
+    return out
 
 
 def _close(data: bytes, at: int, tags: re.Pattern[bytes], depth: int) -> tuple[int, int, int]:
@@ -100,24 +128,34 @@ class ArchiveReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> Sequence[Range]:
+    def partitions(self) -> Sequence[Ranges]:
         store, root = store_of(self.path)
         found = store.get_file_info(root)
         files = [found] if found.type == fs.FileType.File else store.get_file_info(fs.FileSelector(root, recursive=True))
         prefix = self.path.removesuffix(root) if "://" in self.path else ""
-        out = []
-        for info in sorted(files, key=lambda i: i.path):
-            if info.type == fs.FileType.File and info.path.lower().endswith(self.suffix):
-                out += [Range(prefix + info.path, at, min(at + self.split, info.size)) for at in range(0, info.size, self.split)]
-        return out
+        found = [(prefix + i.path, i.size) for i in sorted(files, key=lambda i: i.path) if i.type == fs.FileType.File and i.path.lower().endswith(self.suffix)]
+        return [Ranges(r) for r in shares(found, self.split)]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("file", pa.string()), ("start", pa.int64()), ("name", pa.string()), ("xml", pa.string())])
-        for offset, raw in records(partition.path, partition.start, partition.end, self.pattern, self.element):
-            m = re.search(NAME, raw)
-            name = _text(m[1]) if m else None
-            if self.names is None or name in self.names:
-                yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((partition.path, offset, name, raw.decode("utf-8", "replace")), schema)], schema=schema)
+        rows: list[tuple] = []
+        held = 0
+        for path, start, end in partition.ranges:
+            for offset, raw in records(path, start, end, self.pattern, self.element):
+                m = re.search(NAME, raw)
+                name = _text(m[1]) if m else None
+                if self.names is None or name in self.names:
+                    rows.append((path, offset, name, raw.decode("utf-8", "replace")))
+                    held += len(raw)
+                if held >= BLOCK:
+                    yield _batch(rows, schema)
+                    rows, held = [], 0
+        if rows:
+            yield _batch(rows, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)], schema=schema)
 
 
 def _text(raw: bytes) -> str:
@@ -141,7 +179,7 @@ class ArchiveSource(DataSource):
 
 
 def read_archives(spark: SparkSession, path: str, split_bytes: int = 32 << 20) -> DataFrame:
-    """Entries of all ``.export`` archives below ``path``."""
+    """Entries of all ``.export`` archives below ``path``, whose files are cut at multiples of ``split_bytes``."""
     send_package(spark)
     spark.dataSource.register(ArchiveSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
@@ -185,9 +223,13 @@ def visual_elements(entries: DataFrame) -> DataFrame:
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            found = []
             for file, name, xml in zip(*[b.column(c).to_pylist() for c in ("file", "name", "xml")]):
-                found = list(rows(file, name, xml))
-                if found:
+                found += rows(file, name, xml)
+                if len(found) >= 1000:
                     yield pa.RecordBatch.from_pylist(found, schema)
+                    found = []
+            if found:
+                yield pa.RecordBatch.from_pylist(found, schema)
 
     return entries.select("file", "name", "xml").mapInArrow(parsed, ddl)

@@ -68,6 +68,18 @@ def test_a_long_file_is_read_by_many_tasks(spark, tmp_path):
         rows = archives.read_archives(spark, str(tmp_path)).count()
 
 
+def test_many_small_archives_are_few_tasks(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"{i}.export").write_text("<List2>" + entry(2 * i, 900) + entry(2 * i + 1, 400) + "</List2>")
+    rows = archives.read_archives(spark, str(tmp_path), split_bytes=500)
+    assert rows.rdd.getNumPartitions() == 1
+    assert sorted(r["name"] for r in rows.collect()) == sorted(f"V{i}" for i in range(600))
+    parts = archives.shares([("a", 10), ("b", 0), ("c", 40 << 20)], 1 << 19)
+    assert [r for p in parts for r in p if r[0] != "c"] == [("a", 0, 10)] and max(sum(e - s for _, s, e in p) for p in parts) <= archives.BLOCK
+    cut = [r[1:] for p in parts for r in p if r[0] == "c"]
+    assert cut[0][0] == 0 and cut[-1][1] == 40 << 20 and all(a[1] == b[0] for a, b in zip(cut, cut[1:]))
+
+
 def test_archives_of_no_records(spark, tmp_path):
     (tmp_path / "none.export").write_text("<ExportFile/>")
     (tmp_path / "empty.export").write_text("")
