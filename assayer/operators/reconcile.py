@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,17 +92,35 @@ def any_basis_match(left: DataFrame, right: DataFrame, left_key: str, right_key:
     """Pairs of keys that one basis or more ties together, and the keys of either side without a pair.
 
     A basis is a list of (left, right) columns that have to be equal, nulls to nothing.
-    Each is one join on equal keys, so no row meets another that it isn't tied to.
+    Each is one join on equal keys, so no row meets another that it isn't tied to. A pair is told once, by its
+    first basis and the least value that ties it there: pairs, which may be as many as the product
+    of both sides, leave their join as they come and are neither compared with each other nor stored.
     """
-    found = None
-    for basis in bases:
-        names = [f"__{i}" for i in range(len(basis))]
-        sides = [t.select(F.col(k), *[pair[i].alias(n) for n, pair in zip(names, basis)]) for i, (t, k) in enumerate(((left, left_key), (right, right_key)))]
-        one = sides[0].join(sides[1], names).select(left_key, right_key)
-        found = one if found is None else found.union(one)
-    pairs = stored(found.distinct(), "basis-pairs")
-    alone = lambda t, k: t.select(k).join(pairs.select(k), k, "left_anti")
-    return pairs, alone(left, left_key), alone(right, right_key)
+    values = [f"__{i}" for i in range(len(bases))]
+
+    def sides(table: DataFrame, key: str, at: int) -> DataFrame:
+        """One row a key, with the set of its values in each basis."""
+        sets = []
+        for name, basis in zip(values, bases):
+            parts = [pair[at].alias(f"c{i}") for i, pair in enumerate(basis)]
+            whole = reduce(lambda a, b: a & b, [pair[at].isNotNull() for pair in basis])
+            sets.append(F.collect_set(F.when(whole, F.struct(*parts))).alias(name))
+        return stored(table.groupBy(F.col(key).alias("key")).agg(*sets), "basis-side")
+
+    a, b = sides(left, left_key, 0), sides(right, right_key, 1)
+    pairs, tied = None, [None, None]
+    for i, name in enumerate(values):
+        each = [t.select(F.col("key").alias(f"{n}_key"), *[F.col(v).alias(n + v) for v in values[: i + 1]], F.explode(name).alias("v")).select("*", "v.*").drop("v") for n, t in (("a", a), ("b", b))]
+        on = [f"c{x}" for x in range(len(bases[i]))]
+        first = reduce(lambda x, y: x & y, [~F.arrays_overlap(f"a{v}", f"b{v}") for v in values[:i]], F.lit(True))
+        least = (F.size(f"a{name}") == 1) | (F.size(f"b{name}") == 1) | (F.struct(*on) == F.array_min(F.array_intersect(f"a{name}", f"b{name}")))
+        one = each[0].join(each[1], on).where(first & least).select(F.col("a_key").alias(left_key), F.col("b_key").alias(right_key))
+        pairs = one if pairs is None else pairs.union(one)
+        for at, (n, own, other) in enumerate((("a", each[0], each[1]), ("b", each[1], each[0]))):
+            some = own.join(other.select(*on).distinct(), on, "left_semi").select(f"{n}_key")
+            tied[at] = some if tied[at] is None else tied[at].union(some)
+    alone = lambda t, k, found: t.select(k).join(found.toDF(k).distinct(), k, "left_anti")
+    return pairs, alone(left, left_key, tied[0]), alone(right, right_key, tied[1])
 
 
 def multi_basis(nodes: DataFrame, node: str, bases: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:

@@ -58,6 +58,20 @@ def test_drift_respects_completeness(spark):
     assert values(reconcile.drift(*gated, "d", "k", ["v"]), "k") == [(1,), (3,)]
 
 
+def test_pairs_of_several_bases_leave_their_joins(spark):
+    left = [(1, 1, "x"), (1, 2, "y"), (1, 2, "x"), (2, 2, None), (3, None, "y"), (4, 9, "z"), (5, 1, "x"), (5, 1, "x"), (6, None, None)]
+    right = [(10, 1, "x"), (10, 2, "y"), (11, 2, "y"), (12, 1, "q"), (13, None, None), (14, 7, "q"), (12, 2, "x")]
+    frames = spark.createDataFrame(left, "a long, n int, t string"), spark.createDataFrame([(k, n, t) for k, n, t in right], "b long, m long, u string")
+    bases = [[(F.col("n"), F.col("m"))], [(F.col("t"), F.col("u"))], [(F.col("n"), F.col("m")), (F.col("t"), F.col("u"))]]
+    pairs, a, b = reconcile.any_basis_match(*frames, "a", "b", bases)
+    expected = {(x[0], y[0]) for x in left for y in right if (x[1] is not None and x[1] == y[1]) or (x[2] is not None and x[2] == y[2])}
+    assert sorted(tuple(r) for r in pairs.collect()) == sorted(expected)
+    assert sorted(r[0] for r in a.collect()) == [4, 6] and sorted(r[0] for r in b.collect()) == [13, 14]
+    # All pairs are neither stored nor grouped: above the joins there are only unions and projections.
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "Aggregate" not in plan
+
+
 def test_exact_key_defers_before_it_rejects(spark):
     df = spark.createDataFrame([("Exact", 1, 2, None), ("Exact", 1, 2, 5), ("Exact", 1, 1, 5), ("Disabled", 1, 2, 5), (None, 1, 1, 5), ("Compatible", 1, 1, 4), ("Compatible", 1, 2, 5)], "mode string, a int, b int, c int")
     fields = {"x": (F.col("a"), F.col("b")), "y": (F.col("c"), F.lit(5))}
