@@ -20,6 +20,8 @@ from .parameters import scalar_value
 ATOMIC = {"BOOL": 1, "SINT": 1, "USINT": 1, "INT": 2, "UINT": 2, "DINT": 4, "UDINT": 4, "REAL": 4, "LINT": 8, "ULINT": 8, "LREAL": 8}
 #: A flag array is packed into words of so many bits.
 WORD_BITS = 32
+#: Rows that are sent to all tasks at most.
+FEW = 20_000
 
 
 def dependency_levels(types: DataFrame, references: DataFrame, keys: Sequence[str], name: str = "name", needs: str = "needs") -> tuple[DataFrame, DataFrame]:
@@ -32,31 +34,32 @@ def dependency_levels(types: DataFrame, references: DataFrame, keys: Sequence[st
     the keys, name and needs of references to no definition; what a name repeats counts once.
     """
     defined = types.select(*keys, name).distinct()
-    given = defined.select(*keys, F.col(name).alias(needs))
+    given = defined.select(*keys, F.col(name).alias(needs)).hint("merge")
     asked = references.select(*keys, name, needs).where(F.col(needs).isNotNull()).distinct()
     missing = asked.join(given, [*keys, needs], "left_anti").select(*keys, name, needs)
-    # A reference is open as long as what it needs has open references itself: a name's
-    # level is the number of rounds in which it has any.
-    known = asked.join(given, [*keys, needs], "left_semi").join(defined, [*keys, name], "left_semi").select(*keys, name, needs)
-    rounds = [stored(known, "open-references")]
-    left = rounds[0].count()
-    while left:
-        pending = rounds[-1]
-        still = pending.join(pending.select(*keys, F.col(name).alias(needs)).distinct(), [*keys, needs], "left_semi").select(*keys, name, needs)
-        rounds.append(stored(still, "open-references"))
-        before, left = left, rounds[-1].count()
-        if left == before:
-            break
-    seen = rounds[0].select(*keys, name, F.lit(0).alias("round")).distinct()
-    for i, one in enumerate(rounds[1:], 1):
-        seen = seen.union(one.select(*keys, name, F.lit(i)).distinct())
-    levels = seen.groupBy(*keys, name).agg(F.max("round").alias("last"))
-    stuck = F.col("last") == (len(rounds) - 1 if left else len(rounds))
-    level = F.when(F.coalesce(stuck, F.lit(False)), F.lit(None)).otherwise(F.coalesce(F.col("last") + 1, F.lit(0))).cast("int")
-    found = defined.join(levels, [*keys, name], "left").select(*keys, name, level.alias("level"))
+    known = stored(asked.join(given, [*keys, needs], "left_semi").join(defined.hint("merge"), [*keys, name], "left_semi").select(*keys, name, needs), "known-references")
+    # Each reference is met once, in the round after what it needs has its level; a name
+    # has its own when all its references were met. "open" has the names some of which were.
+    known = stored(known.join(known.groupBy(*keys, name).agg(F.count(F.lit(1)).alias("wants")).hint("merge"), [*keys, name]), "references")
+    new = stored(defined.join(known.select(*keys, name).distinct().hint("merge"), [*keys, name], "left_anti"), "leveled")
+    partly, levels, level = None, None, 0
+    while size := new.count():
+        one = new.select(*keys, name, F.lit(level).alias("level"))
+        levels = one if levels is None else levels.union(one)
+        met = known.join(_sized(new.select(*keys, F.col(name).alias(needs)), size), [*keys, needs]).groupBy(*keys, name, "wants").agg(F.count(F.lit(1)).alias("met"))
+        if partly is not None:
+            met = partly.union(met).groupBy(*keys, name, "wants").agg(F.sum("met").alias("met"))
+        counted = stored(met, "met-references")
+        new, partly, level = counted.where("met = wants").select(*keys, name), counted.where("met < wants"), level + 1
+    found = defined.withColumn("level", F.lit(None).cast("int")) if levels is None else defined.join(levels.hint("merge"), [*keys, name], "left").select(*keys, name, "level")
     return found.withColumn("state", F.when(F.col("level").isNull(), "cyclic").otherwise("ordered")), missing
 
 
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` to be sent to all tasks if it has few rows, else to be shuffled: files are small beside what they hold in memory."""
+    return F.broadcast(df) if rows <= FEW else df.hint("merge")
+
+
 def _atomic_size(kind: Column) -> Column:
     out = F.lit(None).cast("long")
     for size in sorted(set(ATOMIC.values())):
@@ -90,18 +93,20 @@ def layout(members: DataFrame, keys: Sequence[str], aligned: bool = True) -> tup
     types = rows.select(*keys, F.col("data_type").alias("name")).distinct()
     levels, _ = dependency_levels(types, rows.select(*keys, F.col("data_type").alias("name"), F.when(_atomic_size(F.col("member_type")).isNull() & F.col("target").isNull(), F.col("member_type")).alias("needs")), keys)
     levels = stored(levels.withColumnRenamed("name", "data_type"), "levels")
-    most = levels.agg(F.max("level")).first()[0]
-    leveled = stored(rows.join(levels.where("level is not null").select(*keys, "data_type", "level"), [*keys, "data_type"]), "leveled-members")
-    sizes, placed = None, None
+    counts = {r["level"]: r["count"] for r in levels.where("level is not null").groupBy("level").count().collect()}
+    leveled = stored(rows.join(levels.where("level is not null").select(*keys, "data_type", "level").hint("merge"), [*keys, "data_type"]), "leveled-members", ["level"])
+    sizes, placed, sized = None, None, 0
     kind, one = F.col("member_type"), F.lit(1).cast("long")
     count = F.greatest(F.coalesce("dimension", F.lit(1)), F.lit(1)).cast("long")
     flags = (F.upper(kind) == "BOOL") & (F.coalesce("dimension", F.lit(0)) > 0)
-    for level in range((most if most is not None else -1) + 1):
+    for level in range(len(counts)):
         own = leveled.where(F.col("level") == level)
         if sizes is None:
             own = own.withColumn("nested_size", F.lit(None).cast("long")).withColumn("nested_align", F.lit(None).cast("long"))
         else:
-            own = own.join(sizes.select(*keys, F.col("data_type").alias("member_type"), F.col("size").alias("nested_size"), F.col("align").alias("nested_align")), [*keys, "member_type"], "left")
+            nested = sizes.select(*keys, F.col("data_type").alias("member_type"), F.col("size").alias("nested_size"), F.col("align").alias("nested_align"))
+            own = own.join(_sized(nested, sized), [*keys, "member_type"], "left")
+        sized += counts[level]
         atomic = _atomic_size(kind)
         element = F.coalesce(atomic, "nested_size", F.lit(0).cast("long"))
         room = F.when(F.col("target").isNotNull(), F.lit(0).cast("long")).when(flags, F.ceil(count / WORD_BITS).cast("long") * (WORD_BITS // 8)).otherwise(element * count)
@@ -124,7 +129,7 @@ def layout(members: DataFrame, keys: Sequence[str], aligned: bool = True) -> tup
         part = each.select(*keys, "data_type", "m.ordinal", "m.name", "m.member_type", "m.dimension", "m.target", "m.bit_number", offset.alias("byte_offset"), F.col("m.element").alias("element_size"), F.col("m.elements").alias("elements"), F.col("m.flags").alias("packed"), fault.alias("fault"))
         placed = part if placed is None else placed.union(part)
     none = F.lit(None).cast("long")
-    bad = rows.join(levels.where("level is null").select(*keys, "data_type"), [*keys, "data_type"], "left_semi")
+    bad = rows.join(levels.where("level is null").select(*keys, "data_type").hint("merge"), [*keys, "data_type"], "left_semi")
     bad = bad.select(*keys, *MEMBER.split(", "), none.alias("byte_offset"), none.alias("element_size"), count.alias("elements"), F.coalesce(flags, F.lit(False)).alias("packed"), F.lit("cyclic").alias("fault"))
     cyclic = levels.where("level is null").select(*keys, "data_type", "level", none.alias("size"), none.alias("align"), "state")
     if sizes is None:
@@ -142,19 +147,30 @@ def leaves(placed: DataFrame, roots: DataFrame, keys: Sequence[str]) -> DataFram
     """
     at = stored(placed.where("byte_offset is not null").withColumn("nested", _atomic_size(F.col("member_type")).isNull() & F.col("target").isNull()), "placed")
     frontier = stored(roots.select(*keys, "root", F.col("root").alias("data_type"), F.lit("").alias("path"), F.lit(0).cast("long").alias("base")).distinct(), "leaf-frontier")
-    found = None
+    found = frontier.select(*keys, "root", "path", F.col("data_type").alias("leaf_type"), F.col("base").alias("byte_offset"), F.lit(None).cast("long").alias("bit")).where(F.lit(False))
     array = F.coalesce("dimension", F.lit(0)) > 0
-    while not frontier.isEmpty():
-        inside = frontier.join(at, [*keys, "data_type"]).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("target").isNull(), F.col("elements") - 1).otherwise(F.lit(0)))))
-        path = F.concat("path", F.when(F.col("path") != "", ".").otherwise(""), "name", F.when(array & F.col("target").isNull(), F.concat(F.lit("["), F.col("i").cast("string"), F.lit("]"))).otherwise(""))
-        shift = F.when(F.col("packed"), F.floor(F.col("i") / 8).cast("long")).otherwise(F.col("i") * F.col("element_size"))
-        bit = F.when(F.col("target").isNotNull(), F.col("bit_number").cast("long")).when(F.col("packed"), F.col("i") % 8)
-        step = stored(inside.select(*keys, "root", "nested", "fault", "member_type", path.alias("path"), (F.col("base") + F.col("byte_offset") + shift).alias("base"), bit.alias("bit")), "leaves")
-        one = step.where("not nested").select(*keys, "root", "path", F.col("member_type").alias("leaf_type"), F.col("base").alias("byte_offset"), "bit")
-        found = one if found is None else found.union(one)
-        frontier = step.where("nested and fault is null").select(*keys, "root", F.col("member_type").alias("data_type"), "path", "base")
-    empty = frontier.select(*keys, "root", "path", F.col("data_type").alias("leaf_type"), F.col("base").alias("byte_offset"), F.lit(None).cast("long").alias("bit"))
-    return empty if found is None else found
+    path = F.concat("path", F.when(F.col("path") != "", ".").otherwise(""), "name", F.when(array & F.col("target").isNull(), F.concat(F.lit("["), F.col("i").cast("string"), F.lit("]"))).otherwise(""))
+    shift = F.when(F.col("packed"), F.floor(F.col("i") / 8).cast("long")).otherwise(F.col("i") * F.col("element_size"))
+    base = F.col("base") + F.col("byte_offset") + shift
+    bit = F.when(F.col("target").isNotNull(), F.col("bit_number").cast("long")).when(F.col("packed"), F.col("i") % 8)
+
+    def inside(members: DataFrame) -> DataFrame:
+        return frontier.join(members, [*keys, "data_type"]).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("target").isNull(), F.col("elements") - 1).otherwise(F.lit(0)))))
+
+    # Only places where types are nested are stored; their leaves are joined when they are read. The deeper
+    # a place, the more roots share its type: members of few types are sent to all tasks.
+    while True:
+        wanted = stored(frontier.select(*keys, "data_type").distinct(), "wanted-types")
+        types = wanted.count()
+        if not types:
+            return found
+        here = at.hint("merge")
+        if types <= FEW:
+            few = stored(at.join(F.broadcast(wanted), [*keys, "data_type"], "left_semi"), "wanted-members")
+            here = F.broadcast(few) if few.count() <= 10 * FEW else few.hint("merge")
+        leaf = inside(here.where("not nested")).select(*keys, "root", path.alias("path"), F.col("member_type").alias("leaf_type"), base.alias("byte_offset"), bit.alias("bit"))
+        found = found.union(leaf)
+        frontier = stored(inside(here.where("nested and fault is null")).select(*keys, "root", F.col("member_type").alias("data_type"), path.alias("path"), base.alias("base")), "leaf-frontier")
 
 
 COMPONENT = r"^([^\[\]]+)(?:\[(\d+(?:,\d+)*)\])?$"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions import ladder
 from assayer.operators import datatypes, ordering, reconcile, resolve, rules, tree, units
+from assayer.storage import stored
 
 MEMBERS = "scope string, data_type string, ordinal int, name string, member_type string, dimension int, target string, bit_number int"
 
@@ -89,6 +90,32 @@ def test_leaves_of_nested_types(spark):
     assert found == expected
 
 
+def test_rounds_over_nested_types_write_each_row_once(spark, monkeypatch):
+    written = []
+
+    def counted(df, tag, *args, **options):
+        out = stored(df, tag, *args, **options)
+        written.append((tag, out.count()))
+        return out
+
+    monkeypatch.setattr(datatypes, "stored", counted)
+    monkeypatch.setattr(datatypes, "FEW", 3)
+    n = 12
+    types = spark.createDataFrame([("s", f"T{i}") for i in range(n)] + [("s", "A"), ("s", "B")], "scope string, name string")
+    needs = [(f"T{i}", f"T{i - 1}") for i in range(1, n)] + [("T9", "T2"), ("A", "B"), ("B", "A"), ("B", "T1"), ("T3", "Gone")]
+    levels, missing = datatypes.dependency_levels(types, spark.createDataFrame([("s", *e) for e in needs], "scope string, name string, needs string"), ["scope"])
+    assert {r["name"]: r["level"] for r in levels.collect()} == {f"T{i}": i for i in range(n)} | {"A": None, "B": None}
+    assert [r["needs"] for r in missing.collect()] == ["Gone"]
+    assert sum(rows for _, rows in written) <= 6 * n
+    rows = definitions(2, 5)
+    placed, sizes = datatypes.layout(spark.createDataFrame(rows, MEMBERS), ["scope"])
+    assert {(r["scope"], r["data_type"]): r["size"] for r in sizes.collect()} == {(s, f"T{t}"): plain_layout(rows, s, f"T{t}", True)[0] for s in "ab" for t in range(5)}
+    del written[:]
+    found = datatypes.leaves(placed, sizes.select("scope", F.col("data_type").alias("root")), ["scope"]).collect()
+    assert sorted((r["scope"], r["root"], r["path"], r["byte_offset"]) for r in found) == sorted((s, f"T{t}", p, o) for s in "ab" for t in range(5) for p, o, _ in plain_leaves(rows, s, f"T{t}"))
+    assert not [tag for tag, _ in written if tag == "leaves"]
+
+
 def test_cyclic_types_are_reported(spark):
     rows = [("a", "X", 0, "y", "Y", None, None, None), ("a", "Y", 0, "x", "X", None, None, None), ("a", "Z", 0, "x", "X", 2, None, None), ("a", "Own", 0, "own", "Own", None, None, None), ("a", "Fine", 0, "n", "INT", None, None, None), ("b", "X", 0, "y", "Y", None, None, None)]
     placed, sizes = datatypes.layout(spark.createDataFrame(rows, MEMBERS), ["scope"])
