@@ -11,15 +11,25 @@ from collections.abc import Iterator, Sequence
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 from pyspark.sql.types import StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
 
+#: Column of how many rows a row stands for.
+TIMES = "__times"
+
+
 class Provider(Protocol):
-    """What a provider has: a name, ``see`` for each row and ``answer`` at the end (None: not known)."""
+    """What a provider has: a name, ``see`` for each row and ``answer`` at the end (None: not known).
+
+    ``counted`` are kinds of which it only needs the number of rows: those that all providers
+    count come as one row a device, without name and value, whose ``TIMES`` is their number.
+    """
 
     name: str
+    counted: tuple[str, ...] = ()
 
     def see(self, row: dict) -> None: ...
 
@@ -33,6 +43,7 @@ class ByDefinition:
     """
 
     name, definition, description, model, maker = "by_definition", "", "", "", ""
+    counted = ("parameter",)
 
     def __init__(self) -> None:
         self.matches, self.modules, self.parameters = False, set(), 0
@@ -43,7 +54,7 @@ class ByDefinition:
         elif row["kind"] == "module" and len(self.modules) < 2:
             self.modules.add(row["name"])
         elif row["kind"] == "parameter":
-            self.parameters += 1
+            self.parameters += row.get(TIMES, 1)
 
     def answer(self) -> dict | None:
         if not self.matches or len(self.modules) != 1:
@@ -59,7 +70,7 @@ def definition_provider(name: str, definition: str, description: str, model: str
 class AnyModule:
     """Any device that is bound to a module: the least of them in order, without a model."""
 
-    name = "any_module"
+    name, counted = "any_module", ("parameter",)
 
     def __init__(self) -> None:
         self.module, self.parameters = None, 0
@@ -67,7 +78,8 @@ class AnyModule:
     def see(self, row: dict) -> None:
         if row["kind"] == "module" and row["name"] is not None:
             self.module = row["name"] if self.module is None else min(self.module, row["name"])
-        self.parameters += row["kind"] == "parameter"
+        if row["kind"] == "parameter":
+            self.parameters += row.get(TIMES, 1)
 
     def answer(self) -> dict | None:
         return None if self.module is None else {"model": None, "maker": None, "module": self.module, "parameters": self.parameters}
@@ -118,6 +130,14 @@ def assembled(rows: DataFrame, providers: Sequence[type[Provider]], key: str = "
     devices that none knows are left out. ``register`` makes the same function known to SQL.
     """
     function = udtf(table_function(providers, key))
+    kinds = sorted(set.intersection(*[set(getattr(p, "counted", ())) for p in providers])) if providers else []
+    rows = rows.select(*[c for c in rows.columns if c in (key, "kind", "name", "value")])
+    if kinds and len(rows.columns) == 4:
+        # Spark counts these rows before they are shuffled; the others pass one by one.
+        counted = F.coalesce(F.col("kind").isin(kinds), F.lit(False))
+        number = rows.where(counted).groupBy(key, "kind").agg(F.count(F.lit(1)).alias(TIMES))
+        none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("name", "value")]
+        rows = rows.where(~counted).select(key, "kind", "name", "value", F.lit(1).cast("long").alias(TIMES)).union(number.select(key, "kind", *none, TIMES))
     return function(rows.asTable())
 
 

@@ -254,5 +254,10 @@ def test_the_first_provider_that_knows_a_device_wins(spark):
     assembly.register(spark, "any_device", [assembly.AnyModule])
     df.createOrReplaceTempView("evidence")
     assert {r["device"] for r in spark.sql("SELECT * FROM any_device(TABLE(evidence))").collect()} == {1, 2, None}
+    # What providers only count reaches them as one row a device.
+    many = df.union(df.sparkSession.range(5000).selectExpr("1", "'parameter'", "concat('x', id)", "'1'", "1"))
+    assert {r["device"]: r["parameters"] for r in assembly.assembled(many, [drive, assembly.AnyModule]).collect()} == {1: 5002, 2: 0, None: 0}
+    seen = type("Seen", (assembly.AnyModule,), {"see": lambda self, row: (setattr(self, "n", getattr(self, "n", 0) + 1), assembly.AnyModule.see(self, row))[0], "answer": lambda self: {"model": str(self.n), "maker": None, "module": None, "parameters": self.parameters}})
+    assert [(r["model"], r["parameters"]) for r in assembly.assembled(many.where("device = 1"), [seen]).collect()] == [("3", 5002)]
     with pytest.raises(Exception, match="no column value"):
         assembly.assembled(df.drop("value"), [drive]).collect()
