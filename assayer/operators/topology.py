@@ -51,10 +51,12 @@ def accepted_graphs(relationships: DataFrame, assets: DataFrame, nodes: DataFram
     ends = F.array(*[F.struct(F.col(f"{e}_asset").alias("asset"), F.col(f"{e}_node").alias("node")) for e in ("source", "target")])
     named = stored(relationships.select(graph, F.explode(ends).alias("e")).select(graph, "e.asset", "e.node").distinct(), "graph-ends")
     no_asset = named.select(graph, "asset").distinct().join(assets.select(graph, "asset"), [graph, "asset"], "left_anti").select(graph, F.lit("unknown_asset").alias("reason"), F.col("asset").alias("what"))
+    seen = nodes.select(graph, "node", "target").distinct()
     known = nodes.select(graph, "node").distinct()
     no_node = named.select(graph, "node").distinct().join(known, [graph, "node"], "left_anti").select(graph, F.lit("unknown_node"), F.col("node"))
-    observed = nodes.select(graph, "node", "target").join(interfaces.select(graph, "target", "index").distinct(), [graph, "target"])
-    held = stored(named.join(observed, [graph, "node"]).select(graph, "asset", "node", "target", "index").distinct(), "graph-interfaces")
+    # Each of the three is distinct, so what they are joined to is: the longest table isn't grouped for that.
+    observed = named.join(seen, [graph, "node"]).join(interfaces.select(graph, "target", "index").distinct(), [graph, "target"])
+    held = stored(observed.select(graph, "asset", "node", "target", "index"), "graph-interfaces")
     # Two claims of one place of a node: other assets, or other targets that are seen as it.
     places = held.groupBy(graph, "node", "index").agg(F.count(F.lit(1)).alias("claims"), F.min(F.struct("asset", "target", "index")).alias("at"))
     claimed = places.where("claims > 1").select(graph, F.lit("claimed_twice"), F.concat_ws(":", "node", F.col("index").cast("string")))

@@ -242,6 +242,20 @@ def test_a_graph_is_accepted_or_refused_as_a_whole(spark):
     assert got[3] == [("h", "unknown_asset", "Z"), ("h", "unknown_node", "n3"), ("h", "unobserved_interface", "l1"), ("i", "claimed_twice", "n1:1")]
 
 
+def test_repeated_rows_of_a_graph_are_one_without_grouping_its_interfaces(spark, monkeypatch):
+    plans = {}
+    monkeypatch.setattr(topology, "stored", lambda df, tag: (plans.update({tag: df._jdf.queryExecution().optimizedPlan().toString()}), df)[1])
+    links = [("g", f"l{i}", "A", "n1", 1, "B", "n2") for i in range(3)]
+    relationships = spark.createDataFrame(links, "g string, link string, source_asset string, source_node string, source_index int, target_asset string, target_node string")
+    assets = spark.createDataFrame([("g", a) for a in "ABA"], "g string, asset string")
+    nodes = spark.createDataFrame([("g", f"n{k}", f"t{k}") for k in (1, 2, 1, 2)], "g string, node string, target string")
+    interfaces = spark.createDataFrame([("g", f"t{k}", k) for k in (1, 2, 1)], "g string, target string, index int")
+    got = [sorted(tuple(r) for r in t.collect()) for t in topology.accepted_graphs(relationships, assets, nodes, interfaces, "g")]
+    assert got[1] == [("g", "A", "t1", 1), ("g", "B", "t2", 2)] and len(got[2]) == 3 and got[3] == []
+    plan = plans["graph-interfaces"]
+    assert "Join" in plan and "Aggregate" not in plan[: plan.index("Join")]
+
+
 # ---- devices
 
 
